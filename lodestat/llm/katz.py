@@ -45,7 +45,7 @@ def _squeeze(x: np.ndarray | bytes) -> bytes:
     if isinstance(x, np.ndarray):
         width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
         x = bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(x)
+    return zstandard.ZstdCompressor(level=3).compress(x)
 
 
 def _numbers(b: bytes) -> np.ndarray:
@@ -131,7 +131,7 @@ def _word_answers(requests: DataFrame, buckets: int) -> DataFrame:
         for r, words in zip(rows, asked, strict=True):
             for w, c in zip(words, _numbers(r["counts"]).tolist(), strict=True):
                 total[w] += c
-        names = sorted(total)
+        names = sorted(total, key=lambda w: (-total[w], w))  # frequent words get small numbers, which pack well
         number = {w: i * buckets + bucket for i, w in enumerate(names)}
         out = [(r["chunk"], bucket, None, _squeeze(np.array([number[w] for w in words])), _squeeze(np.array([total[w] for w in words])), None, None) for r, words in zip(rows, asked, strict=True)]
         out.append((None, bucket, _squeeze(b"\n".join(names)), _squeeze(np.array([number[w] for w in names])), _squeeze(np.array([total[w] for w in names])), sum(total.values()), sum(c > 0 for c in total.values())))
