@@ -105,8 +105,8 @@ def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[dict[int, int
     """Patterns (how many of each size fit into room) and how often to use each, so that they hold at least the demand.
 
     Column generation: simplex over the patterns found so far, a knapsack at the dual prices finds the next one, until
-    none can save more than GAP of the sequences, or one. The solution is rounded down; what then is left, at most a few pieces for each pattern, is filled in by
-    first fit decreasing.
+    none can save more than GAP of the sequences, or one. The solution is rounded down; what then is left, a few pieces
+    for each pattern, is filled in largest first.
     """
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), np.int64)
     need = np.array([demand[s] for s in sizes.tolist()], float)
@@ -144,16 +144,15 @@ def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[dict[int, int
     times = np.where(cost > 0, np.floor(np.maximum(x, 0) + 1e-6), 0).astype(np.int64)
     left = np.maximum(need.astype(np.int64) - patterns @ times, 0)
     found = [({int(s): int(a) for s, a in zip(sizes, patterns[:, p], strict=True) if a}, int(times[p])) for p in range(m) if times[p]]
-    bins: list[list] = []  # room left, items
-    for i in range(m - 1, -1, -1):
-        s = int(sizes[i])
-        for _ in range(int(left[i])):
-            fit = next((b for b in bins if b[0] >= s), None)
-            if fit is None:
-                bins.append(fit := [room, {}])
-            fit[0] -= s
-            fit[1][s] = fit[1].get(s, 0) + 1
-    return found + [(b[1], 1) for b in bins]
+    while left.any():  # the largest sizes that fit, as often as there are enough of them
+        free, pattern = room, np.zeros(m, np.int64)
+        for i in range(m - 1, -1, -1):
+            pattern[i] = min(int(left[i]), free // int(sizes[i]))
+            free -= int(pattern[i] * sizes[i])
+        often = int((left[pattern > 0] // pattern[pattern > 0]).min())
+        left = left - often * pattern
+        found.append(({int(s): int(a) for s, a in zip(sizes, pattern, strict=True) if a}, often))
+    return found
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
