@@ -82,3 +82,14 @@ def ladder(c: Column, labels: list[str]) -> Column:
 def iv_band(iv: Column) -> Column:
     # Upper limits of the bands of information value.
     return F.when(iv < 0.02, "useless").when(iv < 0.1, "weak").when(iv < 0.3, "medium").when(iv < 0.5, "strong").otherwise("suspicious")
+
+
+def ladder_dummies(column: str, steps: list[tuple[float, float]]) -> dict[str, Column]:
+    """A 0/1 column for each (lo, hi], and one for missing values."""
+    c = F.col(column)
+    out = {f"{column}_{lo:g}_{hi:g}": F.coalesce((c > lo) & (c <= hi), F.lit(False)).cast("int") for lo, hi in steps}
+    return out | {f"{column}_missing": c.isNull().cast("int")}
+
+
+def group_dummies(column: str, groups: dict[str, list[str]]) -> dict[str, Column]:
+    return {f"{column}_{name}": F.coalesce(F.col(column).isin(*labels), F.lit(False)).cast("int") for name, labels in groups.items()}

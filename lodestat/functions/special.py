@@ -29,3 +29,11 @@ def binomial_at_least(spark: SparkSession, bads: int, n: int, p: float) -> float
 def jeffreys(spark: SparkSession, bads: int, n: int, p: float) -> float:
     """The posterior probability that the true rate is at most p."""
     return float(_math(spark).Beta.regularizedBeta(float(p), bads + 0.5, n - bads + 0.5))
+
+
+def student_two_sided(spark: SparkSession, t: float, dof: float) -> float:
+    return float(_math(spark).Beta.regularizedBeta(dof / (dof + t * t), dof / 2.0, 0.5))
+
+
+def f_sf(spark: SparkSession, f: float, d1: float, d2: float) -> float:
+    return float(_math(spark).Beta.regularizedBeta(d2 / (d2 + d1 * f), d2 / 2.0, d1 / 2.0))

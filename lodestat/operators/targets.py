@@ -57,3 +57,19 @@ def split_by_hash(df: DataFrame, row_id: str, share: float, seed: int, strata: t
 
 def month_of(d: Column) -> Column:
     return month_index(d)
+
+
+def floor_sample(df: DataFrame, row_id: str, stratum: str, wanted: int, floor: int, seed: int) -> DataFrame:
+    """Of each stratum its share of the wanted rows, at least floor, at most all: those of smallest digest.
+
+    Rows far from the cut are dropped by a digest threshold before the ranking, which only sees what may be taken.
+    """
+    d = df.withColumn("__d", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))).withColumn("__b", F.conv(F.substring("__d", 1, 3), 16, 10).cast("int"))
+    counts = d.groupBy(stratum, "__b").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(stratum)
+    counts = counts.withColumns({"__before": F.sum("__n").over(w.orderBy("__b")) - F.col("__n"), "__of": F.sum("__n").over(w), "__all": F.sum("__n").over(Window.partitionBy())})  # 4096 rows for each stratum
+    take = F.least(F.col("__of"), F.greatest(F.lit(floor), F.rint(F.col("__of") * float(wanted) / F.col("__all")).cast("long")))
+    near = counts.withColumn("__take", take).where(F.col("__before") < F.col("__take")).select(F.col(stratum).alias("__s"), F.col("__b").alias("__at"), "__before", "__take")
+    met = d.join(near, F.col(stratum).eqNullSafe(F.col("__s")) & (F.col("__b") == F.col("__at")))
+    rank = F.row_number().over(Window.partitionBy(stratum, "__b").orderBy("__d", row_id)) + F.col("__before")
+    return met.withColumn("__rank", rank).where(F.col("__rank") <= F.col("__take")).select(*df.columns)

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from lodestat.plans import battery
+from lodestat.plans import battery, modelling  # noqa: F401
 
 from .oracle import differences, duck
 
