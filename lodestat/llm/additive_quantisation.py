@@ -17,8 +17,8 @@ STAGES, WORDS, BEAM = 12, 256, 4
 SAMPLE, ROUNDS = 20_000, 8
 #: Rows scored at once; of each such block the best by code are reranked exactly.
 ROWS, RERANKED = 8192, 160
-#: Queries that go to every task at once (64 doubles each: 2 MB); more are answered block after block.
-QUERIES = 4096
+#: Queries of a block, and pairs of blocks that a worker gets at once (some 5 MB each).
+QUERIES, PAIRS = 512, 8
 
 
 @dataclass
@@ -110,57 +110,91 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     return stored(good.mapInArrow(run, f"id {good.schema['id'].dataType.simpleString()}, v array<double>, code binary, ratio double"), "quantised"), books
 
 
+def _packed(table: DataFrame, rows: int, name: str) -> DataFrame:
+    """One row for each block of at most so many vectors: block, and ids, vectors, codes and ratios as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        made = TaskContext.get().partitionId() << 32
+        for whole in _blocks(batches, rows):
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                ids = b.column(0).to_numpy().astype(np.int64)
+                order = np.argsort(ids, kind="stable")
+                codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+                parts = (ids[order], _vectors(b, "v")[order], codes, b.column(3).to_numpy()[order].astype(np.float32))
+                yield pa.RecordBatch.from_arrays([pa.array([made]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["block", "ids", "v", "codes", "ratio"])
+                made += 1
+
+    return stored(table.mapInArrow(run, "block long, ids binary, v binary, codes binary, ratio binary"), name)
+
+
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors of largest inner product for each vector whose id is divisible by every.
 
-    Every usable row is indexed and scored by code for every query; in each block of ROWS rows the RERANKED best (of
-    equal ones those of smaller id) get exact products, and the best of all blocks are kept. Null, zero, ragged and
-    non-finite vectors take no part; a query's own id is no candidate; an empty table gives no rows.
+    Every usable row is indexed and scored by code for every query: blocks of rows meet blocks of queries, and Spark
+    broadcasts the queries' blocks only while they are under its own limit. In each block of ROWS rows the RERANKED best
+    by code (of equal ones those of smaller id) get exact products, and the best of all blocks are kept. Null, zero, ragged
+    and non-finite vectors take no part; a query's own id is no candidate; rows that repeat an id are one query (the
+    least vector's) and as many candidates; an empty table gives no rows.
     """
     table, books = index(vectors, id_col, vector_col)
-    schema = f"query_id {table.schema['id'].dataType.simpleString()}, vec_id {table.schema['id'].dataType.simpleString()}, score double"
-    asked = table.where(F.pmod("id", F.lit(every)) == 0).select("id", "v")
-    # Queries are a twentieth of the rows: they go out in blocks by hash, each of which fits in a task.
-    n = asked.count()
-    blocks = -(-n // (QUERIES * 3 // 4)) if n > QUERIES else 1
-    found = [_answers(table, [(r["id"], r["v"]) for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()], books, k, schema) for i in range(blocks)] if n else []
-    if not found:
-        return table.sparkSession.createDataFrame([], f"query_id long, rank int, vec_id long, score double")
-    every_one = found[0]
-    for more in found[1:]:
-        every_one = every_one.unionByName(more)
+    spark = table.sparkSession
+    if books is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asked = table.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min(F.struct("v", "code", "ratio")).alias("x")).select("id", "x.v", "x.code", "x.ratio")
+    queries = _packed(asked, QUERIES, "query-blocks").select(F.col("block").alias("asked"), F.col("ids").alias("query_ids"), F.col("v").alias("query_v"))
+    met = _packed(table, ROWS, "row-blocks").crossJoin(queries)  # blocks, not rows
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, PAIRS)
+    try:
+        found = stored(_answers(met, books, k), "neighbours")
+    finally:
+        spark.conf.set(limit, before)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return every_one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _answers(table: DataFrame, queries: list, books: Codebooks, k: int, schema: str) -> DataFrame:
-    """Each task's k best for each query of a block."""
-    shared = table.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries]), np.array([v for _, v in queries]), books))
+def _answers(met: DataFrame, books: Codebooks, k: int) -> DataFrame:
+    """Each task's k best for each query that it meets."""
+    shared = met.sparkSession.sparkContext.broadcast(books)  # STAGES * WORDS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, books = shared.value
-        tables = np.einsum("qd,mwd->mqw", q, books.words).astype(np.float32)
-        best, score = np.full((len(q), k), np.iinfo(np.int64).max), np.full((len(q), k), -np.inf)
-        for b in _blocks(batches):
-            own = b.column(0).to_numpy()
-            order = np.argsort(own, kind="stable")
-            own, x = own[order], _vectors(b, "v")[order]
-            codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(own), -1)[order].T.copy()
-            ratio = b.column(3).to_numpy()[order].astype(np.float32)
-            r = min(RERANKED + 1, len(own))
-            for lo in range(0, len(q), 64):
-                part = tables[:, lo : lo + 64]
-                near = sum(part[m][:, codes[m]] for m in range(len(codes))) * ratio
-                limit = np.partition(near, len(own) - r, axis=1)[:, len(own) - r]
-                for i in range(len(near)):
-                    over, even = np.flatnonzero(near[i] > limit[i]), np.flatnonzero(near[i] == limit[i])
-                    c = np.concatenate([over, even[: r - len(over)]])
-                    c = c[own[c] != ids[lo + i]]
-                    s = np.append(score[lo + i], (x[c] * q[lo + i]).sum(axis=1))
-                    n = np.append(best[lo + i], own[c])
-                    top = np.lexsort((n, -s))[:k]
-                    score[lo + i], best[lo + i] = s[top], n[top]
-        real = np.isfinite(score)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(axis=1))), pa.array(best[real]), pa.array(score[real])], names=["query_id", "vec_id", "score"])
-
-    return table.mapInArrow(run, schema)
+        words, seen = shared.value.words, {}
+        dims = words.shape[2]
+        for b in batches:
+            for r in b.to_pylist():
+                ids, own = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
+                q, x = np.frombuffer(r["query_v"]).reshape(-1, dims), np.frombuffer(r["v"]).reshape(-1, dims)
+                codes, ratio = np.frombuffer(r["codes"], np.uint8).reshape(len(own), -1).T.astype(np.intp), np.frombuffer(r["ratio"], np.float32)
+                if r["asked"] not in seen:
+                    seen[r["asked"]] = ids, np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)
+                _scan(q, ids, x, own, codes, ratio, words, *seen[r["asked"]][1:])
+        for ids, best, score in seen.values():
+            real = np.isfinite(score)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(axis=1))), pa.array(best[real]), pa.array(score[real])], names=["query_id", "vec_id", "score"])
+
+    return met.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def _scan(q: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, codes: np.ndarray, ratio: np.ndarray, words: np.ndarray, best: np.ndarray, score: np.ndarray) -> None:
+    """Score a block of rows (sorted by id) for a block of queries by table lookups, rerank the nearest, and keep the best in best and score."""
+    k, r = best.shape[1], min(RERANKED + 1, len(own))
+    tables = np.einsum("mwd,qd->mwq", words, q, optimize=True).astype(np.float32)
+    for lo in range(0, len(q), 64):
+        part = np.ascontiguousarray(tables[:, :, lo : lo + 64])
+        near = part[0].take(codes[0], axis=0)
+        for m in range(1, len(codes)):
+            near += part[m].take(codes[m], axis=0)
+        near = np.ascontiguousarray((near * ratio[:, None]).T)
+        limit = np.partition(near, len(own) - r, axis=1)[:, len(own) - r]
+        for i in range(len(near)):
+            over, even = np.flatnonzero(near[i] > limit[i]), np.flatnonzero(near[i] == limit[i])
+            c = np.concatenate([over, even[: r - len(over)]])
+            c = c[own[c] != ids[lo + i]]
+            s = np.append(score[lo + i], (x[c] * q[lo + i]).sum(axis=1))
+            n = np.append(best[lo + i], own[c])
+            top = np.lexsort((n, -s))[:k]
+            score[lo + i], best[lo + i] = s[top], n[top]
