@@ -93,3 +93,16 @@ def ladder_dummies(column: str, steps: list[tuple[float, float]]) -> dict[str, C
 
 def group_dummies(column: str, groups: dict[str, list[str]]) -> dict[str, Column]:
     return {f"{column}_{name}": F.coalesce(F.col(column).isin(*labels), F.lit(False)).cast("int") for name, labels in groups.items()}
+
+
+def dummy_design(ladders: dict[str, list[tuple[float, float]]], groups: dict[str, dict[str, list[str]]], references: tuple[str, ...] = ()) -> dict[str, Column]:
+    """All 0/1 columns of a design, made in one select; the reference levels are left out, and a name that is none of them is an error."""
+    out: dict[str, Column] = {}
+    for column, steps in ladders.items():
+        out |= ladder_dummies(column, steps)
+    for column, labels in groups.items():
+        out |= group_dummies(column, labels)
+    unknown = set(references) - set(out)
+    if unknown:
+        raise ValueError(f"references that no level has: {sorted(unknown)}")
+    return {n: c for n, c in out.items() if n not in references}
