@@ -70,7 +70,10 @@ def valid(kind: str, hit: Column) -> Column:
 def _may_hold(kind: str, text: Column) -> Column:
     if kind == "email":
         return (F.instr(text, "@") > 0) | text.rlike(r"(?i)[\x20(\[]at[\x20)\]]")
-    return (F.instr(text, "+") > 0) if kind == "phone base" else text.rlike("[0-9]{2}|[0-9]\\.[0-9]")
+    if kind == "phone base":
+        return F.instr(text, "+") > 0
+    # What each pattern can't do without: a card's digits may all stand apart, a phone candidate has two together.
+    return text.rlike({"card": r"[0-9][\x20-]?[0-9]", "ip": r"[0-9]\.[0-9]", "phone": "[0-9]{2}"}[kind])
 
 
 _NONE = "cast(array() as array<struct<s:int,e:int,hit:string>>)"

@@ -153,6 +153,14 @@ def test_pii_base_spans_stay_and_redaction_removes_them(spark, docs):
     assert pii.fit(empty(spark)) is None and pii.detect(empty(spark), None).count() == 0
 
 
+def test_cards_of_digits_that_stand_apart_are_base_spans(spark):
+    rows = [(1, f"card {' '.join('4' + '1' * 15)} end"), (2, f"card {'-'.join('4' + '1' * 15)} end"), (3, "1 2 3 4 no card")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: (r["n_card"], r["spans"]) for r in pii.detect(docs, None).collect()}
+    assert got == {1: (1, "card:5:36"), 2: (1, "card:5:36"), 3: (0, "")}
+    assert {r["text"] for r in pii.redact(docs, None).collect()} == {"card [CARD] end", "1 2 3 4 no card"}
+
+
 def test_trees_find_what_the_base_patterns_miss(spark):
     rows = [(i, f"see 75367841278130{i % 90 + 10} or card 4111111111111111 4845168114407329 and call 10.0.{i % 256}.{i} today") for i in range(400)]
     model = pii.fit(spark.createDataFrame(rows, "doc_id int, text string"))
