@@ -17,8 +17,6 @@ SHARE, MOST = 1.5, 2.0
 SHARDS, SEED = 16, 20260
 #: A block has about this many words; a source has at most MOST_BLOCKS blocks, which then are larger.
 BLOCK_WORDS, MOST_BLOCKS = 20_000, 4096
-#: Passes that fill up a source's last, partly taken block with ever smaller documents.
-FILL_PASSES = 4
 #: A plan of at most this many blocks (about 100 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_BLOCKS = 100_000
 
@@ -67,9 +65,10 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     document is taken), order (a random place for the shuffle inside a shard).
 
     A source's rows are dealt into blocks by hash. Whole passes take all its blocks, the last pass takes blocks in
-    permuted order up to the target, and of the block in which the target falls the documents that fit. The block
-    draws of a source, in permuted order, go to shards in runs as long as their quotas. Rows repeat as in the input,
-    null sources are one source, a source without words has target 0, and reruns agree.
+    permuted order, passing over those larger than what is left, and then documents of the blocks passed over: a source
+    ends short by less than the smallest document with words that its last pass leaves. The block draws of a source,
+    in permuted order, go to shards in runs as long as their quotas. Rows repeat as in the input, null sources are one
+    source, a source without words has target 0, and reruns agree.
     """
     spark = docs.sparkSession
     text, source = F.coalesce(F.col(text_col), F.lit("")), F.col(source_col)
@@ -79,34 +78,47 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     targets = stored(targets.withColumn("__rest", F.col("target") - F.col("__passes") * F.col("source_size")), "mix-targets")
     placed = rows.join(targets, F.col("__source").eqNullSafe(F.col("source"))).withColumn("__block", F.pmod("__h", "__blocks").cast("int"))
 
-    # One row for each block: MOST_BLOCKS of a source at most.
+    # One row for each block, MOST_BLOCKS of a source at most; then one for each source, whose last pass takes the blocks that fit what is left.
     order = Window.partitionBy("src").orderBy(_hash(F.col("src"), F.col("__block")), "__block")
-    blocks = placed.groupBy("src", "__block", "__passes", "__rest", "__blocks").agg(F.sum("size").alias("__words"))
-    blocks = blocks.withColumn("__upto", F.sum("__words").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__nth", F.row_number().over(order) - 1)
-    whole, left = F.col("__upto") <= F.col("__rest"), F.col("__rest") - (F.col("__upto") - F.col("__words"))
-    blocks = blocks.withColumn("__part", F.when(whole, 2).when(left > 0, 1).otherwise(0)).withColumn("__left", F.when(~whole & (left > 0), left))
-    blocks = stored(blocks.withColumn("__found", F.count("*").over(Window.partitionBy("src"))), "mix-blocks")
-    quotas = blocks.groupBy("src").agg(F.sum(F.col("__passes") + (F.col("__part") > 0).cast("int")).cast("long").alias("q"), F.count("*").alias("n")).orderBy("src").collect()  # a number for each source
-    dealt = split_quotas([r["q"] for r in quotas], shards, SEED)
-    runs = local_rows(spark, json.dumps([{"src": r["src"], "ends": np.cumsum(x).tolist()} for r, x in zip(quotas, dealt, strict=True)]), "src int, ends array<long>")
-    # The draws of a source in order: pass after pass, in each pass the blocks in permuted order.
-    shard = lambda k: F.size(F.filter("ends", lambda e: e <= k * F.col("__found") + F.col("__nth")))
-    passes = F.col("__passes") + (F.col("__part") > 0).cast("int")
-    draws = F.when(passes > 0, F.transform(F.sequence(F.lit(0), F.greatest(passes - 1, F.lit(0))), lambda k: F.struct(k.alias("pass"), shard(k).alias("shard")))).otherwise(F.expr("cast(array() as array<struct<pass:int,shard:int>>)"))
-    plan = blocks.join(runs, "src").select("src", "__block", "__part", "__left", draws.alias("__draws"))
-    met = placed.join(F.broadcast(plan) if sum(r["n"] for r in quotas) <= BROADCAST_BLOCKS else plan, ["src", "__block"])
-
-    # The block that is taken in part, one of each source: the largest documents that fit, then smaller ones.
-    part = met.where("__part = 1").withColumn("__open", F.col("__left")).withColumn("__in", F.lit(False))
-    by_source = Window.partitionBy("src")
-    fill = by_source.orderBy(F.col("__try").desc(), F.col("size").desc(), "__h").rowsBetween(Window.unboundedPreceding, 0)
-    for _ in range(FILL_PASSES):
-        part = part.withColumn("__try", ~F.col("__in") & (F.col("size") <= F.col("__open")))
-        part = part.withColumn("__now", F.col("__try") & (F.sum(F.when(F.col("__try"), F.col("size")).otherwise(0)).over(fill) <= F.col("__open")))
-        part = part.withColumn("__open", F.col("__open") - F.sum(F.when(F.col("__now"), F.col("size")).otherwise(0)).over(by_source)).withColumn("__in", F.col("__in") | F.col("__now"))
-    without = F.slice("__draws", F.lit(1), F.size("__draws") - 1)
+    blocks = stored(placed.groupBy("src", "__block", "__passes", "__rest").agg(F.sum("size").alias("__words")).withColumn("__nth", F.row_number().over(order) - 1), "mix-blocks")
+    walk = F.aggregate("all", F.struct(F.col("__rest").alias("open"), F.expr("cast(array() as array<int>)").alias("took")), lambda a, x: F.when(
+        (x["words"] <= a["open"]) & ((x["words"] > 0) | (a["open"] > 0) | (F.col("__passes") == 0)), F.struct((a["open"] - x["words"]).alias("open"), F.concat(a["took"], F.array(x["nth"])).alias("took")),
+    ).otherwise(a))
+    sources = blocks.groupBy("src", "__passes", "__rest").agg(F.array_sort(F.collect_list(F.struct(F.col("__nth").alias("nth"), F.col("__words").alias("words")))).alias("all"))
+    sources = stored(sources.select("src", F.size("all").alias("__found"), walk.alias("w")).select("src", "__found", F.col("w.open").alias("__open"), F.col("w.took").alias("__took")), "mix-sources")
+    heads = blocks.select("src", "__block", "__passes", "__nth").join(sources, "src").withColumn("__last", F.array_position("__took", F.col("__nth")) - 1)
+    heads = stored(heads.select("src", "__block", "__passes", "__nth", "__found", "__open", F.when(F.col("__last") >= 0, F.col("__last")).alias("__last"), F.size("__took").alias("__whole")), "mix-heads")
+    counted = heads.groupBy("src").agg(F.first(F.col("__passes").cast("long") * F.col("__found") + F.col("__whole")).alias("q"), F.count("*").alias("n")).orderBy("src").collect()  # a number for each source
+    near = (lambda df: F.broadcast(df)) if sum(r["n"] for r in counted) <= BROADCAST_BLOCKS else (lambda df: df)
+
+    # What is still open is less than any block left over: documents of these fill it, the largest sizes first, as many of each as fit.
+    loose = placed.join(near(heads.where("__last is null and __open > 0").select("src", "__block", "__nth", "__open")), ["src", "__block"]).where((F.col("size") > 0) & (F.col("size") <= F.col("__open")))
+    counts = stored(loose.groupBy("src", "__block", "__nth", "__open", "size").agg(F.count("*").alias("n")), "mix-counts")
+    sizes = counts.groupBy("src", "__open", "size").agg(F.sum("n").alias("n")).groupBy("src", "__open").agg(F.sort_array(F.collect_list(F.struct("size", "n")), False).alias("all"))
+    fits = lambda a, x: F.least(x["n"], F.floor(a["open"] / x["size"]))
+    fill = F.aggregate("all", F.struct(F.col("__open").alias("open"), F.expr("cast(array() as array<struct<size:bigint,take:bigint>>)").alias("out")), lambda a, x: F.when(
+        fits(a, x) > 0, F.struct((a["open"] - fits(a, x) * x["size"]).alias("open"), F.concat(a["out"], F.array(F.struct(x["size"].alias("size"), fits(a, x).alias("take")))).alias("out")),
+    ).otherwise(a), lambda a: a["out"])
+    chosen = sizes.select("src", F.explode(fill).alias("x")).select("src", "x.size", "x.take")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("src", "size").orderBy("__nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    filled = counts.join(chosen, ["src", "size"]).withColumn("__take", F.least(F.col("n"), F.col("take") - before)).where("__take > 0")
+    filled = stored(filled.select("src", "__block", "size", "__take"), "mix-fill")
+    extra = {r["src"] for r in filled.select("src").distinct().collect()}  # a number for each source
+
+    dealt = split_quotas([r["q"] + (r["src"] in extra) for r in counted], shards, SEED)
+    runs = local_rows(spark, json.dumps([{"src": r["src"], "ends": np.cumsum(x).tolist()} for r, x in zip(counted, dealt, strict=True)]), "src int, ends array<long>")
+    # The draws of a source in order: pass after pass, in each pass the blocks in permuted order, and what fills up the last one as one more.
+    draw = lambda k, at: F.struct(k.alias("pass"), F.size(F.filter("ends", lambda e: e <= at)).alias("shard"))
+    start, none = F.col("__passes") * F.col("__found"), F.expr("cast(array() as array<struct<pass:int,shard:int>>)")
+    full = F.when(F.col("__passes") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("__passes") - 1, F.lit(0))), lambda k: draw(k, k * F.col("__found") + F.col("__nth")))).otherwise(none)
+    last = F.when(F.col("__last").isNotNull(), F.array(draw(F.col("__passes"), start + F.col("__last")))).otherwise(none)
+    plan = heads.join(runs, "src").select("src", "__block", F.concat(full, last).alias("__draws"), draw(F.col("__passes"), start + F.col("__whole")).alias("__more"))
+    met = placed.join(near(plan), ["src", "__block"]).join(filled, ["src", "__block", "size"], "left")
+
     out = [F.col("__id").alias(id_col), *[F.col(f"__keep_{c}").alias(c) for c in keep], "size", "source_size", "target"]
-    both = met.where("__part != 1").select(*out, F.col("__draws").alias("draws"), "__h").unionByName(part.select(*out, F.when(F.col("__in"), F.col("__draws")).otherwise(without).alias("draws"), "__h"))
+    alike = Window.partitionBy("src", "__block", "size").orderBy("__h")  # of one block
+    part = met.where("__take is not null").withColumn("__in", F.row_number().over(alike) <= F.col("__take"))
+    both = met.where("__take is null").select(*out, F.col("__draws").alias("draws"), "__h").unionByName(part.select(*out, F.when(F.col("__in"), F.concat("__draws", F.array("__more"))).otherwise(F.col("__draws")).alias("draws"), "__h"))
     return both.select(*[c for c in both.columns if c not in ("draws", "__h")], (F.col("size") * F.size("draws")).cast("long").alias("taken"), "draws", F.col("__h").alias("order"))
 
 

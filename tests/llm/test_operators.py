@@ -195,6 +195,20 @@ def test_mix_reaches_targets(spark, docs):
     assert [sum(q) for q in quotas] == [1000, 10, 0, 333] and max(map(sum, zip(*quotas, strict=True))) - min(map(sum, zip(*quotas, strict=True))) <= 1
 
 
+def test_a_giant_document_leaves_its_source_no_shorter_than_the_smallest_left(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 2000)
+    # Every second of three sources is half a giant; the others are small and used twice, so it has to give 1.3 times its words.
+    rows = [(s * 1000 + i, "w " * (27_000 if s % 3 == 1 and i == 0 else 40 + i % 3), f"s{s:02}") for s in range(12) for i in range(660 if s % 3 == 1 else 264)]
+    by = collections.defaultdict(list)
+    for r in mixing.plan_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        by[r["doc_id"] // 1000].append(r)
+    for v in by.values():
+        times = max(len(r["draws"]) for r in v)
+        short = v[0]["target"] - sum(r["taken"] for r in v)
+        smallest = min((r["size"] for r in v if len(r["draws"]) < times), default=1)
+        assert times <= mixing.MOST and 0 <= short < smallest
+
+
 def test_shards_are_even_and_slots_gapless(spark):
     rows = [(i, "copy " * 20 if i % 3 == 0 else f"text {i} " * (i % 50)) for i in range(3000)] + [(3000, None), (7, "again")]
     got = sharding.shard_by_ranges(spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("x")), 40).collect()
