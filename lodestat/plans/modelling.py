@@ -183,7 +183,13 @@ def _(a: DataFrame) -> DataFrame:
 
 @query("v7_bootstrap_difference")
 def _(a: DataFrame) -> DataFrame:
-    return resampling.paired_difference(resampling.replicates(resampling.capped_sample(a, "id", 2000), "y", ["p", "p2"], "id", 20), "p", "p2")
+    return resampling.paired_difference(resampling.replicates(resampling.capped_sample(a, "id"), "y", ["p", "p2"], "id"), "p", "p2")
+
+
+# The feature's own cap and draws, which v6_bootstrap_ci and its SQL cut to 2,000 rows and 20 draws.
+@query("v6_bootstrap_ci_whole")
+def _(a: DataFrame) -> DataFrame:
+    return resampling.intervals(resampling.replicates(resampling.capped_sample(a, "id"), "y", ["p", "p2"], "id"))
 
 
 _RESULTS = _SCORES + """, r as (select split, sum(b * (cg - g / 2.0)) / (max(tb) * max(tg)) as auc, max(abs(cb / tb - cg / tg)) as ks from q group by split), k as (select split, avg(p) / avg(y) as ratio from acc group by 1),
