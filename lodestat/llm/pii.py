@@ -24,14 +24,14 @@ BASE = {
 }
 #: Candidates: what may be personal data beyond the base patterns. Each is generous; the trees decide.
 CANDIDATES = {
-    "email": r"(?i)[a-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\]|\x20dot\x20)\x20?[a-z0-9-]{1,63}+){1,8}",
+    "email": r"(?i)[a-z0-9._%+-]{1,64}+\x20?(?:@|\(at\)|\[at\]|\x20at\x20)\x20?[a-z0-9-]{1,63}+(?:(?:\x20?\.|\x20\.\x20|\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?)[a-z0-9-]{1,63}+){1,8}",
     "ip": r"(?<![0-9])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{12,19}+|[0-9]{4}(?:[\x20-][0-9]{4}){2,3}(?:[\x20-][0-9]{1,3})?|[0-9]{4}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9])",
-    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}|([\x20.-])[0-9]{2}(?:\1[0-9]{2}){2,4})(?![0-9])",
 }
 #: The training sample: at most about so many documents, those of smallest hash.
 SAMPLE_DOCS, TREES, DEPTH, STEP = 20_000, 8, 3, 0.3
-#: A kind's threshold is the lowest at which candidates held out from training are right this often, never under LEAST.
+#: A kind's threshold is the lowest at which the table's candidates that the trees did not see are right this often, never under LEAST.
 PRECISION, LEAST, BINS = 0.95, 0.5, 100
 WINDOW = 24
 #: Words that often stand before personal data, in the four languages.
@@ -44,6 +44,14 @@ def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
 
 
+def plain_address(hit: Column) -> Column:
+    """A hit with (at), [at], (dot), [dot] and a spoken dot written as @ and a dot; a spoken at only where no dot of its domain is written, as prose has it."""
+    spoken = hit.rlike(r"(?i)^[a-z0-9._%+-]+\x20at\x20[^.]*$")
+    dotted = F.regexp_replace(hit, r"(?i)\x20?[(\[]dot[)\]]\x20?|\x20dot\x20", ".")
+    marked = F.regexp_replace(dotted, r"(?i)\x20?[(\[]at[)\]]\x20?", "@")
+    return F.when(spoken, F.regexp_replace(marked, r"(?i)\x20at\x20", "@")).otherwise(marked)
+
+
 def _luhn(c: Column) -> Column:
     """Whether at most 19 digits pass: from the right, every second one doubled."""
     d = F.lpad(_digits(c), 20, "0")
@@ -101,13 +109,13 @@ def base_spans(text: Column, kind: str) -> Column:
 
 def features(kind: Column, hit: Column, before: Column, after: Column) -> Span:
     """What the trees see of a candidate: its format, and the text on both sides."""
-    n = F.length(_digits(hit))
+    n, address = F.length(_digits(hit)), F.when(kind == "email", plain_address(hit)).otherwise(hit)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     return {
         **{f"is_{k}": flag(kind == k) for k in KINDS},
-        "length": F.length(hit).cast("double"), "digits": n.cast("double"),
-        "luhn": flag(F.when((n >= 12) & (n <= 19), _luhn(hit))), "octets": flag(valid("ip", hit)), "at": flag(F.instr(hit, "@") > 0),
-        "plus": flag(hit.startswith("+")), "brackets": flag(hit.rlike(r"\([0-9]+\)")), "spaced": flag(hit.rlike(r"[\x20-]")), "domain": flag(hit.rlike(r"\.[A-Za-z]{2,}$")),
+        "length": F.length(address).cast("double"), "digits": n.cast("double"),
+        "luhn": flag(F.when((n >= 12) & (n <= 19), _luhn(hit))), "octets": flag(valid("ip", hit)), "at": flag(F.instr(address, "@") > 0),
+        "plus": flag(hit.startswith("+")), "brackets": flag(hit.rlike(r"\([0-9]+\)")), "spaced": flag(address.rlike(r"[\x20-]")), "domain": flag(address.rlike(r"\.[A-Za-z]{2,}$")),
         "context": flag(before.rlike(CONTEXT)), "edge_before": flag(before.rlike(r"(^|[^A-Za-z0-9.])$")), "edge_after": flag(after.rlike(r"^($|[^A-Za-z0-9]|\.($|[^0-9]))")),
         "number_before": flag(before.rlike(r"[0-9]\x20?$")), "number_after": flag(after.rlike(r"^\x20?[0-9]")),
     }
@@ -128,32 +136,39 @@ def candidates(text: Column) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict | None:
-    """Boosted trees on a bounded sample of the table's own candidates, and a threshold for each kind.
+    """Boosted trees on a bounded sample of the table's own candidates, and a threshold for each kind from all of them.
 
     There are no labels of personal data; a candidate counts as right if it passes its kind's own test and stands
-    apart from letters and digits around it, which context and format must predict. A fifth of the sample, by hash,
-    sets the thresholds. None if the sample holds no candidate, or only right or wrong ones.
+    apart from letters and digits around it, which context and format must predict. The trees see four fifths of the
+    sample, by hash; all other candidates of the table set the thresholds, and of a kind without any, those of the
+    sample. None if the sample holds no candidate, or only right or wrong ones.
     """
     n = docs.count()
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit("pii"))
-    thin = docs.where(F.pmod(key, F.lit(1 << 30)) < min(1.0, SAMPLE_DOCS / max(1, n)) * (1 << 30)).select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    c = thin.select("key", F.explode(candidates(F.col("t"))).alias("x")).select("key", "x.*")
-    passed = reduce(lambda a, k: F.when(F.col("kind") == k, valid(k, F.col("hit")) if k != "email" else F.col("hit").rlike(r"@[^@]*\.[A-Za-z]{2,}$")).otherwise(a), KINDS, F.lit(False))
+    sampled = F.pmod(key, F.lit(1 << 30)) < min(1.0, SAMPLE_DOCS / max(1, n)) * (1 << 30)
+    passed = reduce(lambda a, k: F.when(F.col("kind") == k, valid(k, F.col("hit")) if k != "email" else plain_address(F.col("hit")).rlike(r"@[^@]*\.[A-Za-z]{2,}$")).otherwise(a), KINDS, F.lit(False))
     made = features(F.col("kind"), F.col("hit"), F.col("before"), F.col("after"))
     whole = (made["edge_before"] > 0) & (made["edge_after"] > 0)
-    rows = c.select((passed & whole).cast("double").alias("label"), "kind", (F.pmod("key", F.lit(5)) == 0).alias("held"), *[v.alias(f"f_{k}") for k, v in made.items()]).repartition(4).cache()
+
+    def of(some: DataFrame) -> DataFrame:
+        thin = some.select((sampled & (F.pmod(key, F.lit(5)) != 0)).alias("seen"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+        c = thin.select("seen", F.explode(candidates(F.col("t"))).alias("x")).select("seen", "x.*")
+        return c.select((passed & whole).cast("double").alias("label"), "kind", "seen", *[v.alias(f"f_{k}") for k, v in made.items()])
+
+    rows = of(docs.where(sampled)).where("seen").repartition(4).cache()
     try:
-        if rows.where("not held").select("label").distinct().count() < 2:
+        if rows.select("label").distinct().count() < 2:
             return None
         assembled = VectorAssembler(inputCols=[f"f_{k}" for k in made], outputCol="features").transform(rows)
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32).fit(assembled.where("not held"))
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32).fit(assembled)
         trees = [_tree(t._java_obj.rootNode()) for t in model.trees]
         fitted = {"names": list(made), "trees": trees, "weights": list(model.treeWeights)}
-        told = rows.where("held").withColumn("p", probability(fitted, {k: F.col(f"f_{k}") for k in made}))
-        bins = told.groupBy("kind", F.least(F.lit(BINS - 1), F.floor(F.col("p") * BINS)).alias("bin")).agg(F.sum("label").alias("right"), F.count("*").alias("all")).collect()  # BINS numbers for each kind
+        told = of(docs).withColumn("p", probability(fitted, {k: F.col(f"f_{k}") for k in made}))
+        bins = told.groupBy("kind", "seen", F.least(F.lit(BINS - 1), F.floor(F.col("p") * BINS)).alias("bin")).agg(F.sum("label").alias("right"), F.count("*").alias("all")).collect()  # twice BINS numbers for each kind
         fitted["thresholds"] = {}
         for k in KINDS:
-            mine = {r["bin"]: (r["right"], r["all"]) for r in bins if r["kind"] == k}
+            mine = {seen: {r["bin"]: (r["right"], r["all"]) for r in bins if r["kind"] == k and r["seen"] == seen} for seen in (False, True)}
+            mine = mine[False] or mine[True]
             good, right, total = 0.9, 0.0, 0
             for b in range(BINS - 1, int(LEAST * BINS) - 1, -1):
                 r, a = mine.get(b, (0.0, 0))

@@ -168,6 +168,27 @@ def test_trees_find_what_the_base_patterns_miss(spark):
     assert got["n_card"] == 0 and got["spans"] == "card:4:20,card:21:37"
 
 
+def test_written_out_addresses_and_paired_phones_are_found(spark):
+    phones = ["055 123 456", "555.0123.4567", "20 123 123"]
+    rows = [(i, f"write {['bob', f'bob{i}'][i % 2]}@mail.example.com or {['look', f'somebodylooked{i}'][i // 2 % 2]} at home.page today, see 4111111111111111 or {7536784127813000 + i} and reach {phones[i % 3]} now") for i in range(400)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id int, text string"))
+    hits = ["bob (at) mail (dot) example (dot) com", "bob [at] mail [dot] example [dot] com", "bob(at)mail.example.com", "bob at mail dot example dot com", "01 23 45 67 89", "612 34 56 78", "030-12-34-56-78"]
+    texts = [(i, f"write {h}. Then go") for i, h in enumerate(hits)] + [(99, "they look at home.page and stay")]
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(spark.createDataFrame(texts, "doc_id int, text string"), model).collect()}
+    assert got == {i: f"{'email' if 'bob' in h else 'phone'}:6:{6 + len(h)}" for i, h in enumerate(hits)} | {99: ""}
+
+
+def test_thresholds_come_from_all_candidates(spark, monkeypatch):
+    rows = [(i, f"see 75367841278130{i % 90 + 10} or card 4111111111111111 4845168114407329" + " ip 10.0.0.1 up" * (i >= 300)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    hashes = {r["doc_id"]: r["k"] % (1 << 30) for r in docs.selectExpr("doc_id", "xxhash64(cast(doc_id as string), 'pii') as k").collect()}
+    monkeypatch.setattr(pii, "SAMPLE_DOCS", 100)
+    limit = 100 / 400 * (1 << 30)
+    docs = docs.where(~F.col("doc_id").isin([i for i, h in hashes.items() if i >= 300 and h < limit]))  # no document of the sample holds an address
+    model = pii.fit(docs)
+    assert model["thresholds"]["ip"] != 0.9
+
+
 def test_mix_reaches_targets(spark, docs):
     rows = mixing.plan_mix(docs).collect()
     assert len(rows) == len(TEXTS) + 1 and all(r["size"] == len(WORD.findall(text_of(r))) and r["taken"] <= 2 * r["size"] for r in rows)
