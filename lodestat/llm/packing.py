@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -14,18 +15,16 @@ from pyspark.sql import functions as F
 from .common import local_rows, small_batches, stored
 
 CAPACITY = 1024
-#: Lengths count in units of so many tokens, rounded up: CAPACITY // UNIT classes at most, whatever the corpus.
-UNIT = 4
 #: How far from the linear program's optimum its solution may be.
-GAP = 1e-4
-#: Steps of the simplex after which its inverse is computed afresh.
-REFRESH = 40
-#: Steps for each class after which the solution is taken as it is.
-TURNS = 10
+GAP = 1e-3
+#: Steps of the simplex after which its inverse is computed afresh, and steps for each class after which the solution is taken as it is, with a warning that names its gap.
+REFRESH, TURNS = 200, 10
+#: The share of the best bound's prices in those that a pattern is looked for with.
+HELD = 0.8
 #: The id that ends a document, and the text that the tokenizer reads as one special token.
 END_ID, SPECIAL = 0, "<|endoftext|>"
-#: Pieces of a class are ranked in buckets of about so many rows.
-BUCKET_ROWS, MOST_BUCKETS = 20_000, 1024
+#: Pieces of a length are ranked in buckets of about so many rows; a table of at most so many buckets (some 30 bytes each) is broadcast, a larger one joined by shuffle.
+BUCKET_ROWS, BROADCAST_BUCKETS = 20_000, 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -83,14 +82,15 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 def _knapsack(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """The most valuable pattern: how often each size is taken within room."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
-    for w in range(1, room + 1):
-        n = np.searchsorted(sizes, w, side="right")
-        best[w] = best[w - 1]
-        if n:
-            v = best[w - sizes[:n]] + values[:n]
-            i = int(v.argmax())
-            if v[i] > best[w]:
-                best[w], took[w] = v[i], i
+    fits = np.searchsorted(sizes, np.arange(room + 1), side="right")
+    for w in range(int(sizes[0]), room + 1):
+        n = fits[w]
+        v = best[w - sizes[:n]] + values[:n]
+        i = int(v.argmax())
+        if v[i] > best[w - 1]:
+            best[w], took[w] = v[i], i
+        else:
+            best[w] = best[w - 1]
     pattern, w = np.zeros(len(sizes), np.int64), room
     while w > 0:
         if took[w] < 0:
@@ -101,48 +101,98 @@ def _knapsack(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float,
     return float(best[room]), pattern
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row exchanges, in element-wise steps: a threaded BLAS may block in a process that has started a JVM."""
+    m = len(a)
+    both = np.hstack([a.astype(float), np.eye(m)])
+    for i in range(m):
+        j = i + int(np.abs(both[i:, i]).argmax())
+        if abs(both[j, i]) < 1e-12:
+            raise ArithmeticError("the basis is singular")
+        both[[i, j]] = both[[j, i]]
+        both[i] /= both[i, i]
+        rows = np.flatnonzero(both[:, i])
+        rows = rows[rows != i]
+        both[rows] -= both[rows, i][:, None] * both[i]
+    return both[:, m:]
+
+
+def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """a times x over the columns where x is not zero, without BLAS."""
+    at = np.flatnonzero(x)
+    return (a[:, at] * x[at]).sum(axis=1)
+
+
+def _largest_first(sizes: np.ndarray, need: np.ndarray, room: int) -> np.ndarray:
+    """A pattern (column) for each size: fill largest first with sizes still needed, use that until one of them is met, and so on."""
+    left, open_sizes, out = need.copy(), np.ones(len(sizes), bool), np.zeros((len(sizes), len(sizes)), np.int64)
+    for _ in sizes:
+        pattern, free = np.zeros(len(sizes), np.int64), room
+        while (fits := np.flatnonzero(open_sizes & (sizes <= free))).size:
+            i = fits[-1]
+            pattern[i] = free // sizes[i]
+            free -= int(pattern[i] * sizes[i])
+        inside = np.flatnonzero(pattern)
+        often = left[inside] / pattern[inside]
+        met = inside[int(often.argmin())]
+        left = np.maximum(left - often.min() * pattern, 0.0)
+        out[:, met], open_sizes[met] = pattern, False
+    return out
+
+
 def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
     """Patterns (how many of each size fit into room) and how often to use each, so that they hold at least the demand.
 
     Column generation: simplex over the patterns found so far, a knapsack at the dual prices finds the next one, until
-    none can save more than GAP of the sequences, or one. The solution is rounded down; what then is left, a few pieces
-    for each pattern, is filled in largest first.
+    none can save more than GAP of the sequences, or one. The solution is rounded down; what then is left, a few pieces for each pattern, is filled in largest
+    first.
     """
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), np.int64)
     need = np.array([demand[s] for s in sizes.tolist()], float)
     m = len(sizes)
     if not m:
         return []
-    patterns, cost = np.diag(room // sizes), np.ones(m)  # the basis: columns that are patterns, or (at no cost) room left over for a size
     exact = need + np.linspace(1, 2, m) * 1e-3  # slightly off the numbers, lest steps of length zero go round in circles
-    least = 0.0
-    for turn in range(TURNS * m):
-        if turn % REFRESH == 0:
-            inverse = np.linalg.inv(patterns)
-            x = inverse @ exact
-        prices = cost @ inverse
-        if prices.min() < -1e-7:
+    patterns, cost = _largest_first(sizes, exact, room), np.ones(m)  # the basis: columns that are patterns, or (at no cost) room left over for a size
+    centre = sizes / room  # prices that no pattern beats; what they make of the demand is the first bound
+    least, fresh, total = float((need * centre).sum()), 0, 0.0
+    for turn in range(TURNS * m + 1):
+        if turn >= fresh:
+            inverse = _inverse(patterns)
+            x, fresh = _times(inverse, exact), turn + REFRESH
+        prices, total = _times(inverse.T, cost), float((cost * x).sum())
+        if total - least <= max(GAP * total, 1.0):
+            break
+        for held in (HELD, 0.0):  # prices held near those of the best bound so far swing less, so that fewer patterns are needed
+            asked = held * centre + (1 - held) * np.maximum(prices, 0)
+            worth, new = _knapsack(sizes, asked, room)
+            bound = float((need * asked).sum()) / max(worth, 1.0)
+            if bound > least:
+                least, centre = bound, asked / max(worth, 1.0)
+            if (prices * new).sum() > 1 + 1e-7:
+                price = 1.0
+                break
+        else:
+            if prices.min() >= -1e-7:
+                break  # no pattern can save anything
             c = int(prices.argmin())
             new, price = np.where(np.arange(m) == c, -1, 0), 0.0
-        else:
-            worth, new = _knapsack(sizes, prices, room)
-            price, total = 1.0, float(cost @ x)
-            least = max(least, total / max(worth, 1.0))  # the optimum is at least this
-            if total - least <= max(GAP * total, 1.0):
-                break
-        d = inverse @ new
+        d = _times(inverse, new)
         ratio = np.where(d > 1e-7, x / np.where(d > 1e-7, d, 1), np.inf)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
-            break
+            fresh = turn + 1  # rounding errors alone can make a program unbounded whose patterns all hold something
+            continue
         x = x - ratio[out] * d
         x[out] = ratio[out]
         patterns[:, out], cost[out] = new, price
-        pivot = inverse[out] / d[out]
-        inverse = inverse - np.outer(d, pivot)
+        pivot, rows = inverse[out] / d[out], np.flatnonzero(d)
+        inverse[rows] -= d[rows, None] * pivot
         inverse[out] = pivot
+    else:
+        warnings.warn(f"after {TURNS * m} steps the linear program is at most {total - least:.1f} of {total:.1f} sequences from its optimum, more than asked for", stacklevel=2)
     times = np.where(cost > 0, np.floor(np.maximum(x, 0) + 1e-6), 0).astype(np.int64)
-    left = np.maximum(need.astype(np.int64) - patterns @ times, 0)
+    left = np.maximum(need.astype(np.int64) - (patterns * times).sum(axis=1), 0)
     found = [({int(s): int(a) for s, a in zip(sizes, patterns[:, p], strict=True) if a}, int(times[p])) for p in range(m) if times[p]]
     while left.any():  # the largest sizes that fit, as often as there are enough of them
         free, pattern = room, np.zeros(m, np.int64)
@@ -158,28 +208,30 @@ def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[dict[int, int
 def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A sequence holds at most capacity tokens; offsets in it are gapless. Full pieces fill a sequence alone; the rest is
-    packed by the patterns of cutting_stock over the histogram of all lengths, which the driver sees (CAPACITY // UNIT
-    numbers), and pieces of a length class take the patterns' slots by rank. Null and empty texts are one end id; equal
-    rows stay separate; an empty table gives no rows; other columns are not looked at.
+    A sequence holds at most capacity tokens; offsets in it are gapless. The driver sees the histogram of lengths
+    (capacity numbers) and packs it by the patterns of cutting_stock; pieces of a length, ranked by hash, take the
+    patterns' slots in turn. Null and empty texts are one end id; texts of any length are cut into pieces; equal rows
+    stay separate; an empty table gives no rows; other columns are not looked at, whatever their names.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, capacity).withColumn("class", F.ceil(F.col("length") / UNIT).cast("int")), "pieces")
-    histogram = {r["class"]: r["count"] for r in cut.groupBy("class").count().collect()}
+    cut = stored(pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, capacity), "pieces")
+    histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity lengths
     slots, first, at = [], 0, dict.fromkeys(histogram, 0)
-    for pattern, times in cutting_stock(histogram, -(-capacity // UNIT)):
+    for pattern, times in cutting_stock(histogram, capacity):
         for c, a in pattern.items():
-            slots.append({"class": c, "lo": at[c], "hi": at[c] + a * times, "each": a, "first": first})
+            slots.append({"length": c, "lo": at[c], "hi": at[c] + a * times, "each": a, "first": first})
             at[c] += a * times
         first += times
-    plan = local_rows(spark, json.dumps(slots), "class int, lo long, hi long, each long, first long")  # a few rows for each class
-    buckets = max(8, min(MOST_BUCKETS, sum(histogram.values()) // BUCKET_ROWS))
-    h = F.xxhash64(F.col("id").cast("string"), "start", "ids_crc32")
-    ranked = cut.withColumn("h", h).withColumn("bucket", F.pmod("h", F.lit(buckets))).withColumn("nth", F.row_number().over(Window.partitionBy("class", "bucket").orderBy("h", "id", "start", "doc_tokens")))
-    before = cut.withColumn("bucket", F.pmod(h, F.lit(buckets))).groupBy("class", "bucket").count()
-    before = before.select("class", "bucket", (F.sum("count").over(Window.partitionBy("class").orderBy("bucket")) - F.col("count")).alias("earlier"))
-    # At most CAPACITY // UNIT * MOST_BUCKETS short rows; and of the plan at most two patterns for each class.
-    seated = ranked.join(F.broadcast(before), ["class", "bucket"]).withColumn("rank", F.col("earlier") + F.col("nth") - 1)
-    seated = seated.join(F.broadcast(plan), "class").where("rank >= lo and rank < hi").withColumn("sequence_id", (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long"))
-    inside = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "class", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    plan = local_rows(spark, json.dumps(slots), "length long, lo long, hi long, each long, first long")  # a few rows for each length
+    buckets = [max(1, -(-histogram.get(n, 0) // BUCKET_ROWS)) for n in range(capacity + 1)]
+    near = (lambda df: F.broadcast(df)) if sum(buckets) <= BROADCAST_BUCKETS else (lambda df: df)
+    shares = F.split(F.lit(",".join(map(str, buckets))), ",")
+    dealt = cut.withColumn("h", F.xxhash64(F.col("id").cast("string"), "start", "ids_crc32"))
+    dealt = dealt.withColumn("bucket", F.pmod("h", F.get(shares, F.col("length").cast("int")).cast("long")))
+    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("h", "id", "start", "doc_tokens")))
+    before = dealt.groupBy("length", "bucket").count()
+    before = before.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("earlier"))
+    seated = ranked.join(near(before), ["length", "bucket"]).withColumn("rank", F.col("earlier") + F.col("nth") - 1)
+    seated = seated.join(F.broadcast(plan), "length").where("rank >= lo and rank < hi").withColumn("sequence_id", (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long"))
+    inside = Window.partitionBy("sequence_id").orderBy(F.col("length").desc(), "rank").rowsBetween(Window.unboundedPreceding, 0)
     return seated.select(F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", (F.sum("length").over(inside) - F.col("length")).alias("offset"))

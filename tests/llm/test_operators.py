@@ -281,11 +281,34 @@ def test_pieces_cover_every_document(spark, docs):
 
 def test_cutting_stock_is_near_the_bound():
     rng = np.random.default_rng(5)
-    demand = collections.Counter(np.ceil(np.minimum(rng.lognormal(5, 0.8, 50_000), 1023) / 4).astype(int).tolist())
-    plan = packing.cutting_stock(demand, 256)
-    assert all(sum(s * a for s, a in p.items()) <= 256 for p, _ in plan)
-    assert all(sum(p.get(s, 0) * k for p, k in plan) >= n for s, n in demand.items())
-    assert sum(k for _, k in plan) <= 1.01 * sum(s * n for s, n in demand.items()) / 256 + 1
+    for lengths, bound in ((np.minimum(rng.lognormal(5, 0.8, 50_000).astype(int) + 1, 1024), 1.001), (rng.integers(300, 700, 50_000), 1.01), (np.full(999, 400), 1.29), (np.array([1, 1024, 3]), 2)):
+        demand = collections.Counter(lengths.tolist())
+        plan = packing.cutting_stock(demand, 1024)
+        assert all(sum(s * a for s, a in p.items()) <= 1024 for p, _ in plan)
+        assert all(sum(p.get(s, 0) * k for p, k in plan) >= n for s, n in demand.items())
+        assert sum(k for _, k in plan) <= bound * sum(s * n for s, n in demand.items()) / 1024 + 1
+    assert packing.cutting_stock({}, 1024) == []
+
+
+def test_patterns_improve_on_largest_first():
+    # Largest first gives 7 + 2 and wastes; 4 + 6 and 7 + 3 fill the room.
+    demand = {7: 1000, 6: 1000, 4: 1000, 3: 1000, 2: 10}
+    assert sum(k for _, k in packing.cutting_stock(demand, 10)) <= 2003
+
+
+def test_the_solver_runs_in_a_process_that_has_packed(spark, docs):
+    assert packing.pack(docs).count() > 0
+    a = np.random.default_rng(1).normal(size=(120, 120))
+    assert np.abs((packing._inverse(a)[:, :, None] * a[None]).sum(axis=1) - np.eye(120)).max() < 1e-6
+
+
+def test_ids_are_those_of_the_tokenizers_file_on_whole_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    slow, fast = Tokenizer.from_file(packing.default_tokenizer()), packing.Tokens(packing.default_tokenizer())
+    assert all(slow.encode(t, add_special_tokens=False).ids == fast(t) for t in texts if t)
 
 
 def test_neighbours_recall(spark):
