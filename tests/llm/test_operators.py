@@ -178,6 +178,33 @@ def test_written_out_addresses_and_paired_phones_are_found(spark):
     assert got == {i: f"{'email' if 'bob' in h else 'phone'}:6:{6 + len(h)}" for i, h in enumerate(hits)} | {99: ""}
 
 
+def test_probabilities_are_pooled_until_they_rise():
+    assert pii.isotonic([(0, 0), (1, 4), (0, 0), (0, 4), (3, 4), (0, 0), (4, 4)]) == [0.0, 0.125, 0.125, 0.125, 0.75, 0.75, 1.0]
+    assert pii.isotonic([(0, 0)] * 3) == [0.0] * 3
+
+
+def test_added_spans_match_a_plain_choice(spark, docs):
+    rows = [(i, f"see 75367841278130{i % 90 + 10} or card 4111111111111111 4845168114407329, call +1 (487) 555-7{i % 900 + 100} at 10.0.{i % 256}.{i % 200} or b{i}@mail.example.com") for i in range(300)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id int, text string"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    seen = F.transform(pii.candidates(text), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.struct(*[v.alias(k) for k, v in pii.features(x["kind"], x["hit"], x["before"], x["after"]).items()]).alias("f")))
+    told = docs.select("doc_id", F.transform(seen, lambda x: F.struct(x["kind"], x["s"], x["e"], pii.probability(model, {k: x["f"][k] for k in model["names"]}).alias("p"))).alias("c"))
+    good = {r["doc_id"]: [(a, pii.KINDS.index(k), b) for k, a, b, p in r["c"] if p >= model["thresholds"][k]] for r in told.collect()}
+    for r in pii.detect(docs, model).collect():
+        base = [(a, pii.KINDS.index(k), b) for a, b, k in base_spans(text_of(r))]
+        taken = []
+        for a, o, b in sorted(good[r["doc_id"]]):
+            if all(y <= a or b <= x for x, _, y in base + taken):
+                taken.append((a, o, b))
+        assert r["spans"] == ",".join(f"{pii.KINDS[o]}:{a}:{b}" for a, o, b in sorted(base + taken))
+
+
+def test_many_hits_in_one_text(spark):
+    text = " ".join(f"é10.0.{i % 256}.{i % 7} up" for i in range(100_000))
+    got = pii.redact(spark.createDataFrame([(1, text, "x")], "doc_id int, text string, __all string"), None).first()
+    assert got["text"] == re.sub(r"[0-9.]+", "[IP]", text) and got["__all"] == "x"
+
+
 def test_thresholds_come_from_all_candidates(spark, monkeypatch):
     rows = [(i, f"see 75367841278130{i % 90 + 10} or card 4111111111111111 4845168114407329" + " ip 10.0.0.1 up" * (i >= 300)) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id int, text string")
