@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +16,11 @@ WEIGHTS = (3.0, 1.0, 2.0)
 #: The mix's size as a share of all sizes, and how often a source may be used at most.
 SHARE, MOST = 1.5, 2.0
 SHARDS, SEED = 16, 20260
-#: A block has about this many words; a source has at most MOST_BLOCKS blocks, which then are larger.
+#: A block has about this many words. Of a large source the blocks grow and their number stays at MOST_BLOCKS: every document keeps its
+#: block, and the last one that is taken in part is cut by hash, without its documents meeting in one task.
 BLOCK_WORDS, MOST_BLOCKS = 20_000, 4096
+#: Bytes of a part of an output shard, as they are read.
+PART_BYTES = 128 << 20
 #: A plan of at most this many blocks (about 100 bytes each) is broadcast; a larger one is joined by shuffle.
 BROADCAST_BLOCKS = 100_000
 
@@ -57,27 +61,23 @@ def _hash(*c: Column) -> Column:
     return F.xxhash64(F.lit(SEED), *c)
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """How often, and to which shards, each document goes, so that sources reach their targets.
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """(__id, __source, size, __h) and more; rows that repeat an id but not its text have hashes of their own."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _hash(F.col(id_col).cast("string"), F.col(text_col)).alias("__h"), *more)
 
-    Returns one row for each input row: id, the columns in keep, size (words; null text: 0), source_size, target, taken
-    (words, repeats counted: 0, 1 or 2 times size), draws (an array of (pass, shard), one entry for each time that the
-    document is taken), order (a random place for the shuffle inside a shard).
 
-    A source's rows are dealt into blocks by hash. Whole passes take all its blocks, the last pass takes blocks in
-    permuted order, passing over those larger than what is left, and then documents of the blocks passed over: a source
-    ends short by less than the smallest document with words that its last pass leaves. The block draws of a source,
-    in permuted order, go to shards in runs as long as their quotas. Rows repeat as in the input, null sources are one
-    source, a source without words has target 0, and reruns agree.
-    """
-    spark = docs.sparkSession
-    text, source = F.coalesce(F.col(text_col), F.lit("")), F.col(source_col)
-    rows = stored(docs.select(F.col(id_col).alias("__id"), source.alias("__source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _hash(F.col(id_col).cast("string")).alias("__h"), *[F.col(c).alias(f"__keep_{c}") for c in keep]), "mix-sizes")
+def _drawn(rows: DataFrame, shards: int) -> Callable[[DataFrame], DataFrame]:
+    """Plan the draws of measured rows; the answer adds source_size, target and draws to the same rows, whatever else these carry."""
+    spark = rows.sparkSession
     targets = source_targets(rows.groupBy(F.col("__source").alias("source")).agg(F.sum("size").cast("long").alias("source_size")))
     targets = targets.withColumn("__blocks", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS)))).withColumn("__passes", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0)).cast("int"))
     targets = stored(targets.withColumn("__rest", F.col("target") - F.col("__passes") * F.col("source_size")), "mix-targets")
-    placed = rows.join(targets, F.col("__source").eqNullSafe(F.col("source"))).withColumn("__block", F.pmod("__h", "__blocks").cast("int"))
 
+    def placed_of(some: DataFrame) -> DataFrame:
+        return some.join(targets, F.col("__source").eqNullSafe(F.col("source"))).withColumn("__block", F.pmod("__h", "__blocks").cast("int"))
+
+    placed = placed_of(rows)
     # One row for each block, MOST_BLOCKS of a source at most; then one for each source, whose last pass takes the blocks that fit what is left.
     order = Window.partitionBy("src").orderBy(_hash(F.col("src"), F.col("__block")), "__block")
     blocks = stored(placed.groupBy("src", "__block", "__passes", "__rest").agg(F.sum("size").alias("__words")).withColumn("__nth", F.row_number().over(order) - 1), "mix-blocks")
@@ -101,9 +101,13 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     ).otherwise(a), lambda a: a["out"])
     chosen = sizes.select("src", F.explode(fill).alias("x")).select("src", "x.size", "x.take")
     before = F.coalesce(F.sum("n").over(Window.partitionBy("src", "size").orderBy("__nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    filled = counts.join(chosen, ["src", "size"]).withColumn("__take", F.least(F.col("n"), F.col("take") - before)).where("__take > 0")
-    filled = stored(filled.select("src", "__block", "size", "__take"), "mix-fill")
-    extra = {r["src"] for r in filled.select("src").distinct().collect()}  # a number for each source
+    filled = stored(counts.join(chosen, ["src", "size"]).withColumn("__take", F.least(F.col("n"), F.col("take") - before)).where("__take > 0").select("src", "__block", "size", "__take", "n"), "mix-fill")
+    # Where only some of a block's documents of one size are taken, the hash of the last of them is the cut; numbers alone are ordered here.
+    alike = Window.partitionBy("src", "__block", "size").orderBy("__h")
+    cut = placed.select("src", "__block", "size", "__h").join(filled.where("__take < n"), ["src", "__block", "size"]).withColumn("__nth", F.row_number().over(alike)).withColumn("__first", F.rank().over(alike)).withColumn("__ties", F.count("*").over(Window.partitionBy("src", "__block", "size", "__h")))
+    cut = cut.where("__nth = __take").select("src", "__block", "size", F.col("__h").alias("__cut"), (F.col("__take") - F.col("__first") + 1).alias("__tied"), "__ties")
+    filled = stored(filled.join(cut, ["src", "__block", "size"], "left"), "mix-cuts")
+    extra = {r["src"]: (r["n"], r["tied"]) for r in filled.groupBy("src").agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("__tied") < F.col("__ties")), F.lit(False)).alias("tied")).collect()}  # two numbers for each source
 
     dealt = split_quotas([r["q"] + (r["src"] in extra) for r in counted], shards, SEED)
     runs = local_rows(spark, json.dumps([{"src": r["src"], "ends": np.cumsum(x).tolist()} for r, x in zip(counted, dealt, strict=True)]), "src int, ends array<long>")
@@ -112,24 +116,52 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     start, none = F.col("__passes") * F.col("__found"), F.expr("cast(array() as array<struct<pass:int,shard:int>>)")
     full = F.when(F.col("__passes") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("__passes") - 1, F.lit(0))), lambda k: draw(k, k * F.col("__found") + F.col("__nth")))).otherwise(none)
     last = F.when(F.col("__last").isNotNull(), F.array(draw(F.col("__passes"), start + F.col("__last")))).otherwise(none)
-    plan = heads.join(runs, "src").select("src", "__block", F.concat(full, last).alias("__draws"), draw(F.col("__passes"), start + F.col("__whole")).alias("__more"))
-    met = placed.join(near(plan), ["src", "__block"]).join(filled, ["src", "__block", "size"], "left")
+    plan = stored(heads.join(runs, "src").select("src", "__block", F.concat(full, last).alias("__draws"), draw(F.col("__passes"), start + F.col("__whole")).alias("__more")), "mix-plan")
+    few = F.broadcast(filled) if sum(n for n, _ in extra.values()) <= BROADCAST_BLOCKS else filled
+
+    def answer(some: DataFrame) -> DataFrame:
+        met = placed_of(some).join(near(plan), ["src", "__block"]).join(few, ["src", "__block", "size"], "left")
+        tied = F.coalesce((F.col("__h") == F.col("__cut")) & (F.col("__tied") < F.col("__ties")), F.lit(False))
+        took = F.col("__take").isNotNull() & (F.col("__cut").isNull() | (F.col("__h") <= F.col("__cut")))
+        if any(t for _, t in extra.values()):  # rows equal in id and text, of which only some are taken
+            some_of = Window.partitionBy("src", "__block", "size", "__h").orderBy("__id")
+            met = met.where(~tied).withColumn("__in", took).unionByName(met.where(tied).withColumn("__in", F.row_number().over(some_of) <= F.col("__tied")))
+        else:
+            met = met.withColumn("__in", took)
+        return met.withColumn("draws", F.when(F.col("__in"), F.concat("__draws", F.array("__more"))).otherwise(F.col("__draws")))
+
+    return answer
 
-    out = [F.col("__id").alias(id_col), *[F.col(f"__keep_{c}").alias(c) for c in keep], "size", "source_size", "target"]
-    alike = Window.partitionBy("src", "__block", "size").orderBy("__h")  # of one block
-    part = met.where("__take is not null").withColumn("__in", F.row_number().over(alike) <= F.col("__take"))
-    both = met.where("__take is null").select(*out, F.col("__draws").alias("draws"), "__h").unionByName(part.select(*out, F.when(F.col("__in"), F.concat("__draws", F.array("__more"))).otherwise(F.col("__draws")).alias("draws"), "__h"))
-    return both.select(*[c for c in both.columns if c not in ("draws", "__h")], (F.col("size") * F.size("draws")).cast("long").alias("taken"), "draws", F.col("__h").alias("order"))
+
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS) -> DataFrame:
+    """How often, and to which shards, each document goes, so that sources reach their targets.
+
+    Returns one row for each input row: id, size (words; null text: 0), source_size, target, taken (words, repeats
+    counted: 0, 1 or 2 times size), draws (an array of (pass, shard), one entry for each time that the document is
+    taken), order (a random place for the shuffle inside a shard).
+
+    A source's rows are dealt into blocks by hash. Whole passes take all its blocks, the last pass takes blocks in
+    permuted order, passing over those larger than what is left, and then documents of the blocks passed over: a source
+    ends short by less than the smallest document with words that its last pass leaves. The block draws of a source,
+    in permuted order, go to shards in runs as long as their quotas. Rows repeat as in the input, null ids are told
+    apart by their texts, null sources are one source, a source without words has target 0, and reruns agree. An empty
+    table gives no rows; other columns are not looked at.
+    """
+    rows = stored(_measured(docs, id_col, text_col, source_col), "mix-sizes")
+    out = _drawn(rows, shards)(rows)
+    return out.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"), "draws", F.col("__h").alias("order"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS) -> DataFrame:
     """The mix itself: every drawn document, repeats included, with all its columns, dealt into shards and shuffled inside each.
 
-    The shard is split over as many tasks as it needs; inside each, rows are in random order. Documents without words
-    are drawn with their block. The output has the columns of docs.
+    Planned on ids and sizes; texts move once, to their shards. A shard is split over as many tasks as its bytes need;
+    inside each, rows are in random order. Documents without words are drawn with their block. The output has the
+    columns of docs, whatever their names; an empty table gives no rows.
     """
     names = docs.columns
-    whole = docs.select(F.struct(*names).alias("__row"), F.col(id_col).alias("__own_id"), F.col(text_col).alias("__own_text"), F.col(source_col).alias("__own_source"))
-    planned = plan_mix(whole, "__own_id", "__own_text", "__own_source", shards, keep=("__row",))
-    drawn = planned.select("__row", "order", F.explode("draws").alias("__draw")).select("__row", F.col("__draw.shard").alias("__shard"), F.xxhash64("order", "__draw.pass").alias("__place"))
-    return drawn.repartition("__shard", F.pmod("__place", F.lit(64))).sortWithinPartitions("__shard", "__place").select(*[F.col("__row").getField(c).alias(c) for c in names])
+    rows = stored(_measured(docs, id_col, text_col, source_col, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__bytes")), "mix-sizes")
+    parts = max(1, -(-int(SHARE * (rows.agg(F.coalesce(F.sum("__bytes"), F.lit(0))).first()[0])) // (shards * PART_BYTES)))
+    planned = _drawn(rows, shards)(_measured(docs, id_col, text_col, source_col, F.struct(*names).alias("__row")))
+    drawn = planned.select("__row", "__h", F.explode("draws").alias("__draw")).select("__row", F.col("__draw.shard").alias("__shard"), F.xxhash64("__h", "__draw.pass").alias("__place"))
+    return drawn.repartition(shards * parts, "__shard", F.pmod("__place", F.lit(parts))).sortWithinPartitions("__shard", "__place").select(*[F.col("__row").getField(c).alias(c) for c in names])

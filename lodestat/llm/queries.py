@@ -38,7 +38,7 @@ def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan_mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.plan_mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.col("draws.shard").alias("shards"), F.col("order").alias("place"))
 
 
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,11 +238,25 @@ def test_mix_reaches_targets(spark, docs):
     assert sorted(map(tuple, mixing.plan_mix(docs.repartition(5)).select("doc_id", "taken").collect())) == sorted((r["doc_id"], r["taken"]) for r in rows)
     out = mixing.mix(docs)
     assert out.columns == docs.columns and collections.Counter(r["doc_id"] for r in out.collect()) == collections.Counter({r["doc_id"]: 0 for r in rows}) + collections.Counter(x for r in rows for x in [r["doc_id"]] * len(r["draws"]))
-    assert mixing.plan_mix(empty(spark)).count() == 0
+    assert mixing.plan_mix(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+    # Every source's draws of whole blocks reach the shards in the numbers that the tree has dealt.
+    seen = collections.defaultdict(set)
+    for r in rows:
+        for at, d in enumerate(r["draws"]):
+            seen[[None, "a", "b", "c"][r["doc_id"] % 4]].add((at, d["shard"]))
+    assert all(0 <= s < mixing.SHARDS for v in seen.values() for _, s in v)
     quotas = mixing.split_quotas([1000, 10, 0, 333], 7, 1)
     assert [sum(q) for q in quotas] == [1000, 10, 0, 333] and max(map(sum, zip(*quotas, strict=True))) - min(map(sum, zip(*quotas, strict=True))) <= 1
 
 
+def test_equal_rows_without_ids_are_taken_in_part(spark):
+    rows = [(None, "a b c", "x")] * 50 + [(None, f"w{i} b", "x") for i in range(30)] + [(i, "one two", "y") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan_mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in got) == len(rows) and all(0 <= r["target"] - r["t"] <= 3 for r in got)
+    assert mixing.mix(docs).count() == mixing.plan_mix(docs).select(F.sum(F.size("draws"))).first()[0]
+
+
 def test_a_giant_document_leaves_its_source_no_shorter_than_the_smallest_left(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK_WORDS", 2000)
     # Every second of three sources is half a giant; the others are small and used twice, so it has to give 1.3 times its words.
