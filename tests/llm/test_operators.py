@@ -285,6 +285,28 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert sharding.shard_by_ranges(empty(spark), 40).count() == 0
 
 
+def test_equal_texts_share_a_shard_and_huge_groups_are_cut(spark):
+    rows = [(i, f"group {i % 700} " * 4) for i in range(7000)] + [(i, "hot " * 30) for i in range(7000, 11000)] + [(None, None)] * 500
+    got = sharding.shard_by_ranges(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    by, size = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in got:
+        by[(r["text_crc32"], r["size"])][r["shard"]] += 1
+        size[r["shard"]] += r["size"]
+    fair = sum(size.values()) / 10
+    assert len(got) == len(rows) and set(size) == set(range(10))
+    for (_, n), v in by.items():
+        assert len(v) == 1 or n * sum(v.values()) > sharding.TOLERANCE * fair
+    assert max(size.values()) - min(size.values()) <= 2 * sharding.TOLERANCE * fair + 200
+
+
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "KEYS_PER_RANGE", 1)  # a poor first sample
+    rows = spark.range(20_000).selectExpr("concat(lpad(hex(xxhash64(if(id % 3 = 0, 0, id))), 16, '0'), lpad(hex(xxhash64(id)), 16, '0'), lpad(hex(id), 16, '0')) as __key", "100L as size")
+    found = sharding.splitters_of(rows, 50, 2_000_000)
+    most = rows.groupBy(sharding._range_of(F.col("__key"), found).alias("r")).agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 4 * 2_000_000 / 50 and sharding.quantiles([], 5) == []
+
+
 def test_language_is_learned_from_labels(spark, docs):
     say = {"en": "the house and the garden with that which is there", "de": "das haus und der garten mit dem was dort ist", "fr": "la maison et le jardin avec ce qui est ici"}
     rows = [(i, " ".join(say[k].split()[(i * 7 + j * 3) % 10] for j in range(30)), k) for i in range(60) for k in say]
