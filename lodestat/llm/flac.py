@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import slices
 
 BLOCK, RATE, DEPTH = 192, 8000, 8
 #: Payload bytes that are encoded or decoded side by side; a bit takes a byte while frames are put together.
@@ -381,11 +381,10 @@ def payload(text: str | None) -> tuple[bytes, int]:
 
 def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): every whole text as a FLAC stream; null and empty texts as one block of blanks. Rows repeat as in the input."""
-    small_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             padded = [payload(t) for t in b.column(1).to_pylist()]
             media = [m for g in _groups([p for p, _ in padded]) for m in encode(g)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in padded], pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
@@ -395,11 +394,10 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", blocks: int = 64) -> DataFrame:
     """(id, first_sample, n_samples, media_offset, pcm): PCM blocks of up to so many frames, each with the sample and the byte where it begins."""
-    small_batches(media.sparkSession)
     chosen = media.select(F.col(id_col).alias("id"), "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, streams = b.column(0).to_pylist(), b.column(1).to_pylist()
             done = 0
             for g in _groups(streams):
@@ -413,11 +411,10 @@ def pcm_blocks(media: DataFrame, id_col: str = "doc_id", blocks: int = 64) -> Da
 
 def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row for each stream, from the samples read back: digests of payload and stream, and the signal's level, crossings and range as text."""
-    small_batches(media.sparkSession)
     chosen = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             streams, rows = b.column(2).to_pylist(), []
             for g in _groups(streams):
                 for m, (pcm, seek) in zip(g, decode(g), strict=True):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, small_batches, stored
+from .common import LOWER, UPPER, slices, stored
 
 #: Text bytes of a chunk and of a bucket's share.
 CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 12_000_000
@@ -85,7 +85,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             cols = [pa.array([(part << 32) | made]), pa.array([ids], pa.list_(kind)), pa.array([train], pa.list_(pa.bool_())), pa.array([n], pa.list_(pa.int64())), pa.array([_squeeze(np.concatenate(runs))], pa.binary()), pa.array([_squeeze(b"\n".join(vocabulary))], pa.binary()), pa.array([size])]
             return pa.RecordBatch.from_arrays(cols, names=["chunk", "ids", "train", "n", "tokens", "words", "bytes"])
 
-        for b in batches:
+        for b in slices(batches):
             kind = b.schema.field(0).type
             for i, t, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = tokens(t)
@@ -297,7 +297,6 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     token is unknown. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(train, F.lit(False)).alias("train"))
     chunks = stored(_chunks(chosen), "lm-chunks")
     size = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]

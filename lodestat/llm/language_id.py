@@ -9,15 +9,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ARROW_ROWS, small_batches
+from .common import slices
 
-#: Bounds of the training sample: documents of each language, characters of each, bytes of each dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 256, 2000, 110_000
+#: Bounds of the training sample: documents of each language that are looked at, and bytes of each dictionary, which is made of whole texts.
+SAMPLE_DOCS, DICT_BYTES = 256, 110_000
+#: There is one dictionary for each label, and all go to every task: more labels than this are an error.
+MOST_LABELS = 256
 #: Texts are compressed in pieces of this many bytes, so that the dictionary counts all the way through a long text.
 PIECE_BYTES = 4096
 LEVEL = 6
-#: A narrow margin is looked at once more with zstandard's closest search; texts up to this many bytes.
-CLOSER, CLOSER_BYTES = 19, 4096
+#: A narrow margin is looked at once more with zstandard's closest search.
+CLOSER = 19
 #: A text is rejected if the runner-up needs fewer than this share more bytes. Short texts need a clear margin, too.
 NARROW = 0.004
 NOTHING = "und"
@@ -26,23 +28,35 @@ HALF = 0.03
 
 
 def learn(docs: DataFrame, train: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, bytes]:
-    """A dictionary for each language from a bounded sample of labelled documents: those of smallest hash, SAMPLE_CHARS of each.
+    """A dictionary for each language from a bounded sample of labelled documents: whole texts in the order of their hashes.
 
-    Null texts and labels take no part; frequent languages come first. The result is bounded by DICT_BYTES for each language.
+    Of a language's SAMPLE_DOCS texts of smallest hash those are taken that still fit in DICT_BYTES; if none does, the
+    shortest one. Null texts and labels take no part, rows that repeat may be taken as often, frequent languages come
+    first, an empty table gives no dictionary, other columns are not looked at. More than MOST_LABELS labels raise.
     """
-    labelled = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("__lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit("language")).alias("__h"), F.col(text_col).alias("__text"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("__lang").count().collect()}
+    chosen = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    labelled = chosen.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("language")).alias("h"), F.octet_length(text_col).alias("n"), F.col(text_col).alias("t"))
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
     if not counts:
         return {}
-    # Of a frequent language only a thin slice by hash goes into the ranking.
+    # Of a frequent language only a thin slice by hash goes into the ranking, of lengths alone.
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * SAMPLE_DOCS / n)))])
-    near = labelled.where(F.pmod("__h", F.lit(1 << 30)) < F.element_at(share, F.col("__lang")) * float(1 << 30))
-    ranked = near.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy("__h"))).where(F.col("__n") <= SAMPLE_DOCS)
-    parts: dict[str, list[bytes]] = {k: [] for k in sorted(counts, key=lambda k: (-counts[k], k))}
-    for r in ranked.select("__lang", "__n", F.substring("__text", 1, SAMPLE_CHARS).alias("t")).orderBy("__lang", "__n").collect():
-        parts[r["__lang"]].append(letters(r["t"]))
-    # zstandard refers to the end of a dictionary at the least cost; any part of the sample is as good as another.
-    return {k: b" ".join(v)[:DICT_BYTES] for k, v in parts.items()}
+    near = labelled.where(F.pmod("h", F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * float(1 << 30))
+    ranked = near.select("lang", "h", "n").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= SAMPLE_DOCS)
+    wanted: dict[str, dict[int, int]] = {k: {} for k in counts}  # hash: how often
+    room = dict.fromkeys(counts, DICT_BYTES)
+    looked = sorted(ranked.collect(), key=lambda r: (r["lang"], r["rank"]))
+    for r in looked:
+        if r["n"] <= room[r["lang"]]:
+            wanted[r["lang"]][r["h"]] = wanted[r["lang"]].get(r["h"], 0) + 1
+            room[r["lang"]] -= r["n"]
+    for k in counts:
+        if not wanted[k]:
+            wanted[k][min((r["n"], r["h"]) for r in looked if r["lang"] == k)[1]] = 1
+    texts = {(r["lang"], r["h"]): r["t"] for r in near.where(F.col("h").isin(sorted({h for v in wanted.values() for h in v}))).select("lang", "h", "t").dropDuplicates(["lang", "h"]).collect()}
+    return {k: b" ".join(letters(texts[k, h]) for h, times in sorted(wanted[k].items()) for _ in range(times)) for k in sorted(counts, key=lambda k: (-counts[k], k))}
 
 
 _OTHER = bytes(i if 97 <= i < 123 or i >= 128 else 32 for i in range(256))
@@ -91,7 +105,7 @@ class Classifier:
         if len(sizes) == 1:
             return sizes[0][1], 1.0, False
         margin = (sizes[1][0] - sizes[0][0]) / sizes[0][0]
-        if margin < NARROW and len(data) <= CLOSER_BYTES:
+        if margin < NARROW:
             sizes = self._sizes(data, self.closer)
             margin = (sizes[1][0] - sizes[0][0]) / sizes[0][0]
         return sizes[0][1], margin / (margin + HALF), margin < NARROW
@@ -101,20 +115,18 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     """The columns in keep, and lang_pred, score (0 to 1, the margin's confidence), rejected (narrow margin, or no letter).
 
     Every text is read whole. A null text, one without a letter, and any text if nothing was learned, is ``und`` with score 0 and is
-    rejected; ties go to the language of more labels. Rows repeat as in the input.
+    rejected; ties go to the language of more labels. Rows repeat as in the input, an empty table gives no rows, other
+    columns are not looked at.
     """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most DICT_BYTES for each language
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # at most DICT_BYTES for each language, but for languages of longer texts alone
     chosen = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
     schema = ", ".join([f"k{i} {chosen.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep))] + ["lang_pred string", "score double", "rejected boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Classifier(shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, ARROW_ROWS):
-                b = whole.slice(at, ARROW_ROWS)
-                found = [c.judge(t) for t in b.column(len(keep)).to_pylist()]
-                new = [pa.array(list(x), t) for x, t in zip(zip(*found, strict=True) if found else ([], [], []), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=[*[f"k{i}" for i in range(len(keep))], "lang_pred", "score", "rejected"])
+        for b in slices(batches):
+            found = [c.judge(t) for t in b.column(len(keep)).to_pylist()]
+            new = [pa.array(list(x), t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], *new], names=[*[f"k{i}" for i in range(len(keep))], "lang_pred", "score", "rejected"])
 
     return chosen.mapInArrow(run, schema).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keep)})

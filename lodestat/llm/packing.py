@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import local_rows, small_batches, stored
+from .common import local_rows, slices, stored
 
 CAPACITY = 1024
 #: How far from the linear program's optimum its solution may be.
@@ -60,12 +60,11 @@ class Tokens:
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens): each document's ids and the end id, cut after every capacity ids."""
-    small_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Tokens(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             at, start, length, crc, total = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 ids = np.array([*encode(t or ""), END_ID], "<u4")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, small_batches, stored
+from .common import LOWER, UPPER, slices, stored
 
 #: Fingerprints link at this many differing bits or fewer.
 DISTANCE = 2
@@ -18,6 +18,8 @@ DISTANCE = 2
 BLOCKS = 4
 #: A key shared by more fingerprints than this is not paired off; there a link is found by a common neighbour.
 PAIRED = 48
+#: A key of more fingerprints than CROWDED is dealt to SALTS places where its rows are joined with its count; at most BROADCAST_KEYS such keys are broadcast.
+CROWDED, SALTS, BROADCAST_KEYS = 100_000, 64, 1_000_000
 SHINGLE = 3
 SEED = 42
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -47,11 +49,10 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             got = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], names=["id", "fp"])
 
@@ -87,8 +88,19 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def _with_sharers(keyed: DataFrame) -> DataFrame:
-    """How many fingerprints share each key: counted before the shuffle, then joined, so that no key's rows meet in one task."""
-    return keyed.join(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), ["mask", "key"])
+    """How many fingerprints share each key, for keys of more than one.
+
+    Counts are summed before the shuffle. The join back deals every key to SALTS places, and keys of over CROWDED
+    fingerprints to all of them, so that no place gets more than a share of a key's rows.
+    """
+    counts = stored(keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sharers")
+    crowded = counts.where(F.col("n") > CROWDED).select("mask", "key", F.lit(1).alias("hot"))  # a row for each CROWDED fingerprints and key mask at most
+    if crowded.isEmpty():
+        return keyed.join(counts, ["mask", "key"])
+    near = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
+    marked = keyed.join(near, ["mask", "key"], "left").withColumn("salt", F.when(F.col("hot") == 1, F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).otherwise(-1)).drop("hot")
+    places = F.when(F.col("n") > CROWDED, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    return marked.join(counts.withColumn("salt", F.explode(places)), ["mask", "key", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

@@ -315,6 +315,22 @@ def test_language_is_learned_from_labels(spark, docs):
     assert sum(g["lang_pred"] == r[2] for g, r in zip(sorted(got), sorted((r[0], g2["lang_pred"], r[2]) for r, g2 in zip([r for r in rows if r[0] >= 30], got, strict=True)), strict=True)) >= 0.9 * len(got)
     for r in language_id.identify(docs, known).collect():
         assert (r["lang_pred"] == "und") == (not any(map(str.isalpha, text_of(r)))) and 0 <= r["score"] <= 1
+    # Brute force: a plain compressor for each language, its dictionary of whole texts, on every text.
+    import zstandard as z
+
+    first = collections.Counter(r[2] for r in rows if r[0] < 30)
+    assert set(known) == set(first) and all(b"  " not in v and len(v) <= language_id.DICT_BYTES for v in known.values())
+    plain = {k: z.ZstdCompressor(level=language_id.LEVEL, dict_data=z.ZstdCompressionDict(v.ljust(8), dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for k, v in known.items()}
+    for g, r in zip(sorted(got), sorted((r[0], r[1]) for r in rows if r[0] >= 30), strict=False):
+        if not g["rejected"] and g["score"] > 0.5:
+            data = language_id.letters({(x[0], x[2]): x[1] for x in rows}[g["doc_id"], g["lang_pred"]])
+            assert min((len(c.compress(data)), k) for k, c in plain.items())[1] == g["lang_pred"]
+    long = language_id.Classifier(known).judge(" ".join(t for _, t, k in rows if k == "de") * 3)
+    assert long[0] == "de" and not long[2]
+    one = language_id.learn(spark.createDataFrame([(1, "ab " * 60_000, "xx"), (2, "cd " * 50_000, "xx")], "doc_id long, text string, lang string"), F.lit(True))
+    assert one == {"xx": b" ".join([b"cd"] * 50_000)}
+    with pytest.raises(ValueError):
+        language_id.learn(spark.range(400).selectExpr("id as doc_id", "'a' as text", "cast(id as string) as lang"), F.lit(True))
     assert language_id.learn(empty(spark), F.lit(True)) == {} and language_id.identify(empty(spark), known).count() == 0
 
 
@@ -429,7 +445,9 @@ def test_simhash_groups(spark, docs):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_crowded_keys_lose_no_link(spark):
+@pytest.mark.parametrize("crowded", [100_000, 100])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = np.random.default_rng(2)
     some = {int(x) for x in rng.integers(0, 1 << 63, 40)}
     for x in list(some)[:3]:
