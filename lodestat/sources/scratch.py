@@ -11,10 +11,12 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a folder of our own only where it is unset, as in tests."""
+    """spark.checkpoint.dir, which all executors share; a folder of our own only where it is unset and all runs in one process, as in tests."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-"))
     return _own[0]
