@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stored
 
 BLOCK, RATE, DEPTH = 192, 8000, 8
 #: Payload bytes that are encoded or decoded side by side; a bit takes a byte while frames are put together.
@@ -380,7 +381,7 @@ def payload(text: str | None) -> tuple[bytes, int]:
 
 
 def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media): every whole text as a FLAC stream; null and empty texts as one block of blanks. Rows repeat as in the input."""
+    """(id, n_bytes, media): every whole text as a FLAC stream; null and empty texts as one block of blanks. Rows repeat as in the input, an empty table gives no rows, other columns are not looked at."""
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,38 +393,76 @@ def with_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
-def pcm_blocks(media: DataFrame, id_col: str = "doc_id", blocks: int = 64) -> DataFrame:
-    """(id, first_sample, n_samples, media_offset, pcm): PCM blocks of up to so many frames, each with the sample and the byte where it begins."""
-    chosen = media.select(F.col(id_col).alias("id"), "media")
+_PLACE = "first_sample: bigint, n_samples: bigint, media_offset: bigint, crc32: bigint"
+_PLACES = pa.struct([("first_sample", pa.int64()), ("n_samples", pa.int64()), ("media_offset", pa.int64()), ("crc32", pa.int64())])
+
+
+def pcm_table(media: DataFrame, id_col: str = "doc_id", blocks: int = 64) -> DataFrame:
+    """(id, n_bytes, media_bytes, media_sha256, blocks): each stream decoded to PCM blocks of up to so many frames.
+
+    A block has the sample where it begins, its number of samples, the byte of the stream where its first frame
+    begins, its CRC-32 and the samples. A stream whose checksums don't fit raises. Null streams are none: media comes from
+    with_media. Rows repeat as in the input; an empty table gives no rows.
+    """
+    chosen = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
+    kind = pa.list_(pa.struct([*_PLACES, pa.field("pcm", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, streams = b.column(0).to_pylist(), b.column(1).to_pylist()
-            done = 0
+            streams, rows = b.column(2).to_pylist(), []
             for g in _groups(streams):
-                rows = [(ids[done + j], i * BLOCK, len(pcm[i * BLOCK : (i + blocks) * BLOCK]), int(seek[i]), pcm[i * BLOCK : (i + blocks) * BLOCK]) for j, (pcm, seek) in enumerate(decode(g)) for i in range(0, len(seek), blocks)]
-                done += len(g)
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["id", "first_sample", "n_samples", "media_offset", "pcm"])
+                for m, (pcm, seek) in zip(g, decode(g), strict=True):
+                    parts = [(i * BLOCK, int(seek[i]), pcm[i * BLOCK : (i + blocks) * BLOCK]) for i in range(0, len(seek), blocks)]
+                    rows.append((len(m), hashlib.sha256(m).hexdigest(), [{"first_sample": at, "n_samples": len(x), "media_offset": off, "crc32": zlib.crc32(x), "pcm": x} for at, off, x in parts]))
+            new = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), kind), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], names=["id", "n_bytes", "media_bytes", "media_sha256", "blocks"])
+
+    return chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, n_bytes long, media_bytes long, media_sha256 string, blocks array<struct<{_PLACE}, pcm: binary>>").withColumnRenamed("id", id_col)
+
+
+def pcm_blocks(media: DataFrame, id_col: str = "doc_id", blocks: int = 64) -> DataFrame:
+    """(id, first_sample, n_samples, media_offset, crc32, pcm): pcm_table with one row for each block."""
+    return pcm_table(media, id_col, blocks).select(id_col, F.explode("blocks").alias("b")).select(id_col, "b.*")
 
-    return chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, first_sample long, n_samples long, media_offset long, pcm binary").withColumnRenamed("id", id_col)
+
+def read_samples(blocks: list[dict], first: int, n: int) -> bytes:
+    """Samples first to first + n of a stream from its block table: the blocks that hold them are found by their offsets, and their CRC-32 is verified."""
+    starts = [b["first_sample"] for b in blocks]
+    out = []
+    for b in blocks[max(0, bisect_right(starts, first) - 1) :]:
+        if b["first_sample"] >= first + n:
+            break
+        if len(b["pcm"]) != b["n_samples"] or zlib.crc32(b["pcm"]) != b["crc32"]:
+            raise ValueError(f"the block at sample {b['first_sample']} is damaged")
+        out.append(b["pcm"][max(0, first - b["first_sample"]) : first + n - b["first_sample"]])
+    return b"".join(out)
 
 
 def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row for each stream, from the samples read back: digests of payload and stream, and the signal's level, crossings and range as text."""
-    chosen = media.select(F.col(id_col).alias("id"), "n_bytes", "media")
+    """One row for each stream, from its PCM blocks, which are written to shared storage and read back by offset.
+
+    Digests of payload and stream, the signal's level, crossings and range as text, and seek: the block table (first
+    sample, samples, byte of the stream, CRC-32). Rows repeat as in the input; an empty table gives no rows.
+    """
+    chosen = stored(pcm_table(media, id_col).withColumnRenamed(id_col, "id"), "pcm-blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            streams, rows = b.column(2).to_pylist(), []
-            for g in _groups(streams):
-                for m, (pcm, seek) in zip(g, decode(g), strict=True):
+            rows = []
+            for blocks in b.column(4).to_pylist():
+                blocks.sort(key=lambda x: x["first_sample"])
+                digest, n, power, crossings, low, high, last = hashlib.sha256(), 0, 0, 0, 127, -128, None
+                for place in blocks:
+                    pcm = read_samples(blocks, place["first_sample"], place["n_samples"])
                     x = np.frombuffer(pcm, np.uint8).astype(np.int64) - 128
-                    feature = f"level={(x * x).sum() / len(x):.4f};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())};low={x.min()};high={x.max()};blocks={len(seek)}"
-                    rows.append((len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            new = [pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *new], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    schema = f"id {chosen.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+                    below = x < 0
+                    crossings += int((below[1:] != below[:-1]).sum()) + (last is not None and last != bool(below[0]))
+                    n, power, low, high, last = n + len(x), power + int((x * x).sum()), min(low, int(x.min())), max(high, int(x.max())), bool(below[-1])
+                    digest.update(pcm)
+                feature = f"level={power / n:.4f};crossings={crossings};low={low};high={high};blocks={len(blocks)}"
+                rows.append((n, digest.hexdigest(), zlib.crc32(read_samples(blocks, n - 16, 16)), feature, [{k: v for k, v in x.items() if k != "pcm"} for x in blocks]))
+            size, sha, tail, feature, seek = (pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.list_(_PLACES)), strict=True))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), size, sha, tail, b.column(2), b.column(3), feature, seek], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "seek"])
+
+    schema = f"id {chosen.schema['id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seek array<struct<{_PLACE}>>"
     return chosen.mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -78,7 +78,14 @@ def test_flac_round_trip_and_checksums(spark, docs):
     for b in blocks:
         by[b["doc_id"]][b["first_sample"]] = bytes(b["pcm"])
     assert all(b"".join(v[k] for k in sorted(v)).rstrip(b" ") == text_of({"doc_id": i}).encode().rstrip(b" ") for i, v in by.items())
-    assert flac.with_media(empty(spark)).count() == 0
+    assert flac.with_media(empty(spark)).count() == 0 and flac.media_features(flac.with_media(empty(spark))).count() == 0
+    table = max((r["blocks"] for r in flac.pcm_table(flac.with_media(docs), blocks=3).collect()), key=len)
+    table = [b.asDict() for b in table]
+    whole = b"".join(b["pcm"] for b in table)
+    assert all(flac.read_samples(table, at, 500) == whole[at : at + 500] for at in (0, 1, 575, 576, 577, len(whole) - 500, len(whole) - 20, len(whole)))
+    table[1]["pcm"] = table[1]["pcm"][:-1] + b"?"
+    with pytest.raises(ValueError):
+        flac.read_samples(table, 600, 10)
 
 
 def test_katz_matches_plain_recursion_and_sums_to_one(spark, docs):
