@@ -88,30 +88,63 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return good.where(F.size("v") == (first or 0))
 
 
+def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and norms, whatever the size of the numbers."""
+    top = np.abs(x).max(axis=1)
+    small = x / top[:, None]
+    size = np.sqrt((small**2).sum(axis=1))
+    return (small / size[:, None]).astype(np.float32), size * top
+
+
+def learn(good: DataFrame) -> Codebooks | None:
+    """Codebooks for the directions of at most SAMPLE usable vectors, those of smallest hash. They are fitted in one task: its linear algebra has one thread, which in a driver beside a JVM may block."""
+    n = good.count()
+    if not n:
+        return None
+    thin = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < min(1.0, 1.3 * SAMPLE / n) * (1 << 30))
+    thin = thin if not thin.isEmpty() else good
+    sample = thin.select(F.xxhash64("id").alias("h"), "id", "v").orderBy("h", "id").limit(SAMPLE).coalesce(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_vectors(b, "v") for b in batches]
+        if held:
+            words = fit(_directions(np.concatenate(held))[0]).words
+            yield pa.RecordBatch.from_arrays([pa.array([list(words.shape)], pa.list_(pa.int64())), pa.array([words.tobytes()], pa.binary())], names=["shape", "words"])
+
+    got = sample.mapInArrow(run, "shape array<long>, words binary").first()  # STAGES * WORDS vectors
+    return Codebooks(np.frombuffer(got["words"], np.float32).reshape(got["shape"]))
+
+
 def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, Codebooks | None]:
     """Every usable vector with its codes and its norm over its code's norm, as a table in shared storage; and the codebooks."""
     good = usable(vectors, id_col, vector_col)
-    n = good.count()
-    if not n:
+    books = learn(good)
+    if books is None:
         return good.selectExpr("id", "v", "cast(null as binary) code", "0D ratio"), None
-    thin = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < min(1.0, 1.3 * SAMPLE / n) * (1 << 30))
-    sample = np.array([r["v"] for r in thin.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()] or [r["v"] for r in good.limit(SAMPLE).collect()])
-    books = fit(sample)
     shared = good.sparkSession.sparkContext.broadcast(books)  # STAGES * WORDS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches, 2048):
-            x = _vectors(b, "v")
-            codes = shared.value.encode(x.astype(np.float32))
+            x, norm = _directions(_vectors(b, "v"))
+            codes = shared.value.encode(x)
             size = np.sqrt((shared.value.decode(codes).astype(np.float64) ** 2).sum(axis=1))
-            ratio = np.sqrt((x**2).sum(axis=1)) / np.where(size > 0, size, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio)], names=["id", "v", "code", "ratio"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm / np.where(size > 0, size, 1))], names=["id", "v", "code", "ratio"])
 
     return stored(good.mapInArrow(run, f"id {good.schema['id'].dataType.simpleString()}, v array<double>, code binary, ratio double"), "quantised"), books
 
 
-def _packed(table: DataFrame, rows: int, name: str) -> DataFrame:
-    """One row for each block of at most so many vectors: block, and ids, vectors, codes and ratios as bytes."""
+def _first_copies(x: np.ndarray, most: int) -> np.ndarray:
+    """The rows, in their order, without those that at least most earlier rows equal: ties go to the first, so that no more can be among a query's nearest."""
+    _, which = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.itemsize * x.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    starts = np.flatnonzero(np.diff(which[order], prepend=-1))
+    nth = np.empty(len(x), np.int64)
+    nth[order] = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x))))
+    return np.flatnonzero(nth < most)
+
+
+def _packed(table: DataFrame, rows: int, name: str, most: int = 1 << 62) -> DataFrame:
+    """One row for each block of at most so many vectors: block, and ids, vectors, codes and ratios as bytes. Of equal vectors in a block the most of smallest id stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -122,8 +155,9 @@ def _packed(table: DataFrame, rows: int, name: str) -> DataFrame:
                 b = whole.slice(at, rows)
                 ids = b.column(0).to_numpy().astype(np.int64)
                 order = np.argsort(ids, kind="stable")
+                order = order[_first_copies(_vectors(b, "v")[order], most)]
                 codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-                parts = (ids[order], _vectors(b, "v")[order], codes, b.column(3).to_numpy()[order].astype(np.float32))
+                parts = (ids[order], _vectors(b, "v")[order], codes, b.column(3).to_numpy()[order])
                 yield pa.RecordBatch.from_arrays([pa.array([made]), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["block", "ids", "v", "codes", "ratio"])
                 made += 1
 
@@ -137,7 +171,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     broadcasts the queries' blocks only while they are under its own limit. In each block of ROWS rows the RERANKED best
     by code (of equal ones those of smaller id) get exact products, and the best of all blocks are kept. Null, zero, ragged
     and non-finite vectors take no part; a query's own id is no candidate; rows that repeat an id are one query (the
-    least vector's) and as many candidates; an empty table gives no rows.
+    least vector's) and as many candidates; an empty table gives no rows; other columns are not looked at. Of vectors
+    that equal each other in a block, those that cannot be among a query's k are left out before the search, so that
+    copies don't take up the places that are reranked.
     """
     table, books = index(vectors, id_col, vector_col)
     spark = table.sparkSession
@@ -145,7 +181,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     asked = table.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min(F.struct("v", "code", "ratio")).alias("x")).select("id", "x.v", "x.code", "x.ratio")
     queries = _packed(asked, QUERIES, "query-blocks").select(F.col("block").alias("asked"), F.col("ids").alias("query_ids"), F.col("v").alias("query_v"))
-    met = _packed(table, ROWS, "row-blocks").crossJoin(queries)  # blocks, not rows
+    met = _packed(table, ROWS, "row-blocks", k + 1).crossJoin(queries)  # a stated query set against all rows, in blocks
     limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(limit)
     spark.conf.set(limit, PAIRS)
@@ -168,12 +204,12 @@ def _answers(met: DataFrame, books: Codebooks, k: int) -> DataFrame:
             for r in b.to_pylist():
                 ids, own = np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
                 q, x = np.frombuffer(r["query_v"]).reshape(-1, dims), np.frombuffer(r["v"]).reshape(-1, dims)
-                codes, ratio = np.frombuffer(r["codes"], np.uint8).reshape(len(own), -1).T.astype(np.intp), np.frombuffer(r["ratio"], np.float32)
+                codes, ratio = np.frombuffer(r["codes"], np.uint8).reshape(len(own), -1).T.astype(np.intp), np.frombuffer(r["ratio"])
                 if r["asked"] not in seen:
                     seen[r["asked"]] = ids, np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)
                 _scan(q, ids, x, own, codes, ratio, words, *seen[r["asked"]][1:])
         for ids, best, score in seen.values():
-            real = np.isfinite(score)
+            real = best < np.iinfo(np.int64).max
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(axis=1))), pa.array(best[real]), pa.array(score[real])], names=["query_id", "vec_id", "score"])
 
     return met.mapInArrow(run, "query_id long, vec_id long, score double")
@@ -182,13 +218,13 @@ def _answers(met: DataFrame, books: Codebooks, k: int) -> DataFrame:
 def _scan(q: np.ndarray, ids: np.ndarray, x: np.ndarray, own: np.ndarray, codes: np.ndarray, ratio: np.ndarray, words: np.ndarray, best: np.ndarray, score: np.ndarray) -> None:
     """Score a block of rows (sorted by id) for a block of queries by table lookups, rerank the nearest, and keep the best in best and score."""
     k, r = best.shape[1], min(RERANKED + 1, len(own))
-    tables = np.einsum("mwd,qd->mwq", words, q, optimize=True).astype(np.float32)
+    tables = np.einsum("mwd,qd->mwq", words, _directions(q)[0], optimize=True)  # a query's own length changes no order
     for lo in range(0, len(q), 64):
         part = np.ascontiguousarray(tables[:, :, lo : lo + 64])
         near = part[0].take(codes[0], axis=0)
         for m in range(1, len(codes)):
             near += part[m].take(codes[m], axis=0)
-        near = np.ascontiguousarray((near * ratio[:, None]).T)
+        near = np.ascontiguousarray((near * ratio[:, None]).T)  # doubles: lengths may differ by any factor
         limit = np.partition(near, len(own) - r, axis=1)[:, len(own) - r]
         for i in range(len(near)):
             over, even = np.flatnonzero(near[i] > limit[i]), np.flatnonzero(near[i] == limit[i])

@@ -418,6 +418,29 @@ def test_neighbours_recall(spark):
     assert aq.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_recall_over_several_blocks_with_copies(spark, monkeypatch):
+    monkeypatch.setattr(aq, "ROWS", 1500)
+    monkeypatch.setattr(aq, "RERANKED", 60)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32)) * np.where(np.arange(6000) % 7 == 0, 1e25, 1)[:, None]
+    x[1000:3000] = x[1000]
+    rows = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(2)
+    got = collections.defaultdict(set)
+    for r in aq.search(rows).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for q, v in got.items():
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(v & set(np.lexsort((np.arange(6000), -s))[:20].tolist()))
+    assert len(got) == 300 and hit >= 0.9 * 20 * len(got)
+
+
+def test_only_copies_that_cannot_win_are_left_out():
+    x = np.array([[1.0, 2], [3, 4], [1, 2], [1, 2], [3, 4], [5, 6]])
+    assert aq._first_copies(x, 2).tolist() == [0, 1, 2, 4, 5]
+
+
 def plain_fingerprint(t):
     w = [x.translate(LOW) for x in WORD.findall(t)]
     h = [xxhash.xxh64(" ".join(w[i : i + 3]).encode(), seed=42).intdigest() for i in range(max(1, len(w) - 2))] if w else []
