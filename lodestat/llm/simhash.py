@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, slices, stored
@@ -47,16 +47,16 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(total * 2 > m).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
+    """(id, fp) and more: fp is the fingerprint as a signed long."""
+    chosen = docs.select(F.col(text_col).alias("t"), F.col(id_col).alias("id"), *[c.alias(k) for k, c in more.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            got = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.int64())], names=["id", "fp"])
+            got = np.array([fingerprint(t) for t in b.column(0).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(got, pa.int64())], names=[*b.schema.names[1:], "fp"])
 
-    return chosen.mapInArrow(run, f"id {chosen.schema['id'].dataType.simpleString()}, fp long")
+    return chosen.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[1:]) + ", fp long")
 
 
 def _key_masks() -> list[int]:
@@ -125,16 +125,46 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
 
 
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """distinct (fp and more) with root, the smallest fingerprint of each one's group."""
+    roots = components(links(distinct.select("fp")))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(*[distinct[c] for c in distinct.columns], F.coalesce("root", distinct["fp"]).alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, fingerprint (16 hex digits), component_id (the smallest id reachable, itself included).
 
-    Texts without words (null, empty, blanks) have fingerprint zero and are linked like any other; rows repeat as in
-    the input; other columns are not looked at. Copies collapse to one fingerprint before anything is joined.
+    Texts without words (null, empty, blanks) have fingerprint zero and are linked like any other; a null id is no
+    smallest id unless its group has no other; rows repeat as in the input; an empty table gives no rows; other columns
+    are not looked at. Copies collapse to one fingerprint before anything is joined.
     """
     found = stored(fingerprints(docs, id_col, text_col), "simhash")
     distinct = stored(found.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = components(links(distinct.select("fp")))
-    member = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(distinct["fp"], "least", F.coalesce("root", distinct["fp"]).alias("root"))
+    member = _rooted(distinct)
     first = member.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = member.join(first, "root").select(F.col("fp").alias("__fp"), "component_id")
     return found.join(by_fp, F.col("fp") == F.col("__fp")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest id, null last, and of rows of one id that of the smallest digest of its text.
+
+    Rows equal in id and text are told apart by nothing that matters, one of them stays. Null, empty and blank texts
+    are one group; an empty table gives no rows; all columns stay, whatever their names.
+    """
+    names = docs.columns
+    digests = {"k1": F.xxhash64(text_col), "k2": F.xxhash64(F.lit("second"), F.col(text_col))}
+    found = stored(fingerprints(docs, id_col, text_col, **digests), "simhash")
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("best")
+    member = _rooted(stored(found.groupBy("fp").agg(best), "simhash-distinct"))
+    kept = stored(member.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.k1", "best.k2"), "simhash-kept")
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
+    often = stored(found.join(kept, same(found, kept), "left_semi").groupBy("id", "k1", "k2").agg(F.count("*").alias("n")).where("n > 1"), "simhash-repeated")
+    keyed = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), *[c.alias(k) for k, c in digests.items()])
+    if often.isEmpty():
+        rows = keyed.join(kept, same(keyed, kept), "left_semi")
+    else:
+        once = kept.join(often, same(kept, often), "left_anti")
+        repeated = keyed.join(often, same(keyed, often), "left_semi").dropDuplicates(["id", "k1", "k2"])
+        rows = keyed.join(once, same(keyed, once), "left_semi").unionByName(repeated)
+    return rows.select("row").select(*[F.col("row").getField(c).alias(c) for c in names])

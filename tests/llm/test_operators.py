@@ -487,15 +487,69 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch, crowded):
     assert all(got.get(x, x) == want[x] for x in some)
 
 
-def test_pipeline_stages(spark, docs, tmp_path):
+@pytest.fixture(scope="module")
+def table(docs):
+    return docs.select("doc_id", "text", "lang", "source", "n_chars", F.lit("k").alias("row"), F.lit("h").alias("h")).cache()
+
+
+def rows_of(df):
+    return collections.Counter(tuple(r) for r in df.collect())
+
+
+def test_dedup_stage_keeps_one_row_of_each_group(spark, table):
+    import corpus_pipeline
+
+    more = [(3, "another text of number three", "en", "a", 1, "k", "h"), (None, "one", "en", "b", 3, "k", "h"), (None, "alone without id", "en", "b", 3, "k", "h"), (None, "alone without id", "en", "b", 3, "k", "h"), (77, None, "de", None, 0, "k", "h")]
+    rows = [tuple(r) for r in table.collect()] + more
+    groups = roots_of({plain_fingerprint(r[1] or "") for r in rows})
+    want = {}
+    for r in rows:
+        g = groups[plain_fingerprint(r[1] or "")]
+        rank = (r[0] is None, r[0] or 0)
+        if g not in want or rank < want[g][0]:
+            want[g] = (rank, {r})
+        elif rank == want[g][0]:
+            want[g][1].add(r)
+    got = rows_of(corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, table.schema).repartition(3), ""))
+    assert sum(got.values()) == len(want) and set(got.values()) == {1}
+    assert all(len(set(got) & some) == 1 for _, some in want.values())
+
+
+def test_language_stage_keeps_whole_rows(spark, table):
+    import corpus_pipeline
+
+    known = language_id.Classifier(language_id.learn(table, F.lit(True)))
+    want = collections.Counter(tuple(r) for r in table.collect() if not known.judge(r["text"])[2])
+    assert rows_of(corpus_pipeline.identify_language(spark, table, "")) == want and sum(want.values())
+
+
+def test_redaction_stage_replaces_spans(spark, table):
+    import corpus_pipeline
+
+    found = {r["doc_id"]: r["spans"] for r in pii.detect(table, pii.fit(table)).collect()}
+    for r in corpus_pipeline.redact_personal_data(spark, table, "").collect():
+        before = TEXTS[r["doc_id"]]
+        out, end, merged = "", 0, []
+        for k, a, b in (x.split(":") for x in found[r["doc_id"]].split(",") if x):
+            if merged and merged[-1][1] > int(a):
+                merged[-1][1] = max(merged[-1][1], int(b))
+            else:
+                merged.append([int(a), int(b), k])
+        for a, b, k in merged:
+            out, end = out + before[end:a] + f"[{k.upper()}]", b
+        assert r["text"] == (None if before is None else out + before[end:]) and r["n_chars"] == (None if before is None else len(r["text"])) and r["row"] == "k"
+
+
+def test_pipeline_stages(spark, table, tmp_path):
     import corpus_pipeline
 
-    table = docs.select("doc_id", "text", "lang", "source", "n_chars")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_dedup", "pii", "mixing", "packing"]
-    kept = corpus_pipeline.drop_near_duplicates(spark, table.unionByName(table.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))), "")
-    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(table).collect()}
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([i for i, c in found.items() if i == c] + [None], key=str)
-    table.write.parquet(f"{tmp_path}/documents.parquet")
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    plain = table.drop("row", "h")
+    plain.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, plain, "").collect()}
+    assert pieces and {r["doc_id"] for r in pieces} <= kept
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, table.limit(0), "").columns == table.columns, name
+        none = stage(spark, plain.limit(0), "")
+        assert none.columns == plain.columns and none.count() == 0, name
+    assert corpus_pipeline.pack_sequences(spark, plain.limit(0), "").count() == 0
