@@ -18,7 +18,7 @@ from ..functions.clean import sigmoid
 from ..sources.scratch import stored
 from .loss import spearman
 from .rank import min_rank_descending
-from .stability import bin_of
+from .stability import bin_of, exact_quantiles
 
 
 @dataclass
@@ -99,10 +99,10 @@ def fit(df: DataFrame, y: str, features: Sequence[str], trees: int = 100, depth:
     """signs: 1 where the margin must not fall as the feature grows, -1 where it must not rise."""
     signs = signs or {}
     rows = df.select(F.col(y).cast("double").alias("__y"), *[F.col(f).cast("double").alias(f) for f in features]).where("__y is not null")
-    levels = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    got = rows.agg(F.avg("__y").alias("__rate"), *[F.percentile(f, levels).alias(f) for f in features]).first()
-    edges = {f: sorted(set(got[f] or [])) for f in features}
-    base = log(got["__rate"] / (1 - got["__rate"]))
+    rate_of = rows.agg(F.avg("__y")).first()[0]
+    got = exact_quantiles(rows, features, [i / bins for i in range(1, bins)])
+    edges = {f: sorted(set(got[f])) for f in features}
+    base = log(rate_of / (1 - rate_of))
     binned = F.array(*[F.struct(F.lit(f).alias("f"), F.coalesce(bin_of(F.col(f), edges[f]), F.lit(-1)).alias("b")) for f in features])
     model = Boosted(list(features), base)
     data = stored(rows.withColumns({"__bins": binned, "__m": F.lit(base)}), "boosting")

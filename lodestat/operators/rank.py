@@ -1,6 +1,6 @@
 """Ranking statistics: AUC, Gini, KS, stable ranks, decile and CAP tables, inversions.
 
-A global order never goes through one task: rows are dealt into score buckets, whose totals (at most BUCKETS rows for
+A global order never goes through one task: rows are dealt into score buckets, whose totals (some thousand rows for
 each group) give what lies before a bucket, and windows run inside buckets. Rows of one score stay together.
 """
 
@@ -11,12 +11,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from ..sources.scratch import stored
+
+#: Buckets for each doubling of a score's size; sizes below 2 ** -SMALLEST share one.
+BUCKETS, SMALLEST = 1024, 64
 
 
 def _bucket(p: Column) -> Column:
-    """Monotone in p for probabilities; others go to the ends."""
-    return F.floor(F.least(F.greatest(p.cast("double"), F.lit(0.0)), F.lit(1.0)) * (BUCKETS - 1)).cast("int")
+    """Monotone in p, fine in proportion to its size: probabilities, points, log-odds and amounts alike are spread over thousands of buckets."""
+    x = p.cast("double")
+    size = F.floor((F.log2(F.greatest(F.abs(x), F.lit(2.0**-SMALLEST))) + SMALLEST) * BUCKETS).cast("int")
+    return F.when(x < 0, -size).otherwise(size)
 
 
 def with_running(df: DataFrame, order: Sequence[Column], p: str, sums: dict[str, Column], by: Sequence[str] = (), descending: bool = True) -> DataFrame:
@@ -40,7 +45,7 @@ def score_counts(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataF
 
 def discrimination(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """n, bads, auc (ties count half), gini, ks (after whole ties) of each group; null where a class is missing."""
-    run = with_running(score_counts(df, y, p, by), [F.col("p")], "p", {"cum_b": F.col("bads"), "cum_g": F.col("goods")}, by, descending=False)
+    run = with_running(stored(score_counts(df, y, p, by), "score-counts"), [F.col("p")], "p", {"cum_b": F.col("bads"), "cum_g": F.col("goods")}, by, descending=False)
     whole = run.groupBy(*by).agg(F.sum("bads").alias("b"), F.sum("goods").alias("g"))
     keyed = run.join(whole.withColumnsRenamed({c: f"__{c}" for c in by}), reduce_and([F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])) if by else run.crossJoin(F.broadcast(whole))  # one row
     s = keyed.groupBy(*by).agg(
@@ -62,8 +67,9 @@ def reduce_and(conditions: list[Column]) -> Column:
 def ranked(df: DataFrame, p: str, row_id: str, by: Sequence[str] = (), descending: bool = True) -> DataFrame:
     """Adds rank (from 1; ties by row_id) and n, of each group."""
     order = [F.col(p).desc() if descending else F.col(p), F.col(row_id)]
-    out = with_running(df.where(F.col(p).isNotNull()), order, p, {"rank": F.lit(1)}, by, descending)
-    n = df.where(F.col(p).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    df = stored(df.where(F.col(p).isNotNull()), "ranked")  # read three times
+    out = with_running(df, order, p, {"rank": F.lit(1)}, by, descending)
+    n = df.groupBy(*by).agg(F.count("*").alias("n"))
     if not by:
         return out.crossJoin(F.broadcast(n))  # one row
     n = n.withColumnsRenamed({c: f"__{c}" for c in by})
@@ -77,7 +83,7 @@ def decile_of(rank: Column, n: Column, bins: int = 10) -> Column:
 
 def decile_table(df: DataFrame, y: str, p: str, row_id: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Riskiest first: n, bads, rates, score range, cumulative shares, KS, lift."""
-    r = ranked(df.where(F.col(y).isNotNull()), p, row_id, by).withColumn("decile", decile_of(F.col("rank"), F.col("n"), bins))
+    r = ranked(df.where(F.col(y).isNotNull()).select(*dict.fromkeys([*by, row_id, y, p])), p, row_id, by).withColumn("decile", decile_of(F.col("rank"), F.col("n"), bins))
     t = r.groupBy(*by, "decile").agg(F.count("*").alias("n"), F.sum(y).cast("long").alias("bads"), F.avg(p).alias("mean_pd"), F.min(p).alias("score_min"), F.max(p).alias("score_max"))
     upto, every = Window.partitionBy(*by).orderBy("decile"), Window.partitionBy(*by)
     t = t.withColumns({"cum_bads": F.sum("bads").over(upto), "__cn": F.sum("n").over(upto), "__b": F.sum("bads").over(every), "__n": F.sum("n").over(every)})  # bins rows for each group
@@ -89,15 +95,16 @@ def decile_table(df: DataFrame, y: str, p: str, row_id: str, bins: int = 10, by:
 
 def calibration_table(df: DataFrame, y: str, p: str, row_id: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
     """Safest first: n, mean PD, observed rate, expected and observed bads."""
-    r = ranked(df.where(F.col(y).isNotNull()), p, row_id, by, descending=False).withColumn("bin", decile_of(F.col("rank"), F.col("n"), bins))
+    r = ranked(df.where(F.col(y).isNotNull()).select(*dict.fromkeys([*by, row_id, y, p])), p, row_id, by, descending=False).withColumn("bin", decile_of(F.col("rank"), F.col("n"), bins))
     t = r.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(p).alias("mean_pd"), F.avg(y).alias("obs_rate"), F.sum(p).alias("expected_bads"), F.sum(y).cast("long").alias("bads"))
     return t.withColumn("diff", F.col("obs_rate") - F.col("mean_pd"))
 
 
 def cap_table(df: DataFrame, y: str, p: str, row_id: str, points: int = 101) -> DataFrame:
     """Share of bads among the riskiest, at evenly spaced shares of the population, with the perfect and the random curve."""
-    r = with_running(df.where(F.col(p).isNotNull() & F.col(y).isNotNull()), [F.col(p).desc(), F.col(row_id)], p, {"rank": F.lit(1), "cum_bads": F.col(y)})
-    whole = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).agg(F.count("*").alias("n"), F.sum(y).alias("b"))
+    df = stored(df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).select(*dict.fromkeys([row_id, y, p])), "cap")
+    r = with_running(df, [F.col(p).desc(), F.col(row_id)], p, {"rank": F.lit(1), "cum_bads": F.col(y)})
+    whole = df.agg(F.count("*").alias("n"), F.sum(y).alias("b"))
     grid = whole.select("n", "b", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.rint(i * F.col("n") / (points - 1)).cast("long")))).alias("k"))
     met = F.broadcast(grid).join(r.select("rank", "cum_bads"), F.col("k") == F.col("rank"), "left")  # points rows
     return met.select((F.col("k") / F.col("n")).alias("population"), F.try_divide(F.coalesce("cum_bads", F.lit(0)), F.col("b")).alias("captured"), F.least(F.try_divide(F.col("k"), F.col("b")), F.lit(1.0)).alias("perfect"), (F.col("k") / F.col("n")).alias("random"))
@@ -118,7 +125,7 @@ def group_inversions(df: DataFrame, y: str, p: str, group: str, least: int = 100
 
 def curves(df: DataFrame, y: str, p: str) -> DataFrame:
     """ROC, CAP and KS points: one for each distinct score, riskiest first, with the shares up to it."""
-    c = score_counts(df, y, p)
+    c = stored(score_counts(df, y, p), "score-counts")
     run = with_running(c, [F.col("p").desc()], "p", {"b": F.col("bads"), "g": F.col("goods")})
     whole = c.agg(F.sum("bads").alias("tb"), F.sum("goods").alias("tg"))
     return run.crossJoin(F.broadcast(whole)).select("p", F.try_divide("b", "tb").alias("tpr"), F.try_divide("g", "tg").alias("fpr"), ((F.col("b") + F.col("g")) / (F.col("tb") + F.col("tg"))).alias("population"))  # one row
@@ -144,16 +151,20 @@ def delong(df: DataFrame, y: str, p1: str, p2: str) -> DataFrame:
     where the variance is zero.
     """
     rows = df.where(F.col(y).isNotNull() & F.col(p1).isNotNull() & F.col(p2).isNotNull())
-    whole = rows.agg(F.sum(y).alias("m"), F.sum(1 - F.col(y)).alias("k"))
-    placed = rows.select(F.col(y).alias("y"), F.col(p1).alias("pa"), F.col(p2).alias("pb"))
+    placed = stored(rows.groupBy(F.col(y).alias("y"), F.col(p1).alias("pa"), F.col(p2).alias("pb")).agg(F.count("*").alias("n")), "placements")  # everything below needs these counts alone
+    whole = placed.agg(F.sum(F.col("y") * F.col("n")).alias("m"), F.sum((1 - F.col("y")) * F.col("n")).alias("k"))
     for c, name in (("pa", "va"), ("pb", "vb")):
-        run = with_running(score_counts(placed, "y", c), [F.col("p")], "p", {"cb": F.col("bads"), "cg": F.col("goods")}, descending=False)
+        counts = placed.groupBy(F.col(c).alias("p")).agg(F.sum(F.col("y") * F.col("n")).alias("bads"), F.sum((1 - F.col("y")) * F.col("n")).alias("goods"))
+        run = with_running(counts, [F.col("p")], "p", {"cb": F.col("bads"), "cg": F.col("goods")}, descending=False)
         at = run.select(F.col("p").alias("__p"), (F.col("cg") - F.col("goods") / 2.0).alias("__lower"), (F.col("cb") - F.col("bads") / 2.0).alias("__below"))
         placed = placed.join(at, F.col(c) == F.col("__p")).drop("__p").withColumnsRenamed({"__lower": f"{name}_g", "__below": f"{name}_b"})
     s = placed.crossJoin(F.broadcast(whole))  # one row
-    v = {n: F.when(F.col("y") == 1, F.col(f"{n}_g") / F.col("k")).otherwise(1 - F.col(f"{n}_b") / F.col("m")) for n in ("va", "vb")}
-    s = s.select("y", "m", "k", v["va"].alias("va"), v["vb"].alias("vb"))
-    parts = s.groupBy("y", "m", "k").agg(F.avg("va").alias("a"), F.avg("vb").alias("b"), (F.var_samp("va") + F.var_samp("vb") - 2 * F.covar_samp("va", "vb")).alias("v"))
+    # Halves are taken off, which changes no variance and keeps its digits.
+    v = {n: F.when(F.col("y") == 1, F.col(f"{n}_g") / F.col("k")).otherwise(1 - F.col(f"{n}_b") / F.col("m")) - 0.5 for n in ("va", "vb")}
+    s = s.select("y", "m", "k", "n", v["va"].alias("va"), v["vb"].alias("vb"), (v["va"] - v["vb"]).alias("vd"))
+    total, mean = F.sum("n"), lambda c: F.sum(F.col(c) * F.col("n")) / F.sum("n")
+    spread = (F.sum(F.col("vd") * F.col("vd") * F.col("n")) - total * mean("vd") * mean("vd")) / F.nullif(total - 1, F.lit(0))
+    parts = s.groupBy("y", "m", "k").agg((mean("va") + 0.5).alias("a"), (mean("vb") + 0.5).alias("b"), F.greatest(spread, F.lit(0.0)).alias("v"))
     one = parts.groupBy("m", "k").agg(F.max(F.when(F.col("y") == 1, F.col("a"))).alias("auc_a"), F.max(F.when(F.col("y") == 1, F.col("b"))).alias("auc_b"), F.sum(F.col("v") / F.when(F.col("y") == 1, F.col("m")).otherwise(F.col("k"))).alias("var"))
     z = F.when(F.col("var") > 1e-18, (F.col("auc_a") - F.col("auc_b")) / F.sqrt("var"))
     return one.select("auc_a", "auc_b", (F.col("auc_a") - F.col("auc_b")).alias("d_auc"), z.alias("delong_z"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clipped
 from .rank import decile_of, ranked
 from .regression import Fit, logit_fit, ols_fit
+from .stability import exact_quantiles
 
 #: Winsor limits, the least share of a label with a column of its own, and the residual quantiles.
 LIMITS, RARE, LEVELS = (0.01, 0.99), 0.01, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -44,8 +45,7 @@ def common_labels(df: DataFrame, column: str, share: float = RARE) -> list[str]:
 
 def learn_design(df: DataFrame, numeric: Sequence[str], labels: Sequence[str], reported: Sequence[str] = ()) -> Design:
     """All quantiles in one pass, all moments in a second."""
-    levels = F.array(F.lit(0.5), *[F.lit(v) for v in LIMITS])
-    q = df.agg(*[F.percentile(F.col(c).cast("double"), levels).alias(c) for c in numeric]).first()
+    q = exact_quantiles(df, numeric, [0.5, *LIMITS])
     q = {c: q[c] or [0.0, 0.0, 0.0] for c in numeric}
     x = {c: F.least(F.greatest(F.coalesce(F.col(c).cast("double"), F.lit(q[c][0])), F.lit(q[c][1])), F.lit(q[c][2])) for c in numeric}
     m = df.agg(*[F.avg(x[c]).alias(f"m_{c}") for c in numeric], *[F.stddev_pop(x[c]).alias(f"s_{c}") for c in numeric]).first()

@@ -287,7 +287,7 @@ def _(a: DataFrame) -> DataFrame:
 
 @query("p24_winsor_zscore", "$LENS, s as (select median(qty) as m, quantile_cont(qty, 0.01) as lo, quantile_cont(qty, 0.99) as hi from acc), x as (select id, greatest(least(coalesce(qty, m), hi), lo) as v from acc, s) select id, round((v - avg(v) over ()) / stddev_pop(v) over (), 6) as z from x")
 def _(a: DataFrame) -> DataFrame:
-    s = a.agg(F.percentile("qty", F.array(F.lit(0.5), F.lit(0.01), F.lit(0.99))).alias("q")).first()["q"]
+    s = stability.exact_quantiles(a, ["qty"], [0.5, 0.01, 0.99])["qty"]
     x = a.select("id", F.least(F.greatest(F.coalesce("qty", F.lit(s[0])), F.lit(s[1])), F.lit(s[2])).alias("v"))
     m = x.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
     return x.crossJoin(F.broadcast(m)).select("id", F.when(F.col("s") > 0, (F.col("v") - F.col("m")) / F.col("s")).otherwise(F.col("v") - F.col("m")).alias("z"))  # one row
