@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from lodestat.plans import battery, modelling, reporting  # noqa: F401
+from lodestat.plans import battery, governance, modelling, reporting  # noqa: F401
 
 from .oracle import differences, duck
 
