@@ -19,6 +19,8 @@ CAPACITY = 1024
 GAP = 1e-3
 #: Steps of the simplex after which its inverse is computed afresh, and steps for each class after which the solution is taken as it is, with a warning that names its gap.
 REFRESH, TURNS = 200, 10
+#: The program is also left once so many steps in a row have together saved under GAP of the sequences.
+STALLED = 100
 #: The share of the best bound's prices in those that a pattern is looked for with.
 HELD = 0.8
 #: The id that ends a document, and the text that the tokenizer reads as one special token.
@@ -143,7 +145,7 @@ def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[dict[int, int
     """Patterns (how many of each size fit into room) and how often to use each, so that they hold at least the demand.
 
     Column generation: simplex over the patterns found so far, a knapsack at the dual prices finds the next one, until
-    none can save more than GAP of the sequences, or one. The solution is rounded down; what then is left, a few pieces for each pattern, is filled in largest
+    none can save more than GAP of the sequences, or one, or STALLED steps have saved no more. The solution is rounded down; what then is left, a few pieces for each pattern, is filled in largest
     first.
     """
     sizes = np.array(sorted(s for s, n in demand.items() if n > 0), np.int64)
@@ -154,7 +156,7 @@ def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[dict[int, int
     exact = need + np.linspace(1, 2, m) * 1e-3  # slightly off the numbers, lest steps of length zero go round in circles
     patterns, cost = _largest_first(sizes, exact, room), np.ones(m)  # the basis: columns that are patterns, or (at no cost) room left over for a size
     centre = sizes / room  # prices that no pattern beats; what they make of the demand is the first bound
-    least, fresh, total = float((need * centre).sum()), 0, 0.0
+    least, fresh, total, was = float((need * centre).sum()), 0, 0.0, np.inf
     for turn in range(TURNS * m + 1):
         if turn >= fresh:
             inverse = _inverse(patterns)
@@ -162,6 +164,10 @@ def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[dict[int, int
         prices, total = _times(inverse.T, cost), float((cost * x).sum())
         if total - least <= max(GAP * total, 1.0):
             break
+        if turn % STALLED == 0:
+            if was - total < GAP * total:
+                break
+            was = total
         for held in (HELD, 0.0):  # prices held near those of the best bound so far swing less, so that fewer patterns are needed
             asked = held * centre + (1 - held) * np.maximum(prices, 0)
             worth, new = _knapsack(sizes, asked, room)
