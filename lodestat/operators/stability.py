@@ -31,7 +31,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float])
         return {c: [] for c in columns}
     # A bracket reaches two rank errors and two rows beyond the wanted place on both sides.
     around = {k: [min(1.0, max(0.0, pos / max(1, n[x] - 1) + d * (2.0 / ACCURACY + 2.0 / n[x]))) for d in (-1, 1)] for k, (x, pos) in wanted.items()}
-    rough = narrow.agg(*[F.percentile_approx(x, around[k], ACCURACY).alias(k) for k, (x, _) in wanted.items()], *[F.min(x).alias(f"lo_{x}") for x in xs], *[F.max(x).alias(f"hi_{x}") for x in xs]).first()
+    mine = {x: [k for k, (y, _) in wanted.items() if y == x] for x in xs if n[x]}
+    told = narrow.agg(*[F.percentile_approx(x, [v for k in ks for v in around[k]], ACCURACY).alias(x) for x, ks in mine.items()], *[F.min(x).alias(f"lo_{x}") for x in xs], *[F.max(x).alias(f"hi_{x}") for x in xs]).first()  # one sketch for each column
+    rough = told.asDict() | {k: told[x][2 * i : 2 * i + 2] for x, ks in mine.items() for i, k in enumerate(ks)}
     inside = {k: F.col(x).between(rough[f"lo_{x}"] if around[k][0] == 0 else rough[k][0], rough[f"hi_{x}"] if around[k][1] == 1 else rough[k][1]) for k, (x, _) in wanted.items()}
     below = {k: F.col(x) < (rough[f"lo_{x}"] if around[k][0] == 0 else rough[k][0]) for k, (x, _) in wanted.items()}
     counts = narrow.agg(*[F.count_if(below[k]).alias(f"b_{k}") for k in wanted], *[F.count_if(inside[k]).alias(f"n_{k}") for k in wanted]).first()
