@@ -59,6 +59,17 @@ def test_urls_match_the_rules_in_plain_code(spark):
     assert {r["verdict"] for r in url_filter.filter_urls(spark.createDataFrame([(1, "http://com/en/")], "page_id int, url string"), none).collect()} == {"allow"}
 
 
+def test_urls_give_back_every_copy(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "COPIES", 4)
+    rules = local_rows(spark, queries.URL_RULES, "action string, host string, path string")
+    rows = [(7, "http://com/en/x")] * 9 + [(None, "http://com/en/x")] * 4 + [(None, None)] * 5 + [(8, "http://a.net/de/8")]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id int, url string").repartition(3), rules)
+    counts = collections.Counter((r["page_id"], r["host"], r["verdict"]) for r in got.collect())
+    assert counts == {(7, "com", "block"): 9, (None, "com", "block"): 4, (None, "", "allow"): 5, (8, "a.net", "allow"): 1}
+    assert got.where("false").columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert url_filter.filter_urls(spark.createDataFrame([], "page_id int, url string"), rules).collect() == []
+
+
 def test_flac_round_trip_and_checksums(spark, docs):
     for r in flac.media_features(flac.with_media(docs)).collect():
         raw = text_of(r).encode()
