@@ -3,7 +3,11 @@
 Texts are tokenised once into chunks (some MB of text each, one row of a stored table). Each chunk asks for what it
 needs, once for each distinct word and pair: requests are dealt into buckets by word or history, a bucket sums the
 training counts over all chunks and answers every chunk. A word or pair in every document costs a request for each
-chunk at most, and pairs with a very frequent history are dealt by both words, so no bucket grows with a hot key.
+chunk at most, not one for each time that it occurs, and pairs with a very frequent history are dealt by both words.
+
+A bucket is read whole by one task, and the bucket of a word that all chunks have gets a row from each of them, so
+that requests grow with chunks x buckets: about 19 million short rows at 30 GB. Beyond some TB larger chunks and
+buckets are needed. The order is two: a word backs off from its pair to its own add-one probability.
 """
 
 from __future__ import annotations
