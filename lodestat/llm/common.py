@@ -42,12 +42,22 @@ def clear_stored() -> int:
     return n
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: its lineage is cut, and lost executors lose nothing of it."""
+def stored(df: DataFrame, name: str, partition_by: str | None = None, arrow_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: its lineage is cut, and lost executors lose nothing of it.
+
+    arrow_rows: how many rows go to a Python worker at once during this write alone; the session's setting comes back after it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     _written.append((df.sparkSession, path))
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    writer = writer.partitionBy(partition_by) if partition_by else writer
+    limit = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = df.sparkSession.conf.get(limit)
+    df.sparkSession.conf.set(limit, arrow_rows or before)
+    try:
+        writer.parquet(path)
+    finally:
+        df.sparkSession.conf.set(limit, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import local_rows, slices, stored
+from .common import ARROW_ROWS, local_rows, slices, stored
 
 CAPACITY = 1024
 #: How far from the linear program's optimum its solution may be.
@@ -42,9 +42,7 @@ class Tokens:
         import base64
         import os
 
-        from tokenizers import Tokenizer
-
-        self.slow, self.fast = Tokenizer.from_file(path), None
+        self.path, self.slow, self.fast = path, None, None
         ranks = path.removesuffix(".json") + ".tiktoken"
         if os.path.exists(ranks):
             import public_tokenizers
@@ -56,6 +54,10 @@ class Tokens:
 
     def __call__(self, text: str) -> list[int]:
         if self.fast is None or SPECIAL in text:
+            if self.slow is None:  # few texts need it, and a worker's memory is short
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.path)
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -219,7 +221,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     stay separate; an empty table gives no rows; other columns are not looked at, whatever their names.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, capacity), "pieces")
+    cut = stored(pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, capacity), "pieces", arrow_rows=ARROW_ROWS)
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity lengths
     slots, first, at = [], 0, dict.fromkeys(histogram, 0)
     for pattern, times in cutting_stock(histogram, capacity):
