@@ -158,7 +158,7 @@ def learn(distinct: DataFrame, components: int = COMPONENTS) -> Whitening | None
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([e]), pa.array([e / trace if trace > 0 else 0.0]), pa.array([vector[:, -1 - c].tolist()], pa.list_(pa.float64()))], names=["c", "e", "explained", "v"])
 
     nothing = distinct.sparkSession.range(1).selectExpr("0 as i", "0 as j", "0 as k", "0L as n")  # equal vectors alone have no counts
-    got = sorted(cross_products(distinct, low, bits).unionByName(nothing).coalesce(1).mapInArrow(solve, "c int, e double, explained double, v array<double>").collect(), key=lambda r: r["c"])  # components x dimensions
+    got = sorted(cross_products(distinct, low, bits).unionByName(nothing).repartition(1).mapInArrow(solve, "c int, e double, explained double, v array<double>").collect(), key=lambda r: r["c"])  # components x dimensions
     return Whitening(n, sums, np.array([r["v"] for r in got]), np.array([r["e"] for r in got]), np.array([r["explained"] for r in got]))
 
 
