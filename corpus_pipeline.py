@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     names = docs.columns
     known = language_id.learn(docs, F.lit(True))
-    chosen = docs.select(F.struct(*names).alias("row"), "text")
-    return language_id.identify(chosen, known, keep=("row",)).where("not rejected").select(*[F.col("row").getField(c).alias(c) for c in names])
+    chosen = docs.select(F.struct("*").alias("row"))
+    return language_id.identify(chosen, known, inside="row").where("not rejected").select(*[F.col("row").getField(c).alias(c) for c in names])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

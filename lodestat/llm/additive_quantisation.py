@@ -80,12 +80,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, v): vectors as doubles, without null, zero, ragged, or non-finite ones. The first vector by id sets the number of dimensions."""
+    """(id, v): vectors as doubles, without null, zero, ragged, or non-finite ones. The most frequent length sets the number of dimensions, of equal ones the larger."""
     v = F.col(vector_col).cast("array<double>")
     good = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
     good = good.where(~F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists("v", lambda e: e != 0))
-    first = good.agg(F.min(F.struct("id", F.size("v").alias("n")))["n"]).first()[0]
-    return good.where(F.size("v") == (first or 0))
+    usual = good.groupBy(F.size("v").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
+    return good.where(F.size("v") == (usual["d"] if usual else 0))
 
 
 def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,8 @@ SHARDS, SEED = 16, 20260
 #: A block has about this many words. Of a large source the blocks grow and their number stays at MOST_BLOCKS: every document keeps its
 #: block, and the last one that is taken in part is cut by hash, without its documents meeting in one task.
 BLOCK_WORDS, MOST_BLOCKS = 20_000, 4096
+#: The plan holds a few numbers for each source on the driver: more sources than this are an error.
+MOST_SOURCES = 100_000
 #: Bytes of a part of an output shard, as they are read.
 PART_BYTES = 128 << 20
 #: A plan of at most this many blocks (about 100 bytes each) is broadcast; a larger one is joined by shuffle.
@@ -70,7 +72,10 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, *mor
 def _drawn(rows: DataFrame, shards: int) -> Callable[[DataFrame], DataFrame]:
     """Plan the draws of measured rows; the answer adds source_size, target and draws to the same rows, whatever else these carry."""
     spark = rows.sparkSession
-    targets = source_targets(rows.groupBy(F.col("__source").alias("source")).agg(F.sum("size").cast("long").alias("source_size")))
+    sizes = stored(rows.groupBy(F.col("__source").alias("source")).agg(F.sum("size").cast("long").alias("source_size")), "mix-sources")
+    if sizes.count() > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    targets = source_targets(sizes)
     targets = targets.withColumn("__blocks", F.greatest(F.lit(1), F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("source_size") / BLOCK_WORDS)))).withColumn("__passes", F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0)).cast("int"))
     targets = stored(targets.withColumn("__rest", F.col("target") - F.col("__passes") * F.col("source_size")), "mix-targets")
 
@@ -144,7 +149,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     permuted order, passing over those larger than what is left, and then documents of the blocks passed over: a source
     ends short by less than the smallest document with words that its last pass leaves. The block draws of a source,
     in permuted order, go to shards in runs as long as their quotas. Rows repeat as in the input, null ids are told
-    apart by their texts, null sources are one source, a source without words has target 0, and reruns agree. An empty
+    apart by their texts, null sources are one source, more than MOST_SOURCES sources raise, a source without words has target 0, and reruns agree. An empty
     table gives no rows; other columns are not looked at.
     """
     rows = stored(_measured(docs, id_col, text_col, source_col), "mix-sizes")
@@ -162,6 +167,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     names = docs.columns
     rows = stored(_measured(docs, id_col, text_col, source_col, F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__bytes")), "mix-sizes")
     parts = max(1, -(-int(SHARE * (rows.agg(F.coalesce(F.sum("__bytes"), F.lit(0))).first()[0])) // (shards * PART_BYTES)))
-    planned = _drawn(rows, shards)(_measured(docs, id_col, text_col, source_col, F.struct(*names).alias("__row")))
+    planned = _drawn(rows, shards)(_measured(docs, id_col, text_col, source_col, F.struct("*").alias("__row")))
     drawn = planned.select("__row", "__h", F.explode("draws").alias("__draw")).select("__row", F.col("__draw.shard").alias("__shard"), F.xxhash64("__h", "__draw.pass").alias("__place"))
     return drawn.repartition(shards * parts, "__shard", F.pmod("__place", F.lit(parts))).sortWithinPartitions("__shard", "__place").select(*[F.col("__row").getField(c).alias(c) for c in names])

@@ -168,6 +168,7 @@ def cutting_stock(demand: dict[int, int], room: int) -> list[tuple[dict[int, int
             break
         if turn % STALLED == 0:
             if was - total < GAP * total:
+                warnings.warn(f"the linear program has stalled at most {total - least:.1f} of {total:.1f} sequences from its optimum, more than asked for", stacklevel=2)
                 break
             was = total
         for held in (HELD, 0.0):  # prices held near those of the best bound so far swing less, so that fewer patterns are needed
@@ -221,7 +222,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     stay separate; an empty table gives no rows; other columns are not looked at, whatever their names.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, capacity), "pieces", arrow_rows=ARROW_ROWS)
+    cut = stored(pieces(docs, tokenizer or default_tokenizer(), id_col, text_col, capacity).withColumn("nr", F.monotonically_increasing_id()), "pieces", arrow_rows=ARROW_ROWS)  # a number for each piece, once it is written, tells equal rows apart
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most capacity lengths
     slots, first, at = [], 0, dict.fromkeys(histogram, 0)
     for pattern, times in cutting_stock(histogram, capacity):
@@ -234,8 +235,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     near = (lambda df: F.broadcast(df)) if sum(buckets) <= BROADCAST_BUCKETS else (lambda df: df)
     shares = F.split(F.lit(",".join(map(str, buckets))), ",")
     dealt = cut.withColumn("h", F.xxhash64(F.col("id").cast("string"), "start", "ids_crc32"))
-    dealt = dealt.withColumn("bucket", F.pmod("h", F.get(shares, F.col("length").cast("int")).cast("long")))
-    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("h", "id", "start", "doc_tokens")))
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("h", "nr"), F.get(shares, F.col("length").cast("int")).cast("long")))
+    ranked = dealt.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("h", "id", "start", "doc_tokens", "nr")))
     before = dealt.groupBy("length", "bucket").count()
     before = before.select("length", "bucket", (F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).alias("earlier"))
     seated = ranked.join(near(before), ["length", "bucket"]).withColumn("rank", F.col("earlier") + F.col("nth") - 1)

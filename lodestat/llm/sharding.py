@@ -15,8 +15,8 @@ RANGES_PER_SHARD, RANGE_ROWS = 16, 1_000_000
 KEYS_PER_RANGE = 12
 #: A range of over so many times its share is subdivided by a second sample, at most ROUNDS times.
 OVERFULL, ROUNDS = 2.0, 3
-#: Equal texts stay in one shard while they hold at most this share of a shard's bytes; larger groups are cut where a boundary falls.
-TOLERANCE = 0.02
+#: Equal texts stay in one shard while they hold at most this share of a shard's bytes, or as much as so many of the largest rows; larger groups are cut where a boundary falls.
+TOLERANCE, LARGEST_ROWS = 0.02, 2
 _START = "0" * 32
 
 
@@ -72,8 +72,9 @@ def shard_by_ranges(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     Keys are ordered by a hash of the text, then of the id: equal texts lie together. A sample drawn with probability
     in proportion to size sets fine ranges, and ranges that hold too much are subdivided by a second sample; each
     range's exact bytes are then summed, and a row's shard follows from the exact number of bytes before it. A group of
-    equal texts of at most TOLERANCE of a shard goes as one into the shard that its middle falls into; larger groups
-    are cut where boundaries fall. Shards so differ by about TOLERANCE of a shard, or by one row if that is more.
+    equal texts of at most TOLERANCE of a shard, or of at most LARGEST_ROWS times the largest row, goes as one into the
+    shard that its middle falls into; larger groups are cut where boundaries fall. Shards so differ by at most about
+    the larger of these two bounds.
 
     Returns id, size (UTF-8 bytes and 16; a null text has none), text_crc32 (null counts as empty), law (``bytes``),
     shard, slot (gapless from 0 in a shard), grown_shard (null). Null texts form one group with empty ones; rows repeat
@@ -86,10 +87,15 @@ def shard_by_ranges(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
         F.col(id_col).alias("__id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
         F.concat(hashed(F.xxhash64(text)), hashed(F.xxhash64(F.col(id_col).cast("string"), F.lit("id"))), hashed(F.monotonically_increasing_id())).alias("__key"),
     ), "shard-keys")
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    total, count, largest = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
+    bound = max(TOLERANCE * total / shards, LARGEST_ROWS * largest)
     ranges = shards * max(RANGES_PER_SHARD, -(-count // (shards * RANGE_ROWS)))
     found = splitters_of(rows, ranges, total)
     cut = sorted({k[:16] for k in found if k[16:] != _START})
+    if cut:  # groups of a few boundaries that are small enough are not cut after all
+        small = {r["g"] for r in rows.groupBy(F.left("__key", F.lit(16)).alias("g")).agg(F.sum("size").alias("held")).where(F.col("g").isin(cut) & (F.col("held") <= bound)).collect()}
+        found = sorted({k[:16] + _START if k[:16] in small else k for k in found})
+        cut = [g for g in cut if g not in small]
     ranged = rows.withColumn("__range", _range_of(F.col("__key"), found)).withColumn("__group", F.left("__key", F.lit(16)))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("__range").agg(F.sum("size").alias("__bytes")).select("__range", F.coalesce(F.sum("__bytes").over(before), F.lit(0)).alias("__before"))  # at most as many rows as ranges
@@ -97,7 +103,7 @@ def shard_by_ranges(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     same = Window.partitionBy("__range", "__group")
     placed = ranged.join(F.broadcast(sums), "__range").withColumn("__start", F.col("__before") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     placed = placed.withColumn("__first", F.min("__start").over(same)).withColumn("__held", F.sum("size").over(same))
-    whole = (F.col("__held") <= TOLERANCE * total / shards) & ~(F.array_contains(F.split(F.lit(",".join(cut)), ","), F.col("__group")) if cut else F.lit(False))
+    whole = (F.col("__held") <= bound) & ~(F.array_contains(F.split(F.lit(",".join(cut)), ","), F.col("__group")) if cut else F.lit(False))
     middle = F.when(whole, F.col("__first") + F.col("__held") / 2.0).otherwise(F.col("__start") + F.col("size") / 2.0)
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / max(1, total))).cast("int"))
     placed = stored(placed.withColumn("__nth", F.row_number().over(Window.partitionBy("__range", "shard").orderBy("__key"))).select("__id", "size", "text_crc32", "shard", "__range", "__nth"), "shard-placed")

@@ -103,6 +103,20 @@ def _with_sharers(keyed: DataFrame) -> DataFrame:
     return marked.join(counts.withColumn("salt", F.explode(places)), ["mask", "key", "salt"]).drop("salt")
 
 
+def joined_back(rows: DataFrame, key: str, table: DataFrame, often: str, other: str) -> DataFrame:
+    """Join a table that has one row for each key, and in often how many rows share it, to the rows.
+
+    Keys of over CROWDED rows are dealt to SALTS places by the column other, and their row of the table to all of them.
+    """
+    crowded = table.where(F.col(often) > CROWDED).select(key, F.lit(1).alias("hot"))  # a row for each CROWDED rows at most
+    if crowded.isEmpty():
+        return rows.join(table, key)
+    near = F.broadcast(crowded) if crowded.count() <= BROADCAST_KEYS else crowded
+    marked = rows.join(near, key, "left").withColumn("salt", F.when(F.col("hot") == 1, F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).otherwise(-1)).drop("hot")
+    places = F.when(F.col(often) > CROWDED, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    return marked.join(table.withColumn("salt", F.explode(places)), [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable along undirected edges, for every node of an edge.
 
@@ -111,15 +125,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     logarithm of the longest chain.
     """
     e = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "links")
+    held = e.count()
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        met = joined_back(both, "u", stored(least, "hubs"), "n", "v") if held > CROWDED else both.join(least, "u")  # a hub has at most all links
+        large = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(m, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u != v").distinct()
         new = stored(small, "links")
         before, after = (x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (e, new))
-        e = new
+        e, held = new, after[0]
         if before == after:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     raise RuntimeError(f"components have not settled in {most_rounds} rounds")
@@ -139,11 +155,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are not looked at. Copies collapse to one fingerprint before anything is joined.
     """
     found = stored(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = stored(found.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    member = _rooted(distinct)
-    first = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = member.join(first, "root").select(F.col("fp").alias("__fp"), "component_id")
-    return found.join(by_fp, F.col("fp") == F.col("__fp")).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = stored(found.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
+    member = stored(_rooted(distinct), "simhash-rooted")
+    first = member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    by_fp = joined_back(member, "root", first, "m", "fp").select("fp", "component_id", "n")
+    return joined_back(found, "fp", by_fp, "n", "id").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,7 +176,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = stored(member.groupBy("root").agg(F.min("best").alias("best")).select("best.id", "best.k1", "best.k2"), "simhash-kept")
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["k1"] == b["k1"]) & (a["k2"] == b["k2"])
     often = stored(found.join(kept, same(found, kept), "left_semi").groupBy("id", "k1", "k2").agg(F.count("*").alias("n")).where("n > 1"), "simhash-repeated")
-    keyed = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"), *[c.alias(k) for k, c in digests.items()])
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), *[c.alias(k) for k, c in digests.items()])
     if often.isEmpty():
         rows = keyed.join(kept, same(keyed, kept), "left_semi")
     else:

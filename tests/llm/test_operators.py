@@ -564,3 +564,57 @@ def test_pipeline_stages(spark, table, tmp_path):
         none = stage(spark, plain.limit(0), "")
         assert none.columns == plain.columns and none.count() == 0, name
     assert corpus_pipeline.pack_sequences(spark, plain.limit(0), "").count() == 0
+
+
+def test_language_is_learned_beside_very_many_copies(spark):
+    copies = spark.range(200_000).selectExpr("cast(7 as long) as doc_id", "'the and of with you are' as text", "'en' as lang")
+    few = spark.createDataFrame([(i + 10, f"der die das und nicht ein {i}", "de") for i in range(50)], "doc_id long, text string, lang string")
+    known = language_id.learn(copies.unionByName(few), F.lit(True))
+    assert list(known) == ["en", "de"] and known["en"] == b"the and of with you are" and known["de"].count(b"der die das") == 50
+    only = language_id.learn(copies.where("text = ''").unionByName(few.limit(1)), F.lit(True))
+    assert list(only) == ["de"]
+
+
+def test_one_ragged_vector_does_not_empty_a_search(spark):
+    rng = np.random.default_rng(1)
+    rows = [(0, [1.0, 2.0])] + [(i, rng.normal(size=3).tolist()) for i in range(1, 100)]
+    got = aq.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()
+    assert {r["query_id"] for r in got} == {20, 40, 60, 80} and 0 not in {r["vec_id"] for r in got}
+    tie = [(1, [1.0, 2.0]), (2, [1.0, 2.0, 3.0])]
+    assert [r["id"] for r in aq.usable(spark.createDataFrame(tie, "vec_id long, embedding array<double>")).collect()] == [2]
+
+
+def test_names_with_dots_and_clashes_stay(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"the cat and the dog of {i} are with you", "en", "a", 1, 2) for i in range(30)] + [(i + 50, f"der hund und die katze {i} nicht ein", "de", None, 1, 2) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `a.b` int, `row` int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() > 0
+
+
+def test_equal_texts_share_a_shard_unless_they_are_large(spark):
+    rows = [(i, "a" * 400) for i in range(2)] + [(i + 10, f"text {i} " * 8) for i in range(300)] + [(i + 1000, "b" * 50) for i in range(4)] + [(i + 2000, "hot " * 5) for i in range(2000)]
+    got = [tuple(r) for r in sharding.shard_by_ranges(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).select("doc_id", "shard", "size").collect()]
+    of, sizes = {i: s for i, s, _ in got}, collections.Counter()
+    for _, s, n in got:
+        sizes[s] += n
+    assert of[0] == of[1] and len({of[1000 + i] for i in range(4)}) == 1 and len({of[2000 + i] for i in range(2000)}) > 3
+    assert max(sizes.values()) - min(sizes[s] for s in range(8)) <= 2 * 2 * 416
+
+
+def test_hot_keys_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 5)
+    texts = ["", None, "  "] * 20 + [f"a b c d e f g {i % 3}" for i in range(60)] + [f"some other words {i}" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {tuple(r) for r in simhash.near_duplicates(docs).collect()}
+    monkeypatch.setattr(simhash, "CROWDED", 100_000)
+    assert got == {tuple(r) for r in simhash.near_duplicates(docs).collect()} and len(got) == len(texts)
+
+
+def test_equal_rows_are_dealt_to_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 20)
+    docs = spark.range(200).selectExpr("cast(null as long) as doc_id", "'one and the same text' as text")
+    got = packing.pack(docs).collect()
+    assert len(got) == 200 and len({(r["sequence_id"], r["offset"]) for r in got}) == 200
