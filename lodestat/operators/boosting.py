@@ -1,16 +1,20 @@
-"""Boosted trees with monotone signs, and their exact attributions, both as column expressions.
+"""Boosted trees: grown side by side, level by level or leaf by leaf, with monotone signs, labels, samples and early stops.
 
-A level of a tree is one aggregate: gradients summed by node, feature and bin, combined before the shuffle. The driver sees
-nodes x features x bins sums and picks the splits. Margins are written to shared storage every few trees.
+One pass over the rows serves all models that are being grown: tasks sum gradients by (model, node, feature, bin), the
+sums meet by a shuffle, and the driver, which sees as many numbers as there are such keys, picks the splits. Of two
+siblings the one with fewer rows is summed; the other is the parent without it. Gradients are whole numbers of 2 ** -26,
+so that sums do not depend on their order: reruns and tasks that run again give the same trees.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
-from itertools import combinations
-from math import factorial, inf, log
+from math import inf, log
+from random import Random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,177 +22,434 @@ from ..functions.clean import sigmoid
 from ..sources.scratch import stored
 from .loss import spearman
 from .rank import min_rank_descending
-from .stability import bin_of, exact_quantiles
+from .stability import exact_quantiles
+from .trees import Forest, Node, flatten
 
+__all__ = ["Boosted", "Fold", "Growth", "Node", "additivity", "compare_importance", "fit", "grow", "importance", "rank_agreement", "with_shap"]
 
-@dataclass
-class Node:
-    """A leaf of that value, or a split: values up to the edge go left; missing ones as told."""
-
-    value: float
-    cover: float
-    low: float = -inf
-    high: float = inf
-    feature: str | None = None
-    edge: float = 0.0
-    missing_left: bool = True
-    left: Node | None = None
-    right: Node | None = None
-
-    def goes_left(self) -> Column:
-        return F.coalesce(F.col(self.feature).cast("double") <= F.lit(self.edge), F.lit(self.missing_left))
-
-    def expression(self) -> Column:
-        return F.lit(self.value) if self.feature is None else F.when(self.goes_left(), self.left.expression()).otherwise(self.right.expression())
+#: A gradient's unit, and what a label needs besides its own weight to be put in order.
+UNIT, SMOOTH = float(1 << 26), 10.0
+#: Labels of a feature that have a bin of their own, the most frequent ones; others count as unseen.
+MOST_LABELS = 64
+#: Without a limit of its own, a tree stops at this depth.
+DEEPEST = 30
 
 
 @dataclass
 class Boosted:
+    """Trees over features, of which labels are texts. losses: validation loss after each tree that was tried."""
+
     features: Sequence[str]
     base: float
     trees: list[Node] = field(default_factory=list)
+    labels: Sequence[str] = ()
+    losses: list[float] = field(default_factory=list)
+
+    def _applied(self, what: str, kind: str) -> Column:
+        """A forest's method over the features, Arrow batch by Arrow batch; the trees travel with the tasks."""
+        features, labels, base, roots, made = tuple(self.features), tuple(self.labels), self.base, list(self.trees), []
+
+        def run(*columns):  # noqa: ANN002, ANN202
+            import pandas as pd
+
+            if not made:
+                made.append(Forest(features, labels, base, roots))
+            out = getattr(made[0], what)(made[0].bins([c.to_numpy() for c in columns]))
+            return pd.Series(out if out.ndim == 1 else list(out))
+
+        return F.pandas_udf(run, kind)(*[F.col(f).cast("string" if f in labels else "double") for f in features])
 
     def margin(self) -> Column:
-        out = F.lit(self.base)
-        for t in self.trees:
-            out = out + t.expression()
-        return out
+        return self._applied("margins", "double")
+
+    def prefix_margins(self) -> Column:
+        """An array: the margin after each tree."""
+        return self._applied("prefixes", "array<double>")
 
     def probability(self) -> Column:
         return sigmoid(self.margin())
 
 
-def _leaves(node: Node, path: tuple = ()) -> list[tuple[Node, tuple]]:
-    if node.feature is None:
-        return [(node, path)]
-    left, right = (*path, (node, True)), (*path, (node, False))
-    return _leaves(node.left, left) + _leaves(node.right, right)
+@dataclass(frozen=True)
+class Growth:
+    """How a model is grown. leaves: at most so many, best gain first; without it, every gainful split down to depth. rows, columns: shares drawn for each tree. least, least_rows: weight and rows that each side of a split must have."""
+
+    trees: int = 100
+    depth: int | None = 3
+    rate: float = 0.1
+    ridge: float = 1.0
+    least: float = 5.0
+    leaves: int | None = None
+    rows: float = 1.0
+    columns: float = 1.0
+    seed: int = 0
+    patience: int | None = None
+    least_rows: int = 1
 
 
-def _place(root: Node, ids: Mapping[int, int]) -> Column:
-    """The leaf that a row is in, as a number."""
-    return F.lit(ids[id(root)]) if root.feature is None else F.when(root.goes_left(), _place(root.left, ids)).otherwise(_place(root.right, ids))
+@dataclass
+class Fold:
+    """Rows that a model learns from, and those that tell when to stop."""
 
+    train: Column
+    valid: Column | None = None
 
-def _best(sums: Mapping[tuple[str, int], tuple[float, float]], node: Node, edges: Mapping[str, list[float]], signs: Mapping[str, int], ridge: float, least: float):  # noqa: ANN202
-    """The split of most gain among all features, edges and directions of missing values that keeps signs and bounds."""
-    weight = lambda g, h: min(max(-g / (h + ridge), node.low), node.high)
-    gain_of = lambda g, h, w: -(2 * g * w + (h + ridge) * w * w)
-    found = None
-    for f, cuts in edges.items():
-        at = [sums.get((f, i), (0.0, 0.0)) for i in range(len(cuts) + 1)]
-        miss = sums.get((f, -1), (0.0, 0.0))
-        g, h = sum(x for x, _ in at) + miss[0], sum(x for _, x in at) + miss[1]
+
+@dataclass
+class _Binned:
+    """What the bins of a fold's features are."""
+
+    edges: dict[str, list[float]]
+    codes: dict[str, list[str]]
+    base: float
+
+    def width(self) -> int:
+        return 1 + max([len(e) + 1 for e in self.edges.values()] + [len(c) for c in self.codes.values()] + [1])
+
+
+@dataclass
+class _Split:
+    gain: float
+    feature: str
+    goes_left: np.ndarray
+    edge: float
+    missing_left: bool
+    labels: tuple[str, ...] | None
+    left: tuple[float, float]  # value and rows
+    right: tuple[float, float]
+
+
+def best_split(sums: np.ndarray, low: float, high: float, features: Sequence[str], drawn: Sequence[int], binned: _Binned, signs: Mapping[str, int], ridge: float, least: float, least_rows: int = 1) -> _Split | None:
+    """Of most gain among all features, edges or label sets, and sides of missing numbers, that keeps signs and bounds. sums: features x bins x (gradient, weight, rows), bin 0 missing.
+
+    Labels are put in order of their gradient over their weight, and a beginning of that order goes left; missing and
+    unseen labels go right. Ties go to the first feature, edge and side.
+    """
+    found: _Split | None = None
+
+    def weight(g, h):  # noqa: ANN001, ANN202
+        return np.clip(-g / (h + ridge), low, high)
+
+    def gain_of(g, h, w):  # noqa: ANN001, ANN202
+        return -(2 * g * w + (h + ridge) * w * w)
+
+    for f in drawn:
+        name, s = features[f], sums[f]
+        g, h, n = s.sum(axis=0)
         whole = gain_of(g, h, weight(g, h))
-        for missing_left in (True, False) if miss[1] > 0 else (True,):
-            gl, hl = miss if missing_left else (0.0, 0.0)
-            for i, edge in enumerate(cuts):
-                gl, hl = gl + at[i][0], hl + at[i][1]
-                if hl < least or h - hl < least:
-                    continue
-                wl, wr = weight(gl, hl), weight(g - gl, h - hl)
-                if signs.get(f, 0) * (wr - wl) < 0:
-                    continue
-                gain = gain_of(gl, hl, wl) + gain_of(g - gl, h - hl, wr) - whole
-                if gain > 1e-9 and (found is None or gain > found[0]):
-                    found = (gain, f, edge, missing_left, wl, wr)
+        if name in binned.codes:
+            held = np.flatnonzero(s[1:, 2] > 0) + 1
+            order = held[np.argsort(s[held, 0] / (s[held, 1] + SMOOTH), kind="stable")]
+            sides = (False,)
+        else:
+            order = np.arange(1, len(binned.edges[name]) + 1)
+            sides = (True, False) if s[0, 2] > 0 else (True,)
+        if not len(order):
+            continue
+        for missing_left in sides:
+            left = np.cumsum(s[order], axis=0) + (s[0] if missing_left and name not in binned.codes else 0)
+            gl, hl, nl = left.T
+            wl, wr = weight(gl, hl), weight(g - gl, h - hl)
+            gain = gain_of(gl, hl, wl) + gain_of(g - gl, h - hl, wr) - whole
+            ok = (hl >= least) & (h - hl >= least) & (nl >= least_rows) & (n - nl >= least_rows) & (signs.get(name, 0) * (wr - wl) >= 0)
+            gain = np.where(ok, gain, -inf)
+            i = int(gain.argmax())
+            if gain[i] > 1e-9 and (found is None or gain[i] > found.gain):
+                goes = np.zeros(len(s), bool)
+                goes[order[: i + 1]] = True
+                goes[0] = missing_left and name not in binned.codes
+                labels = tuple(sorted(binned.codes[name][b - 1] for b in order[: i + 1])) if name in binned.codes else None
+                found = _Split(float(gain[i]), name, goes, 0.0 if labels else binned.edges[name][i], bool(goes[0]), labels, (float(wl[i]), float(nl[i])), (float(wr[i]), float(n - nl[i])))
     return found
 
 
-def fit(df: DataFrame, y: str, features: Sequence[str], trees: int = 100, depth: int = 3, rate: float = 0.1, bins: int = 32, ridge: float = 1.0, least: float = 5.0, signs: Mapping[str, int] | None = None, store_every: int = 10) -> Boosted:
-    """signs: 1 where the margin must not fall as the feature grows, -1 where it must not rise."""
-    signs = signs or {}
-    rows = df.select(F.col(y).cast("double").alias("__y"), *[F.col(f).cast("double").alias(f) for f in features]).where("__y is not null")
-    rate_of = rows.agg(F.avg("__y")).first()[0]
-    got = exact_quantiles(rows, features, [i / bins for i in range(1, bins)])
-    edges = {f: sorted(set(got[f])) for f in features}
-    base = log(rate_of / (1 - rate_of))
-    binned = F.array(*[F.struct(F.lit(f).alias("f"), F.coalesce(bin_of(F.col(f), edges[f]), F.lit(-1)).alias("b")) for f in features])
-    model = Boosted(list(features), base)
-    data = stored(rows.withColumns({"__bins": binned, "__m": F.lit(base)}), "boosting")
-    pending: list[Node] = []
-    for t in range(trees):
-        margin = F.col("__m")
-        for p in pending:
-            margin = margin + p.expression()
-        prob = sigmoid(margin)
-        graded = data.withColumns({"__g": prob - F.col("__y"), "__h": prob * (1 - prob)})
-        root, whole = Node(0.0, 0.0), None
-        for _ in range(depth):
-            leaves = [n for n, _ in _leaves(root)]
-            ids = {id(n): i for i, n in enumerate(leaves)}
-            by = graded.select(_place(root, ids).alias("node"), "__g", "__h", F.explode("__bins").alias("x")).groupBy("node", "x.f", "x.b").agg(F.sum("__g").alias("g"), F.sum("__h").alias("h"), F.count("*").alias("n")).collect()  # nodes x features x bins rows
-            grew = False
-            for n, leaf in enumerate(leaves):
-                mine = [r for r in by if r["node"] == n]
-                one = [r for r in mine if r["f"] == features[0]]
-                leaf.cover = float(sum(r["n"] for r in one))
-                if whole is None:
-                    g, h = sum(r["g"] for r in one), sum(r["h"] for r in one)
-                    root.value, whole = -g / (h + ridge), True
-                best = _best({(r["f"], r["b"]): (r["g"], r["h"]) for r in mine}, leaf, edges, signs, ridge, least)
-                if best is None:
+class _Tree:
+    """A tree that is being grown. Nodes are numbered as in a heap: 1, then 2 and 3, and so on."""
+
+    def __init__(self, job: _Job):
+        self.job, self.sums, self.split = job, {}, {}
+        self.bounds: dict[int, tuple[float, float]] = {1: (-inf, inf)}
+        self.value: dict[int, float] = {1: 0.0}
+        self.rows: dict[int, float] = {1: 0.0}
+        draw = Random(f"{job.growth.seed} {len(job.model.trees)}")
+        count = len(job.features)
+        self.drawn = sorted(draw.sample(range(count), max(1, round(job.growth.columns * count)))) if job.growth.columns < 1 else list(range(count))
+        self.asked = [1]
+
+    def told(self, sums: Mapping[int, np.ndarray]) -> None:
+        """Take the sums of the nodes asked for, and of their siblings what is left of the parent."""
+        job = self.job
+        for n in self.asked:
+            self.sums[n] = sums[n]
+            if n == 1:
+                g, h, self.rows[1] = sums[n][self.drawn[0]].sum(axis=0)
+                self.value[1] = -g / (h + job.growth.ridge)
+            else:
+                self.sums[n ^ 1] = self.sums[n >> 1] - sums[n]
+            for k in {n, n ^ 1 if n > 1 else n}:
+                self.split[k] = best_split(self.sums[k], *self.bounds[k], job.features, self.drawn, job.binned, job.signs, job.growth.ridge, job.growth.least, job.growth.least_rows)
+                if self.split[k]:
+                    self._open(k, self.split[k])
+        for n in [n for n in self.sums if (n << 1) in self.sums]:
+            del self.sums[n]
+
+    def _open(self, n: int, s: _Split) -> None:
+        (low, high), mid, sign = self.bounds[n], (s.left[0] + s.right[0]) / 2, self.job.signs.get(s.feature, 0)
+        self.bounds[2 * n] = (max(low, mid) if sign < 0 else low, min(high, mid) if sign > 0 else high)
+        self.bounds[2 * n + 1] = (max(low, mid) if sign > 0 else low, min(high, mid) if sign < 0 else high)
+        for k, (value, rows) in ((2 * n, s.left), (2 * n + 1, s.right)):
+            self.value[k], self.rows[k] = value, rows
+
+    def settle(self) -> set[int] | None:
+        """The nodes that are split, best gain first; or None, and asked holds the nodes whose sums are needed to go on.
+
+        Which split a node has does not depend on the order, so that children of all nodes that may be next are asked for at once.
+        """
+        growth, chosen, frontier = self.job.growth, set(), [1]
+        depth = growth.depth or DEEPEST
+        while True:
+            room = growth.leaves - len(frontier) if growth.leaves else len(frontier)
+            ready = sorted((n for n in frontier if self.split.get(n)), key=lambda n: (-self.split[n].gain, n)) if room > 0 else []
+            if not ready:
+                return chosen
+            blind = lambda n: n.bit_length() < depth and 2 * n not in self.split
+            if blind(ready[0]):
+                self.asked = [2 * n + (self.rows[2 * n + 1] < self.rows[2 * n]) for n in ready[:room] if blind(n)]
+                return None
+            chosen.add(ready[0])
+            frontier.remove(ready[0])
+            frontier += [2 * ready[0], 2 * ready[0] + 1]
+
+    def node(self, n: int, chosen: set[int]) -> Node:
+        low, high = self.bounds[n]
+        if n not in chosen:
+            return Node(self.value[n] * self.job.growth.rate, self.rows[n], low, high)
+        s = self.split[n]
+        return Node(self.value[n], self.rows[n], low, high, s.feature, s.edge, s.missing_left, self.node(2 * n, chosen), self.node(2 * n + 1, chosen), s.labels)
+
+    def places(self, slots: Mapping[int, int]) -> Node:
+        """The tree down to the nodes asked for, whose values are their slots."""
+        above = {n >> k for n in self.asked for k in range(1, n.bit_length())}
+
+        def part(n: int) -> Node:
+            if n not in above:
+                return Node(float(slots.get(n, -1)), 0.0)
+            s = self.split[n]
+            return Node(0.0, 0.0, feature=s.feature, edge=s.edge, missing_left=s.missing_left, left=part(2 * n), right=part(2 * n + 1), labels=s.labels)
+
+        return part(1)
+
+
+class _Job:
+    def __init__(self, number: int, growth: Growth, fold: int, binned: _Binned, features: Sequence[str], labels: Sequence[str], signs: Mapping[str, int], stops: bool):
+        self.number, self.growth, self.fold, self.binned, self.features, self.signs, self.stops = number, growth, fold, binned, list(features), signs, stops
+        self.model = Boosted(list(features), binned.base, labels=tuple(labels))
+        self.pending: list = []
+        self.tree: _Tree | None = _Tree(self) if growth.trees else None
+        self.wants_loss, self.done = False, not growth.trees
+
+    def left_bins(self, n: Node) -> np.ndarray:
+        if n.labels is not None:
+            codes = self.binned.codes[n.feature]
+            return np.r_[False, np.isin(codes, list(n.labels))]
+        edges = self.binned.edges[n.feature]
+        return np.r_[n.missing_left, np.arange(len(edges) + 1) <= edges.index(n.edge)]
+
+    def flat(self, root: Node):  # noqa: ANN201
+        return flatten(root, {f: i for i, f in enumerate(self.features)}, self.left_bins)
+
+    def advance(self, sums: Mapping[int, np.ndarray], loss: float | None) -> None:
+        losses, patience = self.model.losses, self.growth.patience
+        if loss is not None:
+            losses.append(loss)
+            if patience and len(losses) - 1 - int(np.argmin(losses)) >= patience:
+                self.done = True
+        if self.tree is None:
+            self.done = True
+        self.wants_loss = False
+        if self.done:
+            return
+        self.tree.told(sums)
+        chosen = self.tree.settle()
+        if chosen is None:
+            return
+        root = self.tree.node(1, chosen)
+        self.model.trees.append(root)
+        self.pending.append(self.flat(root))
+        self.wants_loss = self.stops
+        more = len(self.model.trees) < self.growth.trees
+        self.tree = _Tree(self) if more else None
+        self.done = not more and not self.stops
+
+    def result(self) -> Boosted:
+        if self.stops and self.growth.patience and self.model.losses:
+            del self.model.trees[int(np.argmin(self.model.losses)) + 1 :]
+        return self.model
+
+
+def _drawn(digest: np.ndarray, share: float, seed: int, tree: int) -> np.ndarray:
+    """Rows of a tree's sample: a mix of each row's digest with the seed and the tree's number, below the share."""
+    with np.errstate(over="ignore"):
+        x = digest.view(np.uint64) ^ (np.uint64(seed * 1_000_003 + tree + 1) * np.uint64(0x9E3779B97F4A7C15))
+        for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(k)
+        x = x ^ (x >> np.uint64(31))
+    return (x >> np.uint64(11)).astype(np.float64) < share * float(1 << 53)
+
+
+def _bins_of_fold(df: DataFrame, fold: Fold, features: Sequence[str], labels: Sequence[str], bins: int) -> _Binned:
+    train = df.where(fold.train)
+    rate = train.agg(F.avg("__y")).first()[0]
+    numbers = [f for f in features if f not in labels]
+    got = exact_quantiles(train, numbers, [i / bins for i in range(1, bins)]) if numbers else {}
+    codes = {f: [r[0] for r in train.where(F.col(f).isNotNull()).groupBy(F.col(f).cast("string").alias("x")).count().orderBy(F.col("count").desc(), "x").limit(MOST_LABELS).collect()] for f in labels}
+    rate = min(1 - 1e-9, max(1e-9, rate)) if rate is not None else 0.5
+    return _Binned({f: sorted(set(got[f])) for f in numbers}, codes, log(rate / (1 - rate)))
+
+
+def _binned_table(rows: DataFrame, features: Sequence[str], labels: Sequence[str], folds: Sequence[Fold], binned: Sequence[_Binned], bases: Sequence[float]) -> DataFrame:
+    """Digest, label, each fold's side and bins, and each model's margin."""
+    side = [F.when(f.train, 1).when(f.valid if f.valid is not None else F.lit(False), 2).otherwise(0).cast("byte").alias(f"s{k}") for k, f in enumerate(folds)]
+    chosen = rows.select("__d", "__y", *side, *[F.col(f).cast("string" if f in labels else "double").alias(f"x{i}") for i, f in enumerate(features)])
+    names = ["d", "y", *[f"s{k}" for k in range(len(folds))], *[f"b{k}_{i}" for k in range(len(folds)) for i in range(len(features))], *[f"m{j}" for j in range(len(bases))]]
+    kinds = ["long", "double", *["byte"] * len(folds), *["short"] * (len(folds) * len(features)), *["double"] * len(bases)]
+    edges = [{f: np.array(e) for f, e in b.edges.items()} for b in binned]
+    codes = [{f: {x: i + 1 for i, x in enumerate(c)} for f, c in b.codes.items()} for b in binned]
+    first, n = 2 + len(folds), len(folds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [b.column(i) for i in range(first)]
+            for k in range(n):
+                for i, f in enumerate(features):
+                    c = b.column(first + i)
+                    if f in codes[k]:
+                        at = np.array([codes[k][f].get(x, 0) for x in c.to_pylist()], np.int16)
+                    else:
+                        x = c.to_numpy(zero_copy_only=False).astype(np.float64)
+                        at = np.where(np.isnan(x), 0, 1 + np.searchsorted(edges[k][f], x, side="left")).astype(np.int16)
+                    out.append(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*out, *[pa.array(np.full(b.num_rows, m)) for m in bases]], names=names)
+
+    return chosen.mapInArrow(run, ", ".join(f"{a} {k}" for a, k in zip(names, kinds)))
+
+
+def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {name: b.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(b.schema.names)}
+
+
+def _moved(table: DataFrame, jobs: Sequence[_Job]) -> DataFrame:
+    """The margins after all trees that are not in them yet."""
+    work = [(j.number, j.fold, j.pending) for j in jobs if j.pending]
+    count = len(jobs[0].features)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = _columns(b)
+            for number, fold, pending in work:
+                bins = np.stack([c[f"b{fold}_{i}"] for i in range(count)], axis=1).astype(np.int32)
+                c[f"m{number}"] = c[f"m{number}"] + sum(t.value[t.leaf_of(bins)] for t in pending)
+            yield pa.RecordBatch.from_arrays([pa.array(c[n]) for n in b.schema.names], names=b.schema.names)
+
+    return table.mapInArrow(run, table.schema)
+
+
+def _sums(table: DataFrame, jobs: Sequence[_Job], width: int) -> tuple[dict[tuple[int, int], np.ndarray], dict[int, float]]:
+    """One pass: the sums of all nodes that the models ask for, and the validation losses of those that want one."""
+    count, slots, work = len(jobs[0].features), {}, []
+    for j in jobs:
+        asked = list(j.tree.asked) if j.tree else []
+        mine = {n: len(slots) + i for i, n in enumerate(asked)}
+        slots |= {(j.number, n): s for n, s in mine.items()}
+        work.append((j.number, j.fold, list(j.pending), j.flat(j.tree.places(mine)) if j.tree else None, j.tree.drawn if j.tree else [], j.growth.rows, j.growth.seed, len(j.model.trees), j.wants_loss))
+    shared = table.sparkSession.sparkContext.broadcast((work, len(slots)))  # trees since the last store, and nodes asked for
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo, n_slots = shared.value
+        sums, losses = np.zeros((3, max(1, n_slots) * count * width)), np.zeros((len(todo), 2))
+        for b in batches:
+            c, y = _columns(b), b.column(1).to_numpy()
+            bins_of: dict[int, np.ndarray] = {}
+            for at, (number, fold, pending, tree, drawn, share, seed, nth, wants_loss) in enumerate(todo):
+                if fold not in bins_of:
+                    bins_of[fold] = np.stack([c[f"b{fold}_{i}"] for i in range(count)], axis=1).astype(np.int32)
+                side, bins = c[f"s{fold}"], bins_of[fold]
+                use = side == 1 if tree is not None else np.zeros(len(side), bool)
+                if share < 1:
+                    use &= _drawn(c["d"], share, seed, nth)
+                rows = np.flatnonzero(use | ((side == 2) & wants_loss))
+                if not len(rows):
+                    continue
+                bins, yy, learns = bins[rows], y[rows], use[rows]
+                m = c[f"m{number}"][rows] + sum(t.value[t.leaf_of(bins)] for t in pending)
+                if wants_loss:
+                    v = side[rows] == 2
+                    loss = np.logaddexp(0, m[v]) - yy[v] * m[v]
+                    losses[at] += np.rint(loss * UNIT).sum(), v.sum()
+                if tree is None:
                     continue
-                _, f, edge, missing_left, wl, wr = best
-                count = lambda side: float(sum(r["n"] for r in mine if r["f"] == f and ((r["b"] == -1 and missing_left) or (r["b"] >= 0 and r["b"] <= edges[f].index(edge))) == side))  # noqa: B023, E731
-                mid = (wl + wr) / 2
-                sign = signs.get(f, 0)
-                leaf.feature, leaf.edge, leaf.missing_left = f, edge, missing_left
-                leaf.left = Node(wl, count(True), leaf.low, min(leaf.high, mid) if sign > 0 else leaf.high)
-                leaf.right = Node(wr, count(False), max(leaf.low, mid) if sign > 0 else leaf.low, leaf.high)
-                if sign < 0:
-                    leaf.left.low, leaf.right.high = max(leaf.low, mid), min(leaf.high, mid)
-                grew = True
-            if not grew:
-                break
-        for leaf, _ in _leaves(root):
-            leaf.value *= rate
-        model.trees.append(root)
-        pending.append(root)
-        if len(pending) == store_every and t + 1 < trees:
-            for p in pending:
-                data = data.withColumn("__m", F.col("__m") + p.expression())
-            data, pending = stored(data, "boosting"), []
-    return model
-
-
-def _expected(node: Node) -> float:
-    if node.feature is None:
-        return node.value
-    return (node.left.cover * _expected(node.left) + node.right.cover * _expected(node.right)) / max(node.cover, 1.0)
-
-
-def shap_columns(model: Boosted) -> tuple[float, dict[str, Column]]:
-    """(base, attribution of each feature): Shapley values of each leaf's path, covers standing in for features left out."""
-    base, out = model.base, {f: F.lit(0.0) for f in model.features}
-    for tree in model.trees:
-        base += _expected(tree)
-        for leaf, path in _leaves(tree):
-            met: dict[str, Column] = {}
-            share: dict[str, float] = {}
-            for node, left in path:
-                ok = node.goes_left() if left else ~node.goes_left()
-                met[node.feature] = met[node.feature] & ok if node.feature in met else ok
-                child = node.left if left else node.right
-                share[node.feature] = share.get(node.feature, 1.0) * child.cover / max(node.cover, 1.0)
-            d = len(met)
-            hit = {f: c.cast("double") for f, c in met.items()}
-            for f in met:
-                others, total = [o for o in met if o != f], F.lit(0.0)
-                for k in range(d):
-                    for chosen in combinations(others, k):
-                        term = F.lit(factorial(k) * factorial(d - k - 1) / factorial(d))
-                        for o in others:
-                            term = term * (hit[o] if o in chosen else share[o])
-                        total = total + term
-                out[f] = out[f] + leaf.value * (hit[f] - share[f]) * total
-    return base, out
+                slot = tree.value[tree.leaf_of(bins)].astype(np.int64)
+                keep = learns & (slot >= 0)
+                slot, p, yy = slot[keep], 1 / (1 + np.exp(-m[keep])), yy[keep]
+                g, h = np.rint((p - yy) * UNIT), np.rint(p * (1 - p) * UNIT)
+                for i in drawn:
+                    key = (slot * count + i) * width + bins[keep, i]
+                    for k, x in enumerate((g, h, None)):
+                        sums[k] += np.bincount(key, x, sums.shape[1])
+        key = np.flatnonzero(sums[2])
+        lost = np.flatnonzero(losses[:, 1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[key, -1 - lost]), *[pa.array(np.r_[sums[k][key], losses[lost, k] if k < 2 else np.zeros(len(lost))].astype(np.int64)) for k in range(3)]], names=["k", "g", "h", "n"])
+
+    got = table.mapInArrow(run, "k long, g long, h long, n long").groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()  # nodes x features x bins rows
+    k, g, h, n = (got[c].to_numpy() for c in ("k", "g", "h", "n"))
+    dense = np.zeros((max(1, len(slots)) * count * width, 3))
+    dense[k[k >= 0]] = np.stack([g / UNIT, h / UNIT, n], axis=1)[k >= 0]
+    dense = dense.reshape(-1, count, width, 3)
+    losses = {jobs[-1 - int(a)].number: float(b) / UNIT / max(1, int(d)) for a, b, d in zip(k[k < 0], g[k < 0], h[k < 0])}
+    return {key: dense[s] for key, s in slots.items()}, losses
+
+
+def grow(df: DataFrame, y: str, features: Sequence[str], jobs: Sequence[tuple[Growth, int]], folds: Sequence[Fold], labels: Sequence[str] = (), row_id: str | None = None, bins: int = 32, signs: Mapping[str, int] | None = None, store_every: int = 10) -> list[Boosted]:
+    """A model for each (growth, number of its fold), all grown by the same passes over the rows.
+
+    labels: features that are texts and split as sets. signs: 1 where the margin must not fall as the feature grows, -1
+    where it must not rise. row_id names what tells rows apart when some are drawn for a tree; without it equal rows are
+    drawn together. Rows without a label take no part; edges and labels come from a fold's training rows alone; with
+    patience, a model ends where its validation loss is least, looking that many trees ahead.
+    """
+    digest = F.xxhash64(F.col(row_id).cast("string")) if row_id else F.xxhash64(*[F.col(f).cast("string") for f in [y, *features]])
+    rows = df.withColumns({"__y": F.col(y).cast("double"), "__d": digest}).where("__y is not null")
+    binned = [_bins_of_fold(rows, f, features, labels, bins) for f in folds]
+    work = [_Job(i, g, k, binned[k], features, labels, signs or {}, bool(g.patience) and folds[k].valid is not None) for i, (g, k) in enumerate(jobs)]
+    width = max(b.width() for b in binned)
+    table = stored(_binned_table(rows, features, labels, folds, binned, [binned[k].base for _, k in jobs]), "boosting")
+    while open_ := [j for j in work if not j.done]:
+        sums, losses = _sums(table, open_, width)
+        for j in open_:
+            asked = list(j.tree.asked) if j.tree else []
+            j.advance({n: sums[j.number, n] for n in asked}, losses.get(j.number) if j.wants_loss else None)
+        if max(len(j.pending) for j in work) >= store_every and any(not j.done for j in work):
+            table = stored(_moved(table, work), "boosting")
+            for j in work:
+                j.pending = []
+    return [j.result() for j in work]
+
+
+def fit(
+    df: DataFrame, y: str, features: Sequence[str], trees: int = 100, depth: int | None = 3, rate: float = 0.1, bins: int = 32, ridge: float = 1.0, least: float = 5.0, signs: Mapping[str, int] | None = None,
+    store_every: int = 10, labels: Sequence[str] = (), leaves: int | None = None, rows: float = 1.0, columns: float = 1.0, seed: int = 0, row_id: str | None = None, valid: Column | None = None, patience: int | None = None,
+) -> Boosted:
+    """One model, as grow makes it. valid: rows that are not learned from; with patience they tell when to stop."""
+    growth = Growth(trees, depth, rate, ridge, least, leaves, rows, columns, seed, patience)
+    fold = Fold(F.lit(True) if valid is None else ~F.coalesce(valid, F.lit(False)), valid)
+    return grow(df, y, features, [(growth, 0)], [fold], labels, row_id, bins, signs, store_every)[0]
 
 
 def with_shap(df: DataFrame, model: Boosted) -> DataFrame:
-    """Adds shap_<feature>, shap_base and margin."""
-    base, columns = shap_columns(model)
-    return df.withColumns({**{f"shap_{f}": c for f, c in columns.items()}, "shap_base": F.lit(base), "margin": model.margin()})
+    """Adds shap_<feature>, the path-dependent Shapley values of the margin (covers stand in for features left out), shap_base and margin."""
+    base = Forest(model.features, model.labels, model.base, model.trees).expected
+    told = df.withColumns({"__shap": model._applied("attributions", "array<double>"), "margin": model.margin(), "shap_base": F.lit(base)})
+    return told.withColumns({f"shap_{f}": F.col("__shap")[i] for i, f in enumerate(model.features)}).select(*df.columns, *[f"shap_{f}" for f in model.features], "shap_base", "margin")
 
 
 def additivity(df: DataFrame, model: Boosted) -> DataFrame:

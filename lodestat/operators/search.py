@@ -1,4 +1,8 @@
-"""Search of boosting settings over expanding time windows: train on all earlier years, validate on the next."""
+"""Search of boosting settings over expanding time windows: train on all earlier years, validate on the next.
+
+All draws and years are grown side by side: a level of all their trees is one pass over the rows, so the number of
+passes depends on the longest fit alone, not on how many settings are tried.
+"""
 
 from __future__ import annotations
 
@@ -11,19 +15,32 @@ from statistics import mean, median
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import boosting, rank
+from . import boosting
 from .resampling import capped_sample
 
-#: Draws, rows of a fold, trees without gain before a fit stops, and what the chosen number of trees grows by.
-DRAWS, ROW_CAP, PATIENCE, GROWTH, LEAST_TREES = 8, 80_000, 30, 1.15, 20
+#: Draws, rows of a fold, trees without gain before a fit stops, most trees, and what the chosen number of trees grows by.
+DRAWS, ROW_CAP, PATIENCE, MOST_TREES, GROWTH, LEAST_TREES = 8, 80_000, 30, 500, 1.15, 20
+#: Ranges of the draws; rate and ridge are uniform in their logarithm.
+RATE, DEPTH, LEAVES, LEAST, ROWS, COLUMNS, RIDGE = (0.03, 0.15), (3, 6), (8, 48), (30, 300), (0.6, 1.0), (0.6, 1.0), (1.0, 30.0)
+#: The two ways to grow: all splits down to a depth, where LEAST / 10 is a side's weight; or best gain first, where LEAST is a side's rows.
+LEVEL, LEAF = "level", "leaf"
 
 
 @dataclass(frozen=True)
 class Setting:
     rate: float
     depth: int
+    leaves: int
+    least: int
+    rows: float
+    columns: float
     ridge: float
-    least: float
+
+    def growth(self, kind: str, trees: int, seed: int = 0, patience: int | None = None) -> boosting.Growth:
+        common = {"trees": trees, "rate": self.rate, "ridge": self.ridge, "rows": self.rows, "columns": self.columns, "seed": seed, "patience": patience}
+        if kind == LEVEL:
+            return boosting.Growth(depth=self.depth, least=self.least / 10, **common)
+        return boosting.Growth(depth=None, leaves=self.leaves, least=1e-3, least_rows=self.least, **common)
 
 
 @dataclass
@@ -32,10 +49,13 @@ class Trial:
     year: int
     rate: float
     depth: int
+    leaves: int
+    least: int
+    rows: float
+    columns: float
     ridge: float
-    least: float
     trees: int
-    auc: float | None
+    loss: float | None
 
 
 @dataclass
@@ -46,61 +66,40 @@ class Search:
 
     def table(self, spark) -> DataFrame:  # noqa: ANN001
         """One row for each draw and year."""
-        return spark.createDataFrame([astuple(t) for t in self.trials], "draw int, year int, rate double, depth int, ridge double, least double, trees int, auc double").select(*[f.name for f in fields(Trial)])
+        return spark.createDataFrame([astuple(t) for t in self.trials], "draw int, year int, rate double, depth int, leaves int, least int, rows double, columns double, ridge double, trees int, loss double").select(*[f.name for f in fields(Trial)])
 
 
 def settings(draws: int = DRAWS, seed: int = 0) -> list[Setting]:
-    """Random settings, rates and ridges uniform in their logarithm; the same for a seed."""
+    """Random settings; the same for a seed."""
     r = Random(seed)
-    wide = lambda lo, hi: exp(r.uniform(log(lo), log(hi)))
-    return [Setting(round(wide(0.02, 0.2), 6), r.choice((2, 3, 4)), round(wide(0.5, 20), 6), float(r.choice((5, 20, 50)))) for _ in range(draws)]
-
-
-def prefix_losses(df: DataFrame, y: str, model: boosting.Boosted) -> list[float]:
-    """The mean log loss after each number of trees, from one pass over the rows: one number for each tree reaches the driver."""
-    none = F.expr("cast(array() as array<double>)")
-    label = F.col(y).cast("double")
-    start = F.struct(F.lit(float(model.base)).alias("m"), none.alias("out"))
-
-    def step(a, v):  # noqa: ANN001, ANN202
-        m = a["m"] + v
-        return F.struct(m.alias("m"), F.concat(a["out"], F.array(F.greatest(m, F.lit(0.0)) - m * label + F.log1p(F.exp(-F.abs(m))))).alias("out"))
-
-    losses = F.aggregate(F.array(*[t.expression().cast("double") for t in model.trees]), start, step, lambda a: a["out"])
-    by = df.where(F.col(y).isNotNull()).select(F.posexplode(losses).alias("at", "loss")).groupBy("at").agg(F.avg("loss").alias("loss"))
-    return [r["loss"] for r in by.orderBy("at").collect()]
-
-
-def stop_at(losses: Sequence[float], patience: int = PATIENCE) -> int:
-    """How many trees give the least loss, looking no further than patience trees without a gain."""
-    best, at = inf, 0
-    for i, loss in enumerate(losses, 1):
-        if loss < best:
-            best, at = loss, i
-        elif i - at >= patience:
-            break
-    return max(at, 1)
+    wide = lambda lo, hi: round(exp(r.uniform(log(lo), log(hi))), 6)
+    return [Setting(wide(*RATE), r.randint(*DEPTH), r.randint(*LEAVES), r.randint(*LEAST), round(r.uniform(*ROWS), 6), round(r.uniform(*COLUMNS), 6), wide(*RIDGE)) for _ in range(draws)]
 
 
 def expanding_search(
-    df: DataFrame, y: str, features: Sequence[str], year: str, row_id: str, validate: Sequence[int], draws: int = DRAWS, most_trees: int = 300,
-    seed: int = 0, row_cap: int = ROW_CAP, signs: Mapping[str, int] | None = None, patience: int = PATIENCE,
+    df: DataFrame, y: str, features: Sequence[str], year: str, row_id: str, validate: Sequence[int], draws: int = DRAWS, most_trees: int = MOST_TREES, seed: int = 0, row_cap: int = ROW_CAP,
+    signs: Mapping[str, int] | None = None, patience: int = PATIENCE, labels: Sequence[str] = (), kind: str = LEVEL,
 ) -> Search:
-    """Fit every setting on the years before each validation year, stop where the validation loss is least, keep the best mean AUC.
+    """Fit every setting on the years before each validation year, stop where the validation loss is least, keep the least mean loss.
 
     A fold's training rows are those of smallest digest, at most row_cap of them (the feature's own limit). The final
     number of trees is the best setting's median over the folds, grown for the longer history. Of equal settings the
-    first drawn wins; a fold with one class has no AUC and does not count.
+    first drawn wins; a fold with one class, or without rows, does not count.
     """
-    trials, tried = [], settings(draws, seed)
-    for v in validate:
-        train = capped_sample(df.where(F.col(year) < v), row_id, row_cap, seed)
-        test = df.where(F.col(year) == v)
-        for i, s in enumerate(tried):
-            model = boosting.fit(train, y, features, trees=most_trees, depth=s.depth, rate=s.rate, ridge=s.ridge, least=s.least, signs=signs)
-            kept = boosting.Boosted(model.features, model.base, model.trees[: stop_at(prefix_losses(test, y, model), patience)])
-            auc = rank.discrimination(test.select(y, kept.probability().alias("pd")), y, "pd").first()["auc"]
-            trials.append(Trial(i, v, *astuple(s), len(kept.trees), auc))
-    score = lambda i: mean([t.auc for t in trials if t.draw == i and t.auc is not None] or [-inf])
-    best = max(range(len(tried)), key=lambda i: (score(i), -i))
-    return Search(trials, tried[best], max(LEAST_TREES, round(median(t.trees for t in trials if t.draw == best) * GROWTH)))
+    sides = df.where(F.col(y).isNotNull() & F.col(year).isNotNull())
+    # The largest digest that a fold's cap lets through, so that a fold is a condition on the one table.
+    caps = {v: capped_sample(sides.where(F.col(year) < v), row_id, row_cap, seed).select(row_id) for v in validate}
+    marked = sides
+    for v, ids in caps.items():
+        marked = marked.join(ids.distinct().withColumn(f"__in_{v}", F.lit(True)), row_id, "left")
+    inside = {v: (F.col(year) < v) & F.coalesce(F.col(f"__in_{v}"), F.lit(False)) for v in validate}
+    counted = marked.agg(*[F.count_distinct(F.when(inside[v], F.col(y))).alias(f"t{v}") for v in validate], *[F.count_distinct(F.when(F.col(year) == v, F.col(y))).alias(f"v{v}") for v in validate]).first()
+    used = [v for v in validate if counted[f"t{v}"] > 1 and counted[f"v{v}"] > 1]
+    tried = settings(draws, seed)
+    folds = [boosting.Fold(inside[v], F.col(year) == v) for v in used]
+    jobs = [(s.growth(kind, most_trees, seed, patience), k) for k in range(len(used)) for s in tried]
+    models = boosting.grow(marked, y, features, jobs, folds, labels, row_id, signs=signs) if jobs else []
+    trials = [Trial(i, used[k], *astuple(tried[i]), len(m.trees), min(m.losses, default=None)) for (k, i), m in zip([(k, i) for k in range(len(used)) for i in range(len(tried))], models)]
+    score = lambda i: mean([t.loss for t in trials if t.draw == i and t.loss is not None] or [inf])
+    best = min(range(len(tried)), key=lambda i: (score(i), i))
+    return Search(trials, tried[best], max(LEAST_TREES, int(median([t.trees for t in trials if t.draw == best] or [0]) * GROWTH)))

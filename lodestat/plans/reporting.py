@@ -162,7 +162,7 @@ def _(a: DataFrame) -> DataFrame:
 
 @query("m16_expanding_search")
 def _(a: DataFrame) -> DataFrame:
-    found = search.expanding_search(a.where("split = 'dev'"), "y", ["balance", "qty", "returned"], "vintage", "id", validate=(1997, 1998), draws=2, most_trees=3)
+    found = search.expanding_search(a.where("split = 'dev'"), "y", ["balance", "qty", "returned", "segment"], "vintage", "id", validate=(1996, 1997, 1998), labels=["segment"])
     return found.table(a.sparkSession)
 
 

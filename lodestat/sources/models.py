@@ -24,13 +24,15 @@ def load_scorecard(spark: SparkSession, path: str) -> Scorecard:
 
 
 def save_boosted(spark: SparkSession, model: Boosted, path: str, data_source: str) -> None:
-    write_json(spark, {"features": list(model.features), "base": model.base, "trees": [asdict(t) for t in model.trees]}, path, data_source)
+    write_json(spark, {"features": list(model.features), "labels": list(model.labels), "base": model.base, "trees": [asdict(t) for t in model.trees], "losses": list(model.losses)}, path, data_source)
 
 
 def _node(d: dict | None) -> Node | None:
-    return None if d is None else Node(**{**d, "left": _node(d["left"]), "right": _node(d["right"])})
+    if d is None:
+        return None
+    return Node(**{**d, "left": _node(d["left"]), "right": _node(d["right"]), "labels": None if d.get("labels") is None else tuple(d["labels"])})
 
 
 def load_boosted(spark: SparkSession, path: str) -> Boosted:
     got = read_json(spark, path)
-    return Boosted(got["features"], got["base"], [_node(t) for t in got["trees"]])
+    return Boosted(got["features"], got["base"], [_node(t) for t in got["trees"]], tuple(got.get("labels", ())), got.get("losses", []))

@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestat.functions import special
-from lodestat.operators import boosting, calibrators, regression, resampling, scorecard
+from lodestat.operators import boosting, calibrators, regression, resampling, scorecard, trees
 from lodestat.operators.regression import Fit
 
 
@@ -90,3 +91,127 @@ def test_poisson_weights_have_mean_and_variance_one(spark):
 def test_margin_of_a_fit(spark):
     fit = Fit(("a",), (2.0,), (1.0,), -1.0, 1.0, 5)
     assert spark.range(1).select(F.lit(3.0).alias("a")).select(fit.probability()).first()[0] == pytest.approx(1 / (1 + math.exp(-5)))
+
+
+def _subset_formula(model, row):
+    """Attributions by every subset of a path's features, covers standing in for features left out."""
+    out = dict.fromkeys(model.features, 0.0)
+    goes = lambda n: (row[n.feature] in n.labels if n.labels is not None else n.missing_left if row[n.feature] is None else row[n.feature] <= n.edge)
+    for tree in model.trees:
+        for leaf, path in trees.leaves(tree):
+            met, share = {}, {}
+            for n, left in path:
+                met[n.feature] = met.get(n.feature, True) and goes(n) == left
+                share[n.feature] = share.get(n.feature, 1.0) * (n.left if left else n.right).cover / max(n.cover, 1.0)
+            d = len(met)
+            for f in met:
+                others = [o for o in met if o != f]
+                for k in range(d):
+                    for chosen in itertools.combinations(others, k):
+                        part = math.factorial(k) * math.factorial(d - k - 1) / math.factorial(d)
+                        for o in others:
+                            part *= float(met[o]) if o in chosen else share[o]
+                        out[f] += leaf.value * (met[f] - share[f]) * part
+    return out
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    r = np.random.default_rng(8)
+    x, g = r.normal(size=(900, 3)), r.choice(["u", "v", "w", "rare"], 900, p=[0.4, 0.3, 0.28, 0.02])
+    z = 0.8 * x[:, 0] - 0.6 * x[:, 1] * x[:, 2] + np.array([{"u": 1.0, "v": -1.0, "w": 0.8, "rare": 0.0}[k] for k in g])
+    y = (r.random(900) < 1 / (1 + np.exp(-z))).astype(int)
+    rows = [(i, *[None if (i + k) % 17 == 0 else float(v) for k, v in enumerate(a)], None if i % 19 == 0 else str(k), int(c)) for i, (a, k, c) in enumerate(zip(x, g, y))]
+    return rows, spark.createDataFrame(rows, "id long, a double, b double, c double, g string, y int").repartition(3).cache()
+
+
+@pytest.mark.parametrize("how", [{"depth": 3}, {"depth": None, "leaves": 9, "least_rows": 20, "least": 1e-3}])
+def test_attributions_equal_the_subset_formula(wide, monkeypatch, how):
+    rows, df = wide
+    model = boosting.grow(df, "y", ["a", "b", "c", "g"], [(boosting.Growth(trees=6, rows=0.7, columns=0.75, **how), 0)], [boosting.Fold(F.lit(True))], ["g"], "id", signs={"a": 1})[0]
+    for most in (10, 0):  # by patterns, and row by row
+        monkeypatch.setattr(trees, "PATTERN_BITS", most)
+        forest = trees.Forest(model.features, model.labels, model.base, model.trees)
+        got = forest.attributions(forest.bins([np.array([np.nan if k < 4 and r[k] is None else r[k] for r in rows], object if k == 4 else float) for k in (1, 2, 3, 4)]))
+        for i in range(0, 900, 37):
+            want = _subset_formula(model, dict(zip("abcg", rows[i][1:5])))
+            assert np.allclose(got[i], [want[f] for f in model.features], atol=1e-10)
+    out = boosting.with_shap(df, model)
+    assert boosting.additivity(out, model).first()[0] < 1e-9
+
+
+def _plain_split(rows, features, edges, labels, g, h, ridge, least_rows):
+    """The gain of the best split by trying every edge and every set of labels that is a beginning of their order."""
+    best = (1e-9, None)
+    part = lambda use: (sum(g[i] for i in use), sum(h[i] for i in use))
+    score = lambda s: s[0] ** 2 / (s[1] + ridge)
+    for f in features:
+        cuts = []
+        if f in labels:
+            kinds = sorted({r[f] for r in rows if r[f] is not None})
+            order = sorted(kinds, key=lambda k: part([i for i, r in enumerate(rows) if r[f] == k])[0] / (part([i for i, r in enumerate(rows) if r[f] == k])[1] + boosting.SMOOTH))
+            cuts = [[i for i, r in enumerate(rows) if r[f] in order[: k + 1]] for k in range(len(order))]
+        else:
+            for e in edges[f]:
+                low = [i for i, r in enumerate(rows) if r[f] is not None and r[f] <= e]
+                cuts += [low + [i for i, r in enumerate(rows) if r[f] is None], low]
+        for left in cuts:
+            right = sorted(set(range(len(rows))) - set(left))
+            if min(len(left), len(right)) >= least_rows:
+                gain = score(part(left)) + score(part(right)) - score(part(range(len(rows))))
+                if gain > best[0]:
+                    best = (gain, (f, tuple(sorted(left))))
+    return best
+
+
+def test_first_split_is_the_best_of_all(wide):
+    rows, df = wide
+    dicts = [dict(zip(("a", "b", "c", "g"), r[1:5])) for r in rows]
+    model = boosting.grow(df, "y", ["a", "b", "c", "g"], [(boosting.Growth(trees=1, depth=1, rate=1.0, least=0.0, least_rows=30), 0)], [boosting.Fold(F.lit(True))], ["g"], "id", bins=8)[0]
+    p = np.mean([r[5] for r in rows])
+    quantile = lambda f: np.quantile([r[f] for r in dicts if r[f] is not None], [i / 8 for i in range(1, 8)])
+    gain, (f, left) = _plain_split(dicts, ["a", "b", "c", "g"], {f: quantile(f) for f in "abc"}, {"g"}, [p - r[5] for r in rows], [p * (1 - p)] * len(rows), 1.0, 30)
+    root = model.trees[0]
+    assert root.feature == f and root.left.cover == len(left) and root.cover == len(rows)
+    assert root.left.value == pytest.approx(-sum(p - rows[i][5] for i in left) / (len(left) * p * (1 - p) + 1.0), abs=1e-5)
+
+
+def test_leaf_wise_growth_takes_the_best_gain_first(wide):
+    _, df = wide
+    fold = [boosting.Fold(F.lit(True))]
+    jobs = [(boosting.Growth(trees=1, depth=4, least=1.0), 0)] + [(boosting.Growth(trees=1, depth=4, least=1.0, leaves=n), 0) for n in (2, 3, 5, 8)]
+    full, *some = boosting.grow(df, "y", ["a", "b", "c", "g"], jobs, fold, ["g"], "id")
+    sizes = [len(trees.leaves(m.trees[0])) for m in some]
+    assert sizes == [2, 3, 5, 8] and len(trees.leaves(full.trees[0])) > 8
+
+    def inside(small, big):
+        return small.feature is None or ((small.feature, small.edge, small.labels) == (big.feature, big.edge, big.labels) and inside(small.left, big.left) and inside(small.right, big.right))
+
+    chain = [some[0], *some[1:], full]
+    assert all(inside(a.trees[0], b.trees[0]) for a, b in zip(chain, chain[1:]))
+
+
+def test_models_grown_together_equal_those_grown_alone(wide, spark):
+    _, df = wide
+    valid = F.col("id") % 4 == 0
+    growths = [boosting.Growth(trees=40, depth=3, rate=0.4, patience=3, rows=0.8, seed=5), boosting.Growth(trees=8, depth=2, columns=0.5, seed=1), boosting.Growth(trees=30, depth=None, leaves=6, rate=0.3, patience=2)]
+    together = boosting.grow(df, "y", ["a", "b", "c", "g"], [(g, 0) for g in growths], [boosting.Fold(~valid, valid)], ["g"], "id", store_every=4)
+    for g, m in zip(growths, together):
+        alone = boosting.grow(df.repartition(5), "y", ["a", "b", "c", "g"], [(g, 0)], [boosting.Fold(~valid, valid)], ["g"], "id", store_every=4)[0]
+        assert alone == m  # to the last bit, whatever the partitions
+    first = together[0]
+    assert len(first.trees) < 40 and len(first.trees) == int(np.argmin(first.losses)) + 1 and len(first.losses) == len(first.trees) + 3
+    held = df.where(valid)
+    p = first.probability()
+    loss = held.agg(F.avg(-F.when(F.col("y") == 1, F.log(p)).otherwise(F.log(1 - p)))).first()[0]
+    assert loss == pytest.approx(min(first.losses), abs=1e-6)
+
+
+def test_unseen_labels_go_right_and_empty_models_score(wide, spark):
+    _, df = wide
+    model = boosting.fit(df, "y", ["g"], trees=2, depth=1, labels=["g"], row_id="id")
+    root = model.trees[0]
+    got = {r["g"]: r["m"] for r in spark.createDataFrame([("new",), (None,), (root.labels[0],)], "g string").select("g", model.margin().alias("m")).collect()}
+    assert got["new"] == got[None] != got[root.labels[0]]
+    none = boosting.fit(df.where("y = 1"), "y", ["a"], trees=3)
+    assert none.trees and df.select(none.probability().alias("p")).agg(F.min("p")).first()[0] > 0.99

@@ -22,17 +22,20 @@ def test_tables_and_charts_hold_results(spark, tmp_path):
     assert got["encoding"]["color"] == {"field": "g", "type": "nominal"} and len(got["data"]["values"]) == 2
 
 
-def test_stopping_waits_for_patience():
-    assert search.stop_at([3, 2, 2.5, 1, 4], patience=3) == 4
-    assert search.stop_at([3, 2, 2.5, 2.6, 1], patience=2) == 2
+def test_settings_are_the_same_for_a_seed():
     assert search.settings(3, 1) == search.settings(3, 1) != search.settings(3, 2)
+    assert search.settings(1)[0].growth(search.LEAF, 7).leaves and search.settings(1)[0].growth(search.LEVEL, 7).leaves is None
 
 
-def test_search_trains_on_the_past_only(spark):
+@pytest.mark.parametrize("kind", [search.LEVEL, search.LEAF])
+def test_search_trains_on_the_past_only(spark, kind):
     rows = spark.range(1200).selectExpr("id", "2000 + id % 4 as year", "cast(id * 7919 % 100 as double) as x", "cast(id * 104729 % 97 as double) as z", "cast((id * 7919 % 100 + id * 31 % 40) > 70 as int) as y")
-    model = boosting.fit(rows.where("year < 2002"), "y", ["x", "z"], trees=4, depth=2)
-    losses = search.prefix_losses(rows.where("year = 2002"), "y", model)
-    assert len(losses) == 4 and losses == sorted(losses, reverse=True)
-    found = search.expanding_search(rows, "y", ["x", "z"], "year", "id", validate=(2002, 2003), draws=2, most_trees=2)
+    found = search.expanding_search(rows, "y", ["x", "z"], "year", "id", validate=(2002, 2003, 2009), draws=2, most_trees=6, row_cap=400, kind=kind)
     assert [(t.draw, t.year) for t in found.trials] == [(0, 2002), (1, 2002), (0, 2003), (1, 2003)]
-    assert all(t.auc > 0.7 for t in found.trials) and found.trees == search.LEAST_TREES and found.table(spark).count() == 4
+    assert all(t.loss < 0.69 and 0 < t.trees <= 6 for t in found.trials) and found.trees == search.LEAST_TREES and found.table(spark).count() == 4
+    # One of the trials alone, on its own rows, is the same model.
+    t = found.trials[1]
+    growth = search.settings(2)[1].growth(kind, 6, patience=search.PATIENCE)
+    past = search.capped_sample(rows.where("year < 2002"), "id", 400, 0).unionByName(rows.where("year = 2002"))
+    alone = boosting.grow(past, "y", ["x", "z"], [(growth, 0)], [boosting.Fold(past["year"] < 2002, past["year"] == 2002)], row_id="id")[0]
+    assert (len(alone.trees), min(alone.losses)) == (t.trees, t.loss)
