@@ -49,19 +49,21 @@ class _Words(dict):
 
     def __init__(self, lang: str, bits: np.ndarray | None):
         super().__init__({b"\xff": 0})
-        self.lang, self.bits, self.names, self.hashes = lang, bits, [b""], [0]
+        self.lang, self.names, self.hashes = lang, [b""], [0]
+        self.bits, self.mask = (None, 0) if bits is None else (bits.tobytes(), len(bits) * 8 - 1)
 
     def __missing__(self, word: bytes) -> int:
         h = 0
         if self.bits is not None:
             h = word_hash(self.lang, word)
-            if not _holds(self.bits, np.array([h], np.uint64))[0]:
+            at = (h ^ (h >> 29)) & self.mask  # as _places, of one word
+            if not self.bits[at >> 3] >> (at & 7) & 1:
                 self[word] = 0
                 return 0
-        self[word] = len(self.names)
+        self[word] = n = len(self.names)
         self.names.append(word)
         self.hashes.append(h)
-        return len(self.names) - 1
+        return n
 
 
 def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
