@@ -24,6 +24,8 @@ LONGEST, LEAST, SCALE, SUBSUMED, BEST = 5, 100, 1000, 100, 2000
 NO_LANG = "und"
 #: A task turns what it has seen into stripes at so many different words, or windows of words.
 WORDS, WINDOWS = 400_000, 2_000_000
+#: Words and stops of a block of coded text, and languages of which a task keeps something at once.
+BLOCK_TOKENS, LANGUAGES = 1_000_000, 64
 #: Stripes of the empty prefix, and of those that hold a thousandth of all words, are cut into so many by their next words.
 PARTS, HOT = 64, 1000
 #: Bits of the filter of frequent phrases: at least 32 for each of them, so long as MOST_BITS (16 MB) allows. A wrong hit costs time, never a row.
@@ -45,24 +47,15 @@ def word_hash(lang: str, word: bytes) -> int:
 
 
 class _Words(dict):
-    """Numbers of the words of a language, from 1; what the filter does not let through is 0, as stops are."""
+    """Numbers of words, from 1 in the order that they are met; a stop is 0."""
 
-    def __init__(self, lang: str, bits: np.ndarray | None):
+    def __init__(self):
         super().__init__({b"\xff": 0})
-        self.lang, self.names, self.hashes = lang, [b""], [0]
-        self.bits, self.mask = (None, 0) if bits is None else (bits.tobytes(), len(bits) * 8 - 1)
+        self.names = [b""]
 
     def __missing__(self, word: bytes) -> int:
-        h = 0
-        if self.bits is not None:
-            h = word_hash(self.lang, word)
-            at = (h ^ (h >> 29)) & self.mask  # as _places, of one word
-            if not self.bits[at >> 3] >> (at & 7) & 1:
-                self[word] = 0
-                return 0
         self[word] = n = len(self.names)
         self.names.append(word)
-        self.hashes.append(h)
         return n
 
 
@@ -92,6 +85,40 @@ def _grouped(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def coded(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(lang, words, hashes, ids): texts as blocks of numbers, with the words that they stand for and the hashes of these; 0 is a stop. Every text is taken apart once, here."""
+    texts = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.encode(F.col(text_col), "utf-8").alias("t")).where("t is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_: dict[str, tuple[_Words, list[np.ndarray]]] = {}
+
+        def block(lang: str) -> pa.RecordBatch:
+            words, ids = open_.pop(lang)
+            names = pa.array([w.decode("utf-8") for w in words.names], pa.string())
+            hashes = np.array([0, *(word_hash(lang, w) for w in words.names[1:])], np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([names.to_pylist()], pa.list_(pa.string())), pa.array([hashes.tobytes()], pa.binary()), pa.array([np.concatenate(ids).tobytes()], pa.binary())], names=["lang", "words", "hashes", "ids"])
+
+        for b in batches:
+            langs = b.column(0).to_pylist()
+            for lo in range(0, b.num_rows, 64):
+                by: dict[str, list[bytes]] = {}
+                for lang, t in zip(langs[lo : lo + 64], b.column(1).slice(lo, 64).to_pylist()):
+                    by.setdefault(lang, []).append(t)
+                for lang, some in by.items():
+                    if lang not in open_ and len(open_) == LANGUAGES:
+                        yield block(next(iter(open_)))
+                    words, ids = open_.setdefault(lang, (_Words(), []))
+                    found = tokens(b"\xff".join(some))
+                    ids.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+                    ids.append(np.zeros(1, np.int32))
+                    if sum(map(len, ids)) > BLOCK_TOKENS:
+                        yield block(lang)
+        for lang in list(open_):
+            yield block(lang)
+
+    return texts.mapInArrow(run, "lang string, words array<string>, hashes binary, ids binary")
+
+
 class _Seen:
     """What a task has seen of one language: windows of size words, as numbers of words, with counts."""
 
@@ -100,27 +127,34 @@ class _Seen:
         self.clear()
 
     def clear(self) -> None:
-        self.words = _Words(self.lang, self.filters[0] if self.filters else None)
+        self.words: dict[str, int] = {"": 0}
         self.held: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.n = self.after = 0
 
-    def add(self, texts: list[bytes]) -> None:
-        found = tokens(b"\xff".join(texts))
-        ids = np.fromiter(map(self.words.__getitem__, found), np.int32, len(found))
+    def add(self, names: pa.Array, hashes: np.ndarray, ids: np.ndarray) -> None:
+        use = np.flatnonzero(_holds(self.filters[0], hashes)) if self.filters else np.arange(len(hashes))
+        use = use[use > 0]
+        if not len(use):
+            return
+        mine = np.zeros(len(hashes), np.int32)
+        mine[use] = [self.words.setdefault(w, len(self.words)) for w in names.take(pa.array(use)).to_pylist()]
         if self.size == 1:
-            rows = ids[ids > 0][:, None]
+            n = np.bincount(ids, minlength=len(hashes))[use]
+            rows, n = mine[use][:, None], n.astype(np.int64)
         else:
             ok = np.ones(max(0, len(ids) - self.size + 1), bool)
+            good = mine[ids] > 0
             for k in range(self.size):
-                ok &= ids[k : len(ok) + k] > 0
+                ok &= good[k : len(ok) + k]
             if self.size > 2 and ok.any():  # with two words, both have passed the filter already
-                frequent = _holds(self.filters[-1], _phrase_hashes(np.array(self.words.hashes, np.uint64)[ids], self.size - 1))
+                frequent = _holds(self.filters[-1], _phrase_hashes(hashes[ids], self.size - 1))
                 ok &= frequent[:-1] & frequent[1:]
             at = np.flatnonzero(ok)
-            rows = np.stack([ids[at + k] for k in range(self.size)], axis=1) if len(at) else np.zeros((0, self.size), np.int32)
+            rows = np.stack([mine[ids[at + k]] for k in range(self.size)], axis=1)
+            n = np.ones(len(rows), np.int64)
         self.held.append(rows)
-        self.counts.append(np.ones(len(rows), np.int64))
+        self.counts.append(n)
         self.n += len(rows)
         if self.n - self.after > WINDOWS:
             self.reduce()
@@ -137,7 +171,7 @@ class _Seen:
         if self.held:
             self.reduce()
             rows, n = self.held[0], self.counts[0]
-            names = np.array([w.decode("utf-8") for w in self.words.names], object)
+            names = np.array(list(self.words), object)
             if len(rows):
                 head = rows[:, :-1]
                 starts = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]).any(axis=1)])
@@ -146,7 +180,7 @@ class _Seen:
                 cut = np.fromiter((p in self.hot or not p for p in prefixes), bool, len(prefixes))
                 part = np.zeros(len(rows), np.int64)
                 if cut.any():
-                    share = np.array([xxhash.xxh32_intdigest(w) % PARTS for w in self.words.names])
+                    share = np.array([xxhash.xxh32_intdigest(w) % PARTS for w in self.words])
                     part[cut[which]] = share[rows[cut[which], -1]]
                 order = np.lexsort((rows[:, -1], part, which))
                 which, part, last, n = which[order], part[order], rows[order, -1], n[order]
@@ -162,35 +196,27 @@ class _Seen:
         self.clear()
 
 
-def stripes(texts: DataFrame, size: int, filters: Sequence[np.ndarray] = (), hot: dict[str, set[str]] | None = None) -> DataFrame:
-    """(lang, prefix, part, next, n): each task's stripes of prefixes of size - 1 words, from rows (lang, t). Filters: of frequent words, and of frequent phrases of size - 1 words."""
-    shared = texts.sparkSession.sparkContext.broadcast(([f.tobytes() for f in filters], {k: frozenset(v) for k, v in (hot or {}).items()}))  # two filters of MOST_BITS at most; at most HOT phrases of a length
+def stripes(blocks: DataFrame, size: int, filters: Sequence[np.ndarray] = (), hot: dict[str, set[str]] | None = None) -> DataFrame:
+    """(lang, prefix, part, next, n): each task's stripes of prefixes of size - 1 words. Filters: of frequent words, and of frequent phrases of size - 1 words."""
+    shared = blocks.sparkSession.sparkContext.broadcast(([f.tobytes() for f in filters], {k: frozenset(v) for k, v in (hot or {}).items()}))  # two filters of MOST_BITS at most; at most HOT phrases of a length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, often = shared.value
         mine = [np.frombuffer(f, np.uint8) for f in raw]
         seen: dict[str, _Seen] = {}
         for b in batches:
-            langs = b.column(0).to_pylist()
-            for lo in range(0, b.num_rows, 256):
-                by: dict[str, list[bytes]] = {}
-                for lang, t in zip(langs[lo : lo + 256], b.column(1).slice(lo, 256).to_pylist()):
-                    by.setdefault(lang, []).append(t)
-                for lang, some in by.items():
-                    s = seen.get(lang)
-                    if s is None:
-                        if len(seen) == 64:  # many languages: none keeps much
-                            for old in seen.values():
-                                yield from old.stripes()
-                            seen.clear()
-                        s = seen[lang] = _Seen(lang, size, mine, often.get(lang, frozenset()))
-                    s.add(some)
-                    if s.full():
-                        yield from s.stripes()
+            for i in range(b.num_rows):
+                lang = b.column(0)[i].as_py()
+                if lang not in seen and len(seen) == LANGUAGES:
+                    yield from seen.pop(next(iter(seen))).stripes()
+                s = seen.setdefault(lang, _Seen(lang, size, mine, often.get(lang, frozenset())))
+                s.add(b.column(1)[i].values, np.frombuffer(b.column(2)[i].as_buffer(), np.uint64), np.frombuffer(b.column(3)[i].as_buffer(), np.int32))
+                if s.full():
+                    yield from s.stripes()
         for s in seen.values():
             yield from s.stripes()
 
-    return texts.mapInArrow(run, STRIPES)
+    return blocks.mapInArrow(run, STRIPES)
 
 
 _MERGED = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("next", pa.string()), ("n", pa.int64())])
@@ -252,10 +278,10 @@ def levels(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", leas
 
     A phrase of that count has a prefix and a suffix of that count, so windows without either are not counted.
     """
-    texts = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.encode(F.col(text_col), "utf-8").alias("t")).where("t is not null")
+    blocks = stored(coded(docs, text_col, lang_col), "coded-texts")
     totals, found, filters, hot = None, [], [], None
     for size in range(1, longest + 1):
-        sums = merged(stripes(texts, size, filters, hot))
+        sums = merged(stripes(blocks, size, filters, hot))
         if size == 1:
             sums = stored(sums, "words")
             totals = stored(sums.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
