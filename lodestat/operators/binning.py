@@ -9,6 +9,8 @@ from math import floor, log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+from .rank import with_running
 from .stability import bin_of
 
 #: Fixed value: what is added to each count of a bin.
@@ -118,12 +120,16 @@ def _finish(out: Bins, b: list[int], g: list[int], missing: tuple[int, int]) ->
 
 
 def lower_quantiles(df: DataFrame, columns: Sequence[str], levels: Sequence[float]) -> dict[str, list[float]]:
-    """The elements at floor((n - 1) * q) of each column's sorted values that are not null, for all columns in one pass."""
+    """The elements at floor((n - 1) * q) of each column's sorted values that are not null, for all columns in one pass.
+
+    Distinct values are ordered in value buckets (``rank.with_running``), so that no task sees a whole column.
+    """
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("v"), F.col(c).cast("double").alias("x")) for c in columns])).alias("r")).select("r.*").where("x is not null and not isnan(x)")
-    counted = long.groupBy("v", "x").count()
-    w = Window.partitionBy("v").orderBy("x")
-    ends = counted.select("v", "x", F.sum("count").over(w).alias("hi"), (F.sum("count").over(w) - F.col("count")).alias("lo"), F.sum("count").over(Window.partitionBy("v")).alias("n"))
-    at = ends.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in levels]))).where((F.floor((F.col("n") - 1) * F.col("q")) >= F.col("lo")) & (F.floor((F.col("n") - 1) * F.col("q")) < F.col("hi")))
+    counted = stored(long.groupBy("v", "x").agg(F.count("*").alias("count")), "distinct-values")
+    sizes = counted.groupBy("v").agg(F.sum("count").alias("n"))  # a row for each column
+    ends = with_running(counted, [F.col("x")], "x", {"hi": F.col("count")}, ["v"], descending=False).join(F.broadcast(sizes), "v")
+    place = F.floor((F.col("n") - 1) * F.col("q"))
+    at = ends.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in levels]))).where((place >= F.col("hi") - F.col("count")) & (place < F.col("hi")))
     out: dict[str, list[float]] = {c: [] for c in columns}
     for r in at.select("v", "x").distinct().collect():  # a number for each column and level
         out[r["v"]].append(r["x"])

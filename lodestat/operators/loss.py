@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import clipped
+from ..sources.scratch import stored
+from .rank import with_running
 
 
 def expected_loss(pd: Column, lgd: Column, ead: Column, lgd_add: float = 0.0) -> Column:
@@ -45,12 +47,9 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
 
 
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds average ranks: distinct values are counted first, and only those are ordered, in value buckets by the exact quantiles."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    at = counted.repartitionByRange("__v").withColumn("__part", F.spark_partition_id())
-    totals = at.groupBy("__part").agg(F.sum("__n").alias("__t")).select(F.col("__part").alias("__q"), F.coalesce(F.sum("__t").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # a row for each partition
-    inside = Window.partitionBy("__part").orderBy("__v")
-    placed = at.join(F.broadcast(totals), F.col("__part") == F.col("__q")).select("__v", (F.col("__before") + F.sum("__n").over(inside) - (F.col("__n") - 1) / 2.0).alias(name))
+    """Adds average ranks: distinct values are counted first, and only those are ordered, in value buckets."""
+    counted = stored(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n")), "rank-counts")
+    placed = with_running(counted, [F.col("__v")], "__v", {"__end": F.col("__n")}, descending=False).select("__v", (F.col("__end") - (F.col("__n") - 1) / 2.0).alias(name))
     return df.join(placed, F.col(column) == F.col("__v"), "left").drop("__v")
 
 

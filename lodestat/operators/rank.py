@@ -145,10 +145,10 @@ def min_rank_descending(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def delong(df: DataFrame, y: str, p1: str, p2: str) -> DataFrame:
-    """auc_a, auc_b, d_auc, delong_z, delong_p of two scores on the same rows, from placements by average ranks.
+    """auc_a, auc_b, d_auc, delong_z of two scores on the same rows, from placements by average ranks.
 
-    A row's placement is the share of the other class that it is on the right side of, ties half. z and p are null
-    where the variance is zero.
+    A row's placement is the share of the other class that it is on the right side of, ties half. z is null
+    where the variance is zero; its probability comes from the normal tail (``governance.with_tails``).
     """
     rows = df.where(F.col(y).isNotNull() & F.col(p1).isNotNull() & F.col(p2).isNotNull())
     placed = stored(rows.groupBy(F.col(y).alias("y"), F.col(p1).alias("pa"), F.col(p2).alias("pb")).agg(F.count("*").alias("n")), "placements")  # everything below needs these counts alone

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import clipped
 from .rank import decile_of, ranked
 from .regression import Fit, logit_fit, ols_fit
-from .stability import exact_quantiles
+from .stability import exact_quantiles, grouped_quantiles
 
 #: Winsor limits, the least share of a label with a column of its own, and the residual quantiles.
 LIMITS, RARE, LEVELS = (0.01, 0.99), 0.01, (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -60,10 +60,10 @@ class LossModel:
     ccf: Fit
 
     def predict(self, df: DataFrame, funded: str) -> DataFrame:
-        """Adds p_any, rr, lgd, lgd_hard (the first stage as a class at 0.5), ccf_hat and ead, each ratio within 0 and 1."""
+        """Adds p_any, rr, lgd, lgd_hard (the first stage as a class, above 0.5), ccf_hat and ead, each ratio within 0 and 1."""
         x = df.withColumns(self.design.columns())
         x = x.withColumns({"p_any": self.any_recovery.probability(), "rr": clipped(self.recovery.margin()), "ccf_hat": clipped(self.ccf.margin())})
-        hard = F.when(F.col("p_any") >= 0.5, F.col("rr")).otherwise(0.0)
+        hard = F.when(F.col("p_any") > 0.5, F.col("rr")).otherwise(0.0)
         return x.withColumns({"lgd": 1 - clipped(F.col("p_any") * F.col("rr")), "lgd_hard": 1 - clipped(hard), "ead": F.col("ccf_hat") * F.col(funded)}).select(*df.columns, "p_any", "rr", "lgd", "lgd_hard", "ccf_hat", "ead")
 
 
@@ -78,9 +78,7 @@ def fit_loss_model(defaults: DataFrame, recovery_rate: str, ccf: str, numeric: S
 
 def residual_quantiles(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """(level, residual): exact quantiles of actual minus predicted."""
-    r = F.col(actual) - F.col(predicted)
-    t = df.groupBy(*by).agg(F.percentile(r, F.array(*[F.lit(v) for v in LEVELS])).alias("q"))
-    return t.select(*by, F.explode(F.arrays_zip(F.array(*[F.lit(v) for v in LEVELS]).alias("level"), F.col("q").alias("residual"))).alias("z")).select(*by, "z.level", "z.residual")
+    return grouped_quantiles(df, F.col(actual) - F.col(predicted), by, LEVELS).withColumnRenamed("value", "residual")
 
 
 def predicted_deciles(df: DataFrame, actual: str, predicted: str, row_id: str, bins: int = 10, by: Sequence[str] = ()) -> DataFrame:
@@ -90,6 +88,6 @@ def predicted_deciles(df: DataFrame, actual: str, predicted: str, row_id: str, b
 
 
 def class_agreement(df: DataFrame, actual: str, probability: str, by: Sequence[str] = ()) -> DataFrame:
-    """How often the class at 0.5 is right, and both means."""
-    hit = ((F.col(probability) >= 0.5).cast("int") == F.col(actual).cast("int")).cast("double")
+    """How often the class (1 above 0.5) is right, and both means."""
+    hit = ((F.col(probability) > 0.5).cast("int") == F.col(actual).cast("int")).cast("double")
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(hit).alias("hit_rate"), F.avg(actual).alias("mean_actual"), F.avg(probability).alias("mean_pred"))

@@ -1,7 +1,9 @@
-"""Bootstrap intervals of AUC, Gini and KS, without a random generator: a row's weight in a draw comes from a digest of its id.
+"""Bootstrap intervals of AUC, Gini and KS that rerun the same: what a draw takes comes from digests of ids.
 
-Weights are Poisson(1), the limit of drawing with replacement, so rows need no common index and every draw is one part of the
-same shuffle. The row cap is the feature that bounds the work: the rows of smallest digest are the sample.
+Draws are with replacement: a tree splits each draw's n rows among buckets of digests, at each node by a binomial draw that
+has the node's number as its seed, and a bucket deals what it gets to its rows. Every draw so takes exactly n rows, and a
+bucket needs nothing but the sizes of the buckets. Poisson(1) weights, the limit of that for many rows, need no sizes
+at all; SQL can follow them. The row cap is the feature that bounds the work: the rows of smallest digest are the sample.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import exp, factorial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from .rank import with_running
 DRAWS, ROW_CAP, LIMITS = 500, 50_000, (0.025, 0.975)
 #: Draws served by one digest: six hexadecimal digits each.
 PER_DIGEST = 5
+#: Rows of a bucket, about; and how many buckets there may be, whose sizes the driver holds: beyond, buckets grow.
+BUCKET_ROWS, MOST_BUCKETS = 256, 1 << 16
 
 
 def _poisson_limits() -> list[float]:
@@ -42,13 +47,66 @@ def capped_sample(df: DataFrame, row_id: str, cap: int = ROW_CAP, seed: int = 0)
     return df.withColumn("__d", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))).orderBy("__d").limit(cap).drop("__d")
 
 
-def replicates(df: DataFrame, y: str, scores: Sequence[str], row_id: str, draws: int = DRAWS, seed: int = 0) -> DataFrame:
-    """(draw, model, auc, gini, ks): every score sees the same draws; draws without both classes give nulls."""
-    batches = -(-draws // PER_DIGEST)
+def taken_by_bucket(sizes: np.ndarray, bucket: int, draws: int, seed: int = 0) -> np.ndarray:
+    """How many rows of a bucket each draw takes: down the tree from all rows, halving the buckets, to this one. sizes has a power of two of buckets."""
+    node, lo, hi = 1, 0, len(sizes)
+    got = np.full(draws, int(sizes.sum()), np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        whole, left = int(sizes[lo:hi].sum()), int(sizes[lo:mid].sum())
+        to_left = np.random.default_rng([seed, node]).binomial(got, left / whole) if whole else got
+        if bucket < mid:
+            got, hi, node = to_left, mid, 2 * node
+        else:
+            got, lo, node = got - to_left, mid, 2 * node + 1
+    return got
+
+
+def dealt(got: np.ndarray, rows: int, bucket: int, seed: int = 0) -> np.ndarray:
+    """draws x rows: how often each draw takes each row of a bucket."""
+    return np.random.default_rng([seed, bucket, 1]).multinomial(got, np.full(rows, 1 / rows))
+
+
+def with_replacement(df: DataFrame, row_id: str, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """Adds taken: for each draw how often it takes the row. A draw takes as many rows as there are, repeats counted.
+
+    Rows are told apart by the digest of row_id; rows of one digest are taken in the order of all their columns.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))
+    n = df.count()
+    buckets = 1 << max(0, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)) - 1).bit_length()
+    placed = df.withColumn("__digest", digest).withColumn("__bucket", F.pmod(F.conv(F.substring("__digest", 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int"))
+    sizes = np.zeros(buckets, np.int64)
+    for r in placed.groupBy("__bucket").count().collect():  # MOST_BUCKETS numbers at most
+        sizes[r["__bucket"]] = r["count"]
+    names = [*df.columns, "taken"]
+    shared = df.sparkSession.sparkContext.broadcast(sizes)  # MOST_BUCKETS numbers at most
+    order = ["__digest", *df.columns]
+
+    def deal(pdf):  # noqa: ANN001, ANN202
+        pdf = pdf.sort_values(order, kind="stable")
+        bucket = int(pdf["__bucket"].iloc[0])
+        pdf["taken"] = list(dealt(taken_by_bucket(shared.value, bucket, draws, seed), len(pdf), bucket, seed).T.astype(np.int32))
+        return pdf[names]
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return placed.groupBy("__bucket").applyInPandas(deal, f"{kinds}, taken array<int>")
+
+
+def replicates(df: DataFrame, y: str, scores: Sequence[str], row_id: str, draws: int = DRAWS, seed: int = 0, poisson: bool = False) -> DataFrame:
+    """(draw, model, auc, gini, ks): every score sees the same draws, with replacement or by Poisson weights; draws without both classes give nulls."""
     rows = df.select(F.col(row_id).alias("i"), F.col(y).alias("y"), *[F.col(s).alias(s) for s in scores]).dropna()
+    if not poisson:
+        taken = with_replacement(rows, "i", draws, seed)
+        return _measured(taken.select("y", *scores, F.posexplode("taken").alias("draw", "w")).where("w > 0").select("y", *scores, F.struct("draw", "w").alias("d")), scores)
+    batches = -(-draws // PER_DIGEST)
     rows = rows.withColumn("__batch", F.explode(F.sequence(F.lit(0), F.lit(batches - 1)))).withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__batch").cast("string"), F.col("i").cast("string"))))
     drawn = F.array(*[F.struct((F.col("__batch") * PER_DIGEST + j).alias("draw"), poisson_weight(F.col("__h"), j).alias("w")) for j in range(PER_DIGEST)])
-    rows = rows.select("y", *scores, F.explode(drawn).alias("d")).where(F.col("d.w") > 0).where(F.col("d.draw") < draws)
+    return _measured(rows.select("y", *scores, F.explode(drawn).alias("d")).where(F.col("d.w") > 0).where(F.col("d.draw") < draws), scores)
+
+
+def _measured(rows: DataFrame, scores: Sequence[str]) -> DataFrame:
+    """The metrics of each draw from rows (y, scores, d: a draw and how often it takes the row)."""
     models = F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).cast("double").alias("p")) for s in scores])
     counts = rows.select("d.draw", "d.w", "y", F.explode(models).alias("m")).groupBy("draw", "m.model", "m.p").agg(F.sum(F.col("w") * F.col("y")).alias("bads"), F.sum(F.col("w") * (1 - F.col("y"))).alias("goods"))
     run = with_running(counts, [F.col("p")], "p", {"cb": F.col("bads"), "cg": F.col("goods")}, ["draw", "model"], descending=False)

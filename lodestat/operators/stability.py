@@ -48,6 +48,44 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], at: Sequence[float])
     return {c: [between(k, pos) for k, (y, pos) in wanted.items() if y == x] for c, x in zip(columns, xs, strict=True)}
 
 
+#: Groups of fewer rows than this are ordered whole; brackets of at most so many groups are broadcast.
+SMALL, BROADCAST_GROUPS = ACCURACY, 10_000
+
+
+def grouped_quantiles(df: DataFrame, column: str | Column, by: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """(by, level, value): exact quantiles (linear between neighbours) of each group's values that are not null.
+
+    A sketch for each group brackets each level; a pass counts each group's rows below its brackets and keeps what lies
+    inside; only that is ordered, by (group, level). A group that lies whole in a bracket has fewer than SMALL rows, a
+    larger one leaves about 6 / ACCURACY of its rows. Groups without values have no rows; a null group is one.
+    """
+    keys = [f"g{i}" for i in range(len(by))]
+    narrow = stored(df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], (F.col(column) if isinstance(column, str) else column).cast("double").alias("v")).where("v is not null"), "quantile-groups")
+    around = [x for p in at for x in (max(0.0, p - 3.0 / ACCURACY), min(1.0, p + 3.0 / ACCURACY))]
+    told = narrow.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile_approx("v", around, ACCURACY).alias("rough"))
+    bracket = lambda i: F.struct(F.when((F.col("n") >= SMALL) & F.lit(around[2 * i] > 0), F.col("rough")[2 * i]).otherwise(F.col("lo")).alias("lo"), F.when((F.col("n") >= SMALL) & F.lit(around[2 * i + 1] < 1), F.col("rough")[2 * i + 1]).otherwise(F.col("hi")).alias("hi"))
+    told = stored(told.select(*keys, "n", F.array(*[bracket(i) for i in range(len(at))]).alias("b")), "quantile-brackets")
+    near = F.broadcast(told) if told.count() <= BROADCAST_GROUPS else told
+    same = F.lit(True)
+    for k in keys:
+        same = same & narrow[k].eqNullSafe(told[k])
+    met = narrow.join(near, same).select(*[narrow[k] for k in keys], "v", "n", "b")
+    below = met.groupBy(*keys, "n").agg(*[F.count_if(F.col("v") < F.col("b")[i]["lo"]).alias(f"below{i}") for i in range(len(at))])
+    below = below.select(*keys, "n", F.posexplode(F.array(*[F.col(f"below{i}") for i in range(len(at))])).alias("i", "below"))
+    inside = met.select(*keys, "v", F.explode(F.filter(F.array(*[F.when(F.col("v").between(F.col("b")[i]["lo"], F.col("b")[i]["hi"]), F.lit(i)) for i in range(len(at))]), lambda x: x.isNotNull())).alias("i"))
+    counted = inside.groupBy(*keys, "i", "v").agg(F.count("*").alias("c"))
+    ends = counted.withColumn("end", F.sum("c").over(Window.partitionBy(*keys, "i").orderBy("v")))
+    both = F.col("x.i") == F.col("y.i")
+    for k in keys:
+        both = both & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+    placed = ends.alias("x").join(below.alias("y"), both).select(*[F.col(f"x.{k}") for k in keys], F.col("x.i").alias("i"), "v", (F.col("below") + F.col("end")).alias("end"), (F.col("below") + F.col("end") - F.col("c")).alias("start"), "n")
+    pos = F.get(F.array(*[F.lit(float(p)) for p in at]), F.col("i")) * (F.col("n") - 1)
+    value = lambda rank: F.max(F.when((rank >= F.col("start")) & (rank < F.col("end")), F.col("v")))
+    out = placed.withColumns({"f": F.floor(pos), "c": F.ceil(pos), "w": pos - F.floor(pos)}).groupBy(*keys, "i").agg(value(F.col("f")).alias("a"), value(F.col("c")).alias("z"), F.first("w").alias("w"))
+    missed = F.when(F.col("a").isNull() | F.col("z").isNull(), F.raise_error(F.lit("a sketch has missed a rank by more than its error")).cast("double"))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], F.get(F.array(*[F.lit(float(p)) for p in at]), F.col("i")).alias("level"), F.coalesce(missed, F.col("a") + F.col("w") * (F.col("z") - F.col("a"))).alias("value"))
+
+
 def edges(df: DataFrame, x: str, bins: int = BINS) -> list[float]:
     """Unique interior quantiles (linear between neighbours) of the values that are not null: bins - 1 numbers at most."""
     return sorted(set(exact_quantiles(df, [x], [i / bins for i in range(1, bins)])[x]))

@@ -176,7 +176,8 @@ def _(a: DataFrame) -> DataFrame:
 
 @query("a18_quantiles", "$LENS select split, round(quantile_cont(balance, 0.01), 6) as q01, round(quantile_cont(balance, 0.5), 6) as q50, round(quantile_cont(balance, 0.99), 6) as q99 from acc group by split")
 def _(a: DataFrame) -> DataFrame:
-    return a.groupBy("split").agg(*[F.percentile("balance", q).alias(n) for n, q in (("q01", 0.01), ("q50", 0.5), ("q99", 0.99))])
+    q = stability.grouped_quantiles(a, "balance", ["split"], [0.01, 0.5, 0.99])
+    return q.groupBy("split").agg(*[F.max(F.when(F.col("level") == p, F.col("value"))).alias(n) for n, p in (("q01", 0.01), ("q50", 0.5), ("q99", 0.99))])
 
 
 @query("a19_lower_quantiles", "$LENS, r as (select 'balance' as variable, balance as x, row_number() over (order by balance) as rk, count(*) over () as n from acc where balance is not null union all select 'qty', qty, row_number() over (order by qty), count(*) over () from acc where qty is not null), q as (select unnest([0.25, 0.5, 0.95]) as q) select distinct variable, round(x, 6) as x from r, q where rk = floor((n - 1) * q.q) + 1", lens=False)

@@ -141,7 +141,7 @@ def _(a: DataFrame) -> DataFrame:
     return recovery.predicted_deciles(a.where("y = 1"), "returned", "p", "id")
 
 
-@query("a25_class_agreement", "$LENS select split, count(*) as n, round(avg(case when (p >= 0.5) = (y = 1) then 1.0 else 0.0 end), 6) as hit_rate, round(avg(y), 6) as mean_actual, round(avg(p), 6) as mean_pred from acc group by split")
+@query("a25_class_agreement", "$LENS select split, count(*) as n, round(avg(case when (p > 0.5) = (y = 1) then 1.0 else 0.0 end), 6) as hit_rate, round(avg(y), 6) as mean_actual, round(avg(p), 6) as mean_pred from acc group by split")
 def _(a: DataFrame) -> DataFrame:
     return recovery.class_agreement(a, "y", "p", ["split"])
 
@@ -178,7 +178,7 @@ r as (select *, sum(b) over (partition by draw, model order by p) as cb, sum(g)
 a as (select draw, model, sum(b * (cg - g / 2.0)) / (max(tb) * max(tg)) as auc, max(abs(cb / tb - cg / tg)) as ks from r group by 1, 2), l as (select model, 'auc' as metric, auc as v from a union all select model, 'gini', 2 * auc - 1 from a union all select model, 'ks', ks from a)
 select model, metric, round(quantile_cont(v, 0.025), 6) as lo, round(quantile_cont(v, 0.975), 6) as hi, count(*) as draws from l group by 1, 2""".replace("$LIMITS", str(resampling._poisson_limits())))
 def _(a: DataFrame) -> DataFrame:
-    return resampling.intervals(resampling.replicates(resampling.capped_sample(a, "id", 2000), "y", ["p", "p2"], "id", 20))
+    return resampling.intervals(resampling.replicates(resampling.capped_sample(a, "id", 2000), "y", ["p", "p2"], "id", 20, poisson=True))
 
 
 @query("v7_bootstrap_difference")
@@ -186,7 +186,7 @@ def _(a: DataFrame) -> DataFrame:
     return resampling.paired_difference(resampling.replicates(resampling.capped_sample(a, "id"), "y", ["p", "p2"], "id"), "p", "p2")
 
 
-# The feature's own cap and draws, which v6_bootstrap_ci and its SQL cut to 2,000 rows and 20 draws.
+# The feature's own cap and draws, with replacement; v6_bootstrap_ci and its SQL have Poisson weights for 2,000 rows and 20 draws.
 @query("v6_bootstrap_ci_whole")
 def _(a: DataFrame) -> DataFrame:
     return resampling.intervals(resampling.replicates(resampling.capped_sample(a, "id"), "y", ["p", "p2"], "id"))

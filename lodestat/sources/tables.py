@@ -10,22 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: What a decoder puts where bytes are no UTF-8.
-REPLACEMENT = "�"
+#: How a text file is to be read: its encoding, and whether a quoted field of it holds line ends.
+UTF_8, LATIN_1 = "UTF-8", "ISO-8859-1"
+
+
+def text_form(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(encoding, whether records span lines), from one pass over the bytes of all lines, which Spark splits freely.
+
+    Lines that are not valid UTF-8 make a file Latin-1; a U+FFFD that is there as such does not. A line with an odd
+    number of quotes begins or ends inside a quoted field.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    bad, odd = spark.read.text(path).agg(F.max(~F.is_valid_utf8("value")), F.max(quotes % 2)).first()
+    return LATIN_1 if bad else UTF_8, bool(odd)
 
 
 def read_csv(spark: SparkSession, path: str, columns: Sequence[str], limit: int | None = None) -> DataFrame:
     """The named columns as text; a header tells where they are. Files that are not UTF-8 are read as Latin-1.
 
-    Whether they are is found by one pass that stops at the first bad row.
+    Files whose records are lines are split over tasks; one with line ends inside quotes is read whole by a task each.
     """
-    plain = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
-    df = plain.option("encoding", "UTF-8").csv(path).select(*columns)
-    broken = F.lit(False)
-    for c in columns:
-        broken = broken | F.coalesce(F.col(c).contains(REPLACEMENT), F.lit(False))
-    if df.where(broken).limit(1).count():
-        df = plain.option("encoding", "ISO-8859-1").csv(path).select(*columns)
+    encoding, spans = text_form(spark, path)
+    plain = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", spans).option("encoding", encoding)
+    df = plain.csv(path).select(*columns)
     return df if limit is None else df.limit(limit)
 
 

@@ -12,24 +12,50 @@ SF = "/root/testdata/sf0.001"
 
 
 def _plain(rows):
-    """AUC, Gini and KS of every draw and score, by digests of ids."""
-    limits = resampling._poisson_limits()
-    digest = lambda b, i: hashlib.md5(f"0:{b}:{i}".encode()).hexdigest()
+    """AUC, Gini and KS of every draw and score: the tree of binomial draws, then each bucket's rows in the order of their digests."""
+    digest = lambda r: hashlib.md5(f"0:{r['id']}".encode()).hexdigest()
+    count = 1
+    while count < -(-len(rows) // resampling.BUCKET_ROWS):
+        count *= 2
+    held = [[] for _ in range(count)]
+    for r in sorted(rows, key=digest):
+        held[int(digest(r)[:8], 16) % count].append(r)
+
+    def down(got, lo, hi, node):
+        if hi - lo == 1:
+            return {lo: got}
+        mid, total = (lo + hi) // 2, sum(len(b) for b in held[lo:hi])
+        left = np.random.default_rng([0, node]).binomial(got, sum(len(b) for b in held[lo:mid]) / total)
+        return down(left, lo, mid, 2 * node) | down(got - left, mid, hi, 2 * node + 1)
+
+    got = down(np.full(resampling.DRAWS, len(rows)), 0, count, 1)
+    weights = np.concatenate([np.random.default_rng([0, i, 1]).multinomial(got[i], np.full(len(b), 1 / len(b))) for i, b in enumerate(held) if b], axis=1)
+    assert (weights.sum(axis=1) == len(rows)).all()
+    rows = [r for b in held for r in b]
     out = {}
-    for b in range(resampling.DRAWS // resampling.PER_DIGEST):
-        hexes = [digest(b, r["id"]) for r in rows]
-        for j in range(resampling.PER_DIGEST):
-            w = np.searchsorted(limits, [int(h[6 * j : 6 * j + 6], 16) for h in hexes], side="right")
-            for m in ("p", "p2"):
-                _, at = np.unique([r[m] for r in rows], return_inverse=True)
-                y = np.array([r["y"] for r in rows])
-                bad, good = np.bincount(at, w * y), np.bincount(at, w * (1 - y))
-                cb, cg = np.cumsum(bad), np.cumsum(good)
-                auc = (bad * (cg - good / 2)).sum() / (cb[-1] * cg[-1])
-                out[m, b * resampling.PER_DIGEST + j] = {"auc": auc, "gini": 2 * auc - 1, "ks": np.abs(cb / cb[-1] - cg / cg[-1]).max()}
+    for d, w in enumerate(weights):
+        for m in ("p", "p2"):
+            _, at = np.unique([r[m] for r in rows], return_inverse=True)
+            y = np.array([r["y"] for r in rows])
+            bad, good = np.bincount(at, w * y), np.bincount(at, w * (1 - y))
+            cb, cg = np.cumsum(bad), np.cumsum(good)
+            auc = (bad * (cg - good / 2)).sum() / (cb[-1] * cg[-1])
+            out[m, d] = {"auc": auc, "gini": 2 * auc - 1, "ks": np.abs(cb / cb[-1] - cg / cg[-1]).max()}
     return out
 
 
+def test_draws_take_exactly_as_many_rows_as_there_are(spark):
+    df = spark.range(3000).selectExpr("id", "id % 7 as k").union(spark.createDataFrame([(5, 9), (5, 8)], "id long, k long"))
+    got = resampling.with_replacement(df.repartition(5), "id", 40, seed=3)
+    rows = {(r["id"], r["k"]): r["taken"] for r in got.collect()}
+    w = np.array(list(rows.values()))
+    assert w.shape == (3002, 40) and (w.sum(axis=0) == 3002).all()
+    assert abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w.T)[np.triu_indices(40, 1)]).max() < 0.1
+    again = {(r["id"], r["k"]): r["taken"] for r in resampling.with_replacement(df.repartition(2), "id", 40, seed=3).collect()}
+    assert rows == again
+    assert resampling.with_replacement(df.limit(0), "id", 4).collect() == []
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_registered_bootstraps_run_all_draws_on_all_rows(spark):
     rows = accounts(spark, SF).select("id", "y", "p", "p2").dropna().collect()

@@ -14,6 +14,34 @@ def test_latin_1_falls_back_and_columns_are_chosen(spark, tmp_path):
     assert tables.read_csv(spark, p, ["name"], limit=1).count() == 1
 
 
+def test_encoding_and_records_are_decided_on_bytes(spark, tmp_path):
+    def read(data, name="b.csv"):
+        p = str(tmp_path / name)
+        with open(p, "wb") as f:
+            f.write(data)
+        return tables.text_form(spark, p), [tuple(r) for r in tables.read_csv(spark, p, ["id", "name"]).collect()]
+
+    assert read("id,name\n1,a\ufffdb\n".encode()) == (("UTF-8", False), [("1", "a\ufffdb")])
+    assert read("id,name\n1,é\ufffd\n".encode()[:-2] + b"\n") == (("ISO-8859-1", False), [("1", "Ã©ï¿")])
+    assert read('id,name\n1,"two\nlines"\n2,"say ""x"""\n'.encode()) == (("UTF-8", True), [("1", "two\nlines"), ("2", 'say "x"')])
+    assert read('id,name\n1,"say ""x"""\n2,\n'.encode()) == (("UTF-8", False), [("1", 'say "x"'), ("2", None)])
+    assert read(b"id,name\n1,caf\xe9\n2,\"a\nb\"\n") == (("ISO-8859-1", True), [("1", "café"), ("2", "a\nb")])
+    assert read(b"id,name\n") == (("UTF-8", False), [])
+
+
+def test_large_files_of_plain_records_are_split(spark, tmp_path):
+    p = str(tmp_path / "c.csv")
+    with open(p, "w") as f:
+        f.write("id,name\n" + "".join(f"{i},name {i}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        df = tables.read_csv(spark, p, ["id"])
+        assert df.rdd.getNumPartitions() > 3 and df.agg({"id": "count"}).first()[0] == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_results_read_back_as_written(spark, tmp_path):
     p = str(tmp_path / "out")
     rows = [("NA", 0.1 + 0.2, None), ('say "None", twice', 1e-300, "x"), (None, 123456789.123456789, "None")]
