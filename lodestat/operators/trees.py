@@ -63,7 +63,7 @@ class Flat:
         at, rows = np.zeros(len(bins), np.int32), np.arange(len(bins))
         for _ in range(self.depth):
             f = self.feature[at]
-            go = self.goes_left[at, bins[rows, np.maximum(f, 0)]]
+            go = self.goes_left[at, np.where(f < 0, 0, bins[rows, f])]
             at = np.where(f < 0, at, np.where(go, self.left[at], self.right[at]))
         return at
 

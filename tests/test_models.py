@@ -207,6 +207,14 @@ def test_models_grown_together_equal_those_grown_alone(wide, spark):
     assert loss == pytest.approx(min(first.losses), abs=1e-6)
 
 
+def test_leaves_do_not_look_at_wide_features(spark):
+    df = spark.range(400).selectExpr("id", "cast(id as double) as wide", "cast(id % 2 as double) as narrow", "cast(id % 2 as int) as y")
+    model = boosting.fit(df, "y", ["wide", "narrow"], trees=2, depth=3)
+    assert {s.feature for t in model.trees for s in trees.splits(t)} == {"narrow"}
+    got = df.select("y", model.probability().alias("p")).groupBy("y").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).collect()
+    assert all(r["lo"] == pytest.approx(r["hi"]) and (r["hi"] > 0.5) == (r["y"] == 1) for r in got)
+
+
 def test_unseen_labels_go_right_and_empty_models_score(wide, spark):
     _, df = wide
     model = boosting.fit(df, "y", ["g"], trees=2, depth=1, labels=["g"], row_id="id")
