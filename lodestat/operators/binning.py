@@ -155,12 +155,15 @@ def fit_numeric(df: DataFrame, columns: Sequence[str], y: str, prebins: int = 50
     return out
 
 
-def fit_labels(df: DataFrame, column: str, y: str, row_id: str, min_share: float = 0.02, max_groups: int = 10) -> Bins:
-    """Groups of labels, ordered by smoothed rate (then first appearance by row_id), merged like numeric bins."""
-    rows = df.groupBy(column).agg(F.sum(y).alias("b"), F.sum(1 - F.col(y)).alias("g"), F.min(row_id).alias("first")).collect()  # a row for each label
-    seen = sorted((r for r in rows if r[0] is not None), key=lambda r: (_rate(r["b"], r["g"]), r["first"]))
-    missing = next(((r["b"], r["g"]) for r in rows if r[0] is None), (0, 0))
-    m = _Merge([r["b"] for r in seen], [r["g"] for r in seen], [[str(r[0])] for r in seen])
+def fit_labels(df: DataFrame, column: str, y: str, row_id: str, min_share: float = 0.02, max_groups: int = 10, most: int = 1000) -> Bins:
+    """Groups of labels, ordered by smoothed rate (then first appearance by row_id), merged like numeric bins. More than most labels raise."""
+    counted = df.groupBy(F.col(column).alias("__label")).agg(F.sum(y).alias("__b"), F.sum(1 - F.col(y)).alias("__g"), F.min(row_id).alias("__first"))
+    rows = [tuple(r) for r in counted.limit(most + 2).collect()]  # a row for each label, and one for missing ones
+    if sum(r[0] is not None for r in rows) > most:
+        raise ValueError(f"{column} has more than {most} labels")
+    seen = sorted((r for r in rows if r[0] is not None), key=lambda r: (_rate(r[1], r[2]), r[3]))
+    missing = next(((r[1], r[2]) for r in rows if r[0] is None), (0, 0))
+    m = _Merge([r[1] for r in seen], [r[2] for r in seen], [[str(r[0])] for r in seen])
     m.at_least(min_share)
     m.at_most(max_groups)
     return _finish(Bins(column, groups=[sorted(n) for n in m.names]), m.b, m.g, missing)

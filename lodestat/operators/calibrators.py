@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+import numpy as np
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +16,34 @@ from .regression import Fit, logit_fit
 FLOOR = 1e-6
 
 
+@dataclass(frozen=True)
+class Steps:
+    """A monotone function: values at boundaries, joined by lines, and the end values beyond them."""
+
+    boundaries: tuple[float, ...]
+    values: tuple[float, ...]
+
+    def at(self, x: Column) -> Column:
+        at, v = np.array(self.boundaries), np.array(self.values)
+
+        def run(c):  # noqa: ANN001, ANN202
+            import pandas as pd
+
+            return pd.Series(np.interp(c.to_numpy(), at, v)).where(c.notna().to_numpy())
+
+        return F.pandas_udf(run, "double")(x.cast("double"))
+
+
 @dataclass(frozen=True)
 class Calibrator:
     kind: str
-    model: Fit | IsotonicRegressionModel
+    model: Fit | Steps
 
     def apply(self, df: DataFrame, margin: Column) -> DataFrame:
         """Adds ``calibrated``; isotonic steps are joined by lines, and margins outside the learned range get the end values."""
         if isinstance(self.model, Fit):
             return df.withColumn("calibrated", clipped(sigmoid(F.lit(self.model.intercept) + self.model.coef[0] * margin), FLOOR, 1 - FLOOR))
-        out = self.model.transform(df.withColumn("__score", sigmoid(margin)))
-        return out.withColumn("calibrated", clipped(F.col("__iso"), FLOOR, 1 - FLOOR)).drop("__score", "__iso")
+        return df.withColumn("calibrated", clipped(self.model.at(sigmoid(margin)), FLOOR, 1 - FLOOR))
 
 
 def platt(df: DataFrame, y: str, margin: Column) -> Calibrator:
@@ -35,7 +53,8 @@ def platt(df: DataFrame, y: str, margin: Column) -> Calibrator:
 def isotonic(df: DataFrame, y: str, margin: Column) -> Calibrator:
     """Equal scores are pooled by Spark first, so the fit sees distinct scores with weights."""
     pooled = df.select(sigmoid(margin).alias("__score"), F.col(y).cast("double").alias("__y")).dropna().groupBy("__score").agg(F.avg("__y").alias("__rate"), F.count("*").cast("double").alias("__n"))
-    return Calibrator("isotonic", IsotonicRegression(featuresCol="__score", labelCol="__rate", weightCol="__n", predictionCol="__iso").fit(pooled))
+    fitted = IsotonicRegression(featuresCol="__score", labelCol="__rate", weightCol="__n", predictionCol="__iso").fit(pooled)
+    return Calibrator("isotonic", Steps(tuple(fitted.boundaries.toArray().tolist()), tuple(fitted.predictions.toArray().tolist())))  # two numbers for each step
 
 
 def choose(df: DataFrame, y: str, margin: Column, row_id: str) -> Calibrator:

@@ -114,6 +114,11 @@ def fraction_sample(df: DataFrame, row_id: str, share: float, seed: int = 0) ->
     return df.where(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string"))), 1, 8) < limit)
 
 
+def with_digest_share(df: DataFrame, row_id: str, seed: int = 0) -> DataFrame:
+    """Adds __share: a number between 0 and 1 from a digest of the id, the same however the data lie."""
+    return df.withColumn("__share", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32))
+
+
 def with_tails(table: DataFrame, tails: Mapping[str, Callable[[SparkSession, dict], float | None]]) -> DataFrame:
     """A result table with tail probabilities, which the JVM's survival functions give row by row on the driver; larger tables raise."""
     rows = table.limit(MOST_ROWS + 1).collect()

@@ -60,12 +60,12 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def patterns(df: DataFrame, y: str, features: Sequence[str]) -> DataFrame:
-    """Distinct feature rows with their count ``n`` and bads ``b``; rows with a null in any of these columns don't count."""
+    """Distinct feature rows with their count ``__n`` and bads ``__b``; rows with a null in any of these columns don't count."""
     full = df.select(F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(c) for c in features]).dropna()
-    return full.groupBy(*features).agg(F.count("*").cast("double").alias("n"), F.sum("__y").alias("b"))
+    return full.groupBy(*features).agg(F.count("*").cast("double").alias("__n"), F.sum("__y").alias("__b"))
 
 
-def correlation(table: DataFrame, names: Sequence[str], weight: str = "n") -> np.ndarray:
+def correlation(table: DataFrame, names: Sequence[str], weight: str = "__n") -> np.ndarray:
     """Pearson correlations of a weighted table, a number for each pair of columns; constant columns give zeros.
 
     Two passes, the second around the means, so that large means cost no digits.
@@ -86,7 +86,7 @@ def correlation(table: DataFrame, names: Sequence[str], weight: str = "n") -> np
     return out
 
 
-def independent(table: DataFrame, names: Sequence[str], weight: str = "n") -> list[str]:
+def independent(table: DataFrame, names: Sequence[str], weight: str = "__n") -> list[str]:
     """The columns that are neither constant nor a combination of those before them."""
     corr, keep = correlation(table, names, weight), []
     for i in range(len(names)):
@@ -106,12 +106,12 @@ def _widened(fit: Fit, features: Sequence[str]) -> Fit:
 def logit_on_patterns(table: DataFrame, features: Sequence[str]) -> Fit:
     """Unpenalised. Columns that depend on others are left out, which changes no prediction."""
     used = independent(table, features)
-    n = table.agg(F.sum("n").alias("n"), F.sum("b").alias("b")).first()
+    n = table.agg(F.sum("__n").alias("n"), F.sum("__b").alias("b")).first()
     if not used:
         b, g = n["b"], n["n"] - n["b"]
         return _widened(Fit((), (), (), float(np.log(b / g)), float((1 / b + 1 / g) ** 0.5), int(n["n"])), features)
-    rows = _assembled(table.withColumn("__rate", F.col("b") / F.col("n")), used)
-    model = GeneralizedLinearRegression(family="binomial", featuresCol="__x", labelCol="__rate", weightCol="n", maxIter=100, tol=1e-12).fit(rows)
+    rows = _assembled(table.withColumn("__rate", F.col("__b") / F.col("__n")), used)
+    model = GeneralizedLinearRegression(family="binomial", featuresCol="__x", labelCol="__rate", weightCol="__n", maxIter=100, tol=1e-12).fit(rows)
     se = tuple(float(v) for v in model.summary.coefficientStandardErrors)
     return _widened(Fit(tuple(used), tuple(float(v) for v in model.coefficients), se[:-1], float(model.intercept), se[-1], int(n["n"])), features)
 

@@ -40,11 +40,11 @@ def vintage_audit(df: DataFrame, vintage: str, y: str, observed: Column, current
 
 
 def split_by_hash(df: DataFrame, row_id: str, share: float, seed: int, strata: tuple[str, ...] = ()) -> DataFrame:
-    """Adds in_sample: of each stratum round(share * n) rows, those of smallest hash; the same rows however the data lie.
+    """Adds in_sample: of each stratum round(share * n) rows, those of smallest digest; the same rows however the data lie.
 
-    A stratum's rows are ranked inside hash buckets first, so that no stratum goes through one task.
+    A stratum's rows are ranked inside buckets of digests first, so that no stratum goes through one task.
     """
-    h = df.withColumn("__h", F.xxhash64(F.col(row_id), F.lit(seed))).withColumn("__b", F.shiftright("__h", 52))
+    h = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row_id).cast("string")))).withColumn("__b", F.substring("__h", 1, 3))
     counts = h.groupBy(*strata, "__b").agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*strata)
     before = counts.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], F.col("__b").alias("__at"), (F.sum("__n").over(w.orderBy("__b")) - F.col("__n")).alias("__before"), F.sum("__n").over(w).alias("__all"))  # at most 4096 rows for each stratum

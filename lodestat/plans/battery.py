@@ -299,7 +299,7 @@ def _(a: DataFrame) -> DataFrame:
     return rank.min_rank_descending(a.groupBy("segment").agg(F.sum("y").alias("bads")), "bads", "rank")
 
 
-@query("t4_stratified_split")
+@query("t4_stratified_split", "$LENS select id, y, row_number() over (partition by y order by md5('42:' || cast(id as varchar)), id) <= round(count(*) over (partition by y) * 0.2) as in_sample from acc")
 def _(a: DataFrame) -> DataFrame:
     return targets.split_by_hash(a.select("id", "y"), "id", 0.2, 42, ("y",))
 

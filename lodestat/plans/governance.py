@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import binning, calibration, loss, rank, recovery, regression, resampling, scorecard, sensitivity
+from ..operators import benchmark, binning, bundles, calibration, loss, rank, recovery, regression, resampling, scorecard, sensitivity
 from ..operators import governance as gov
+from ..sources.models import load_bundles, save_bundles
+from ..sources.scratch import shared_dir
 from .battery import query
 from .modelling import LABELS, NUMERIC, SCENARIOS
 
@@ -118,16 +122,32 @@ def _(a: DataFrame) -> DataFrame:
     return _shown(gov.battery(_long(a), _RULES, _LIGHTS, "dev"))
 
 
+_LIFETIME = F.col("status").isin("F", "P").cast("int")
+
+
+@query("v9_target_choice", _LONG_SQL.replace("id, y, p", "id, case when split = 'oot2' then cast(status in ('F', 'P') as int) else y end as y, p").replace("id, y, p2", "id, case when split = 'oot2' then cast(status in ('F', 'P') as int) else y end, p2") + _BATTERY_SQL.replace("where fits", "where model in ('p', 'recal') or split = 'oot2'"))
+def _(a: DataFrame) -> DataFrame:
+    """The battery where the last split has the lifetime target."""
+    long = gov.scored(a, {"p": F.col("p"), "p2": F.col("p2"), "recal": F.col("p") * 0.9}, _RULES, {"oot2": _LIFETIME}, F.col("y"), "id", "split")
+    return _shown(gov.battery(long, _RULES, _LIGHTS, "dev"))
+
+
+@query("v9_group_p")
+def _(a: DataFrame) -> DataFrame:
+    """The battery with each model's least group probability."""
+    return _shown(gov.battery(_long(a), _RULES, _LIGHTS, "dev", group="grade"))
+
+
 @query("x1_sample_metrics", "$LENS, m as (select 'p' as model, split, id, y, p from (select * from acc where split <> 'partial' order by md5('0:' || cast(id as varchar)) limit 5000))" + _BATTERY_SQL.replace("where fits", ""))
 def _(a: DataFrame) -> DataFrame:
     sample = resampling.capped_sample(a.where("split <> 'partial'"), "id", 5000)  # the sample that is scored again
     return _shown(gov.battery(gov.scored(sample, {"p": F.col("p")}, {"p": _RULES["p"]}, {}, F.col("y"), "id", "split"), {"p": _RULES["p"]}, _LIGHTS, "dev"))
 
 
-@query("v2_group_tails", """$LENS, t as (select grade, count(*) as n, cast(sum(y) as bigint) as bads, avg(p) as mean_pd from acc where id <= 4000 group by grade)
+@query("v2_group_tails", """$LENS, t as (select grade, count(*) as n, cast(sum(y) as bigint) as bads, avg(p) as mean_pd from acc group by grade)
 select grade, n, bads, round(mean_pd, 6) as mean_pd, round(list_sum(list_transform(range(bads, n + 1), lambda k: exp(lgamma(n + 1) - (case when k = 0 then 0 else lgamma(k + 1) end) - (case when k = n then 0 else lgamma(n - k + 1) end) + k * ln(mean_pd) + (n - k) * ln(1 - mean_pd)))), 5) as p_exact from t""")
 def _(a: DataFrame) -> DataFrame:
-    t = gov.group_tails(calibration.by_group(a.where("id <= 4000"), "y", "p", "grade"))  # the SQL adds up every term of the tail
+    t = gov.group_tails(calibration.by_group(a, "y", "p", "grade"))  # the SQL adds up every term of the tail
     return t.select("grade", "n", "bads", "mean_pd", F.round("p_exact", 5).alias("p_exact"))
 
 
@@ -179,6 +199,56 @@ def _(a: DataFrame) -> DataFrame:
     return rank.discrimination(gov.scored(a, models, rules, {}, F.col("y"), "id", "split"), "y", "p", ["model", "split"])
 
 
+_DESIGN = bundles.DummyDesign({"qty": [(0, 50), (50, 100), (100, 200)]}, {"segment": {"industry": ["BUILDING", "MACHINERY"], "home": ["HOUSEHOLD", "FURNITURE"], "car": ["AUTOMOBILE"]}}, ("qty_0_50", "segment_car"))
+
+
+@query("m20_training_run")
+def _(a: DataFrame) -> DataFrame:
+    """All six models of a training run, saved whole and read back; then every model's discrimination on every split."""
+    dev = gov.with_digest_share(a.where("split = 'dev'"), "id").withColumn("lifetime", _LIFETIME)
+    data = bundles.Data(dev.where("__share < 0.8"), dev.where("__share >= 0.8"), a.where("split = 'oot1'"), dev, "y", "lifetime", "id", "vintage")
+    setting = {k: (bundles.SETTING, 60) for k in ("level", "leaf")}  # the search is m16_expanding_search
+    run = bundles.train_all(data, ["balance", "qty", "funded", "disc", "segment"], ["balance", "disc"], ["segment"], _DESIGN, {"qty": 1}, _AFTER, settings=setting, selection={"iv_min": 0.0, "p_max": 1.0})
+    path = f"{shared_dir(a.sparkSession)}/bundles-{uuid.uuid4().hex}.json"
+    save_bundles(a.sparkSession, run, path, "orders")
+    rows = a.where("split <> 'partial'")
+    for b in load_bundles(a.sparkSession, path).values():
+        rows = b.apply(rows)
+    long = rows.select("split", "y", F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("p")) for n in bundles.ORDER])).alias("m")).select("split", "y", "m.*")
+    return rank.discrimination(long, "y", "p", ["model", "split"])
+
+
+_PAIRS = {"score against grade": ("p", "grade_rank"), "challenger against grade": ("p2", "grade_rank"), "score against challenger": ("p", "p2"), "score against rate": ("p", "disc")}
+
+
+def _ranked(a: DataFrame) -> DataFrame:
+    return a.withColumn("grade_rank", F.col("grade").cast("double")).withColumn("p2", F.col("p2").cast("double"))
+
+
+@query("k3_benchmark_table")
+def _(a: DataFrame) -> DataFrame:
+    """Every pair on both later splits, with 500 draws for each interval."""
+    return benchmark.benchmark_table(_ranked(a), "y", _PAIRS, "split", ("oot1", "oot2"), "id")
+
+
+def _pairs_sql() -> str:
+    """Paired tests from average placements, pair by pair."""
+    one = """select {name!r} as pair, split, max(case when y = 1 then a end) as auc_a, max(case when y = 1 then b end) as auc_b, max(case when y = 1 then a - b end) / sqrt(sum(s / n)) as delong_z from (
+      select split, y, count(*) as n, avg(va) as a, avg(vb) as b, var_samp(va - vb) as s from (
+        select split, y, case when y = 1 then la / k else 1 - ua / m end as va, case when y = 1 then lb / k else 1 - ub / m end as vb from (
+          select *, sum(y) over s as m, sum(1 - y) over s as k, sum(1 - y) over (partition by split order by {a}) - sum(1 - y) over (partition by split, {a}) / 2.0 as la, sum(y) over (partition by split order by {a}) - sum(y) over (partition by split, {a}) / 2.0 as ua,
+            sum(1 - y) over (partition by split order by {b}) - sum(1 - y) over (partition by split, {b}) / 2.0 as lb, sum(y) over (partition by split order by {b}) - sum(y) over (partition by split, {b}) / 2.0 as ub
+          from (select *, cast(grade as double) as grade_rank from acc where split in ('oot1', 'oot2')) where {a} is not null and {b} is not null window s as (partition by split)))
+      group by 1, 2) group by 2"""
+    rows = " union all ".join(one.format(name=n, a=a, b=b) for n, (a, b) in _PAIRS.items())
+    return f"$LENS select split, pair, round(auc_a, 6) as auc_a, round(auc_b, 6) as auc_b, round(2 * auc_a - 1, 6) as gini_a, round(2 * auc_b - 1, 6) as gini_b, round(auc_a - auc_b, 6) as d_auc, round(delong_z, 5) as delong_z from ({rows})"
+
+
+@query("k3_pair_tests", _pairs_sql())
+def _(a: DataFrame) -> DataFrame:
+    return benchmark.pair_rows(_ranked(a), "y", _PAIRS, "split", ("oot1", "oot2")).drop("delong_p").withColumn("delong_z", F.round("delong_z", 5))
+
+
 @query("l3_lifetime_back_test")
 def _(a: DataFrame) -> DataFrame:
     """Scorecard and loss model refitted on vintages to 1997, expected against realized loss on these and on 1998, by grade and in all."""
