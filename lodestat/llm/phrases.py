@@ -31,7 +31,8 @@ PARTS, HOT = 64, 1000
 #: Bits of the filter of frequent phrases: at least 32 for each of them, so long as MOST_BITS (16 MB) allows. A wrong hit costs time, never a row.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 27
 MIX = np.uint64(0x9E3779B97F4A7C15)
-STRIPES = "lang string, prefix string, part int, next array<string>, n array<long>"
+#: A stripe: next words with blanks between them, a byte for each count, and eight for each count that is SMALL or more.
+STRIPES, SMALL = "lang string, prefix string, part int, next string, few binary, many binary", 255
 
 #: One byte for each stop, which UTF-8 never holds, and blanks for tabs.
 _STOP = bytes(0xFF if c in b".,;:!?\x0a\x0b\x0c\x0d" else 0x20 if c == 9 else c for c in range(256))
@@ -188,16 +189,29 @@ class _Seen:
                 for lo in range(0, len(starts), 20_000):
                     s = starts[lo : lo + 20_000]
                     end = starts[lo + 20_000] if lo + 20_000 < len(starts) else len(last)
-                    offsets = pa.array(np.r_[s, end] - s[0], pa.int32())
+                    at, counts = np.r_[s, end] - s[0], n[s[0] : end]
+                    words = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(names[last[s[0] : end]], pa.string()))
+                    large = np.r_[0, np.cumsum(counts >= SMALL)][at]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([self.lang] * len(s)), pa.array(prefixes[which[s]], pa.string()), pa.array(part[s], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(names[last[s[0] : end]], pa.string())), pa.ListArray.from_arrays(offsets, pa.array(n[s[0] : end]))],
-                        names=["lang", "prefix", "part", "next", "n"],
+                        [pa.array([self.lang] * len(s)), pa.array(prefixes[which[s]], pa.string()), pa.array(part[s], pa.int32()), pc.binary_join(words, " "), _packed(np.minimum(counts, SMALL).astype(np.uint8), at), _packed(counts[counts >= SMALL], large)],
+                        names=["lang", "prefix", "part", "next", "few", "many"],
                     )
         self.clear()
 
 
+def _packed(numbers: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary for each row: the bytes of its numbers, which begin at these places."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * numbers.itemsize).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(numbers).tobytes())])
+
+
+def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    """The numbers of all rows."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[1]].view(kind)
+
+
 def stripes(blocks: DataFrame, size: int, filters: Sequence[np.ndarray] = (), hot: dict[str, set[str]] | None = None) -> DataFrame:
-    """(lang, prefix, part, next, n): each task's stripes of prefixes of size - 1 words. Filters: of frequent words, and of frequent phrases of size - 1 words."""
+    """(lang, prefix, part, next, few, many): each task's stripes of prefixes of size - 1 words. Filters: of frequent words, and of frequent phrases of size - 1 words."""
     shared = blocks.sparkSession.sparkContext.broadcast(([f.tobytes() for f in filters], {k: frozenset(v) for k, v in (hot or {}).items()}))  # two filters of MOST_BITS at most; at most HOT phrases of a length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,9 +242,13 @@ def merged(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _MERGED.empty_table()  # the last key of a batch may go on in the next one
         for b in batches:
-            lists = b.column(3)
-            of = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            entries = pa.Table.from_arrays([*(b.column(i).take(pa.array(of)) for i in range(3)), lists.flatten(), b.column(4).flatten()], schema=_MERGED)
+            if not b.num_rows:
+                continue
+            words = pc.split_pattern(b.column(3), " ")
+            n = _unpacked(b.column(4), np.uint8).astype(np.int64)
+            n[n == SMALL] = _unpacked(b.column(5), np.int64)
+            of = pa.array(np.repeat(np.arange(b.num_rows), pc.list_value_length(words).to_numpy()))
+            entries = pa.Table.from_arrays([*(b.column(i).take(of) for i in range(3)), words.flatten(), pa.array(n)], schema=_MERGED)
             sums = pa.concat_tables([held, entries]).group_by(["lang", "prefix", "part", "next"], use_threads=False).aggregate([("n", "sum")]).rename_columns(_MERGED.names)
             last = [b.column(i)[b.num_rows - 1] for i in range(3)]
             open_ = pc.and_(pc.and_(pc.equal(sums["lang"], last[0]), pc.equal(sums["prefix"], last[1])), pc.equal(sums["part"], last[2]))
