@@ -297,25 +297,32 @@ def _drawn(digest: np.ndarray, share: float, seed: int, tree: int) -> np.ndarray
     return (x >> np.uint64(11)).astype(np.float64) < share * float(1 << 53)
 
 
-def _bins_of_fold(df: DataFrame, fold: Fold, features: Sequence[str], labels: Sequence[str], bins: int) -> _Binned:
-    train = df.where(fold.train)
-    rate = train.agg(F.avg("__y")).first()[0]
+def _flagged(df: DataFrame, y: str, features: Sequence[str], labels: Sequence[str], folds: Sequence[Fold], row_id: str | None) -> DataFrame:
+    """d: a digest; y; each fold's side: 1 learns, 2 validates; and the features as x0, x1, ... Read from storage from here on, whatever df costs."""
+    digest = F.xxhash64(F.col(row_id).cast("string")) if row_id else F.xxhash64(*[F.col(f).cast("string") for f in [y, *features]])
+    side = [F.when(f.train, 1).when(f.valid if f.valid is not None else F.lit(False), 2).otherwise(0).cast("byte").alias(f"s{k}") for k, f in enumerate(folds)]
+    named = [F.col(f).cast("string" if f in labels else "double").alias(f"x{i}") for i, f in enumerate(features)]
+    return stored(df.select(digest.alias("d"), F.col(y).cast("double").alias("y"), *side, *named).where("y is not null"), "boosting-rows")
+
+
+def _bins_of_fold(rows: DataFrame, fold: int, features: Sequence[str], labels: Sequence[str], bins: int) -> _Binned:
+    train = rows.where(F.col(f"s{fold}") == 1)
+    rate = train.agg(F.avg("y")).first()[0]
+    at = {f: f"x{i}" for i, f in enumerate(features)}
     numbers = [f for f in features if f not in labels]
-    got = exact_quantiles(train, numbers, [i / bins for i in range(1, bins)]) if numbers else {}
-    codes = {f: [r[0] for r in train.where(F.col(f).isNotNull()).groupBy(F.col(f).cast("string").alias("x")).count().orderBy(F.col("count").desc(), "x").limit(MOST_LABELS).collect()] for f in labels}
+    got = exact_quantiles(train, [at[f] for f in numbers], [i / bins for i in range(1, bins)]) if numbers else {}
+    codes = {f: [r[0] for r in train.where(F.col(at[f]).isNotNull()).groupBy(at[f]).count().orderBy(F.col("count").desc(), at[f]).limit(MOST_LABELS).collect()] for f in labels}
     rate = min(1 - 1e-9, max(1e-9, rate)) if rate is not None else 0.5
-    return _Binned({f: sorted(set(got[f])) for f in numbers}, codes, log(rate / (1 - rate)))
+    return _Binned({f: sorted(set(got[at[f]])) for f in numbers}, codes, log(rate / (1 - rate)))
 
 
-def _binned_table(rows: DataFrame, features: Sequence[str], labels: Sequence[str], folds: Sequence[Fold], binned: Sequence[_Binned], bases: Sequence[float]) -> DataFrame:
+def _binned_table(rows: DataFrame, features: Sequence[str], folds: int, binned: Sequence[_Binned], bases: Sequence[float]) -> DataFrame:
     """Digest, label, each fold's side and bins, and each model's margin."""
-    side = [F.when(f.train, 1).when(f.valid if f.valid is not None else F.lit(False), 2).otherwise(0).cast("byte").alias(f"s{k}") for k, f in enumerate(folds)]
-    chosen = rows.select("__d", "__y", *side, *[F.col(f).cast("string" if f in labels else "double").alias(f"x{i}") for i, f in enumerate(features)])
-    names = ["d", "y", *[f"s{k}" for k in range(len(folds))], *[f"b{k}_{i}" for k in range(len(folds)) for i in range(len(features))], *[f"m{j}" for j in range(len(bases))]]
-    kinds = ["long", "double", *["byte"] * len(folds), *["short"] * (len(folds) * len(features)), *["double"] * len(bases)]
+    names = ["d", "y", *[f"s{k}" for k in range(folds)], *[f"b{k}_{i}" for k in range(folds) for i in range(len(features))], *[f"m{j}" for j in range(len(bases))]]
+    kinds = ["long", "double", *["byte"] * folds, *["short"] * (folds * len(features)), *["double"] * len(bases)]
     edges = [{f: np.array(e) for f, e in b.edges.items()} for b in binned]
     codes = [{f: {x: i + 1 for i, x in enumerate(c)} for f, c in b.codes.items()} for b in binned]
-    first, n = 2 + len(folds), len(folds)
+    first, n = 2 + folds, folds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,7 +338,7 @@ def _binned_table(rows: DataFrame, features: Sequence[str], labels: Sequence[str
                     out.append(pa.array(at))
             yield pa.RecordBatch.from_arrays([*out, *[pa.array(np.full(b.num_rows, m)) for m in bases]], names=names)
 
-    return chosen.mapInArrow(run, ", ".join(f"{a} {k}" for a, k in zip(names, kinds)))
+    return rows.mapInArrow(run, ", ".join(f"{a} {k}" for a, k in zip(names, kinds)))
 
 
 def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
@@ -417,12 +424,11 @@ def grow(df: DataFrame, y: str, features: Sequence[str], jobs: Sequence[tuple[Gr
     drawn together. Rows without a label take no part; edges and labels come from a fold's training rows alone; with
     patience, a model ends where its validation loss is least, looking that many trees ahead.
     """
-    digest = F.xxhash64(F.col(row_id).cast("string")) if row_id else F.xxhash64(*[F.col(f).cast("string") for f in [y, *features]])
-    rows = df.withColumns({"__y": F.col(y).cast("double"), "__d": digest}).where("__y is not null")
-    binned = [_bins_of_fold(rows, f, features, labels, bins) for f in folds]
+    rows = _flagged(df, y, features, labels, folds, row_id)
+    binned = [_bins_of_fold(rows, k, features, labels, bins) for k in range(len(folds))]
     work = [_Job(i, g, k, binned[k], features, labels, signs or {}, bool(g.patience) and folds[k].valid is not None) for i, (g, k) in enumerate(jobs)]
     width = max(b.width() for b in binned)
-    table = stored(_binned_table(rows, features, labels, folds, binned, [binned[k].base for _, k in jobs]), "boosting")
+    table = stored(_binned_table(rows, features, len(folds), binned, [binned[k].base for _, k in jobs]), "boosting")
     while open_ := [j for j in work if not j.done]:
         sums, losses = _sums(table, open_, width)
         for j in open_:

@@ -15,6 +15,7 @@ from statistics import mean, median
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from . import boosting
 from .resampling import capped_sample
 
@@ -86,7 +87,7 @@ def expanding_search(
     number of trees is the best setting's median over the folds, grown for the longer history. Of equal settings the
     first drawn wins; a fold with one class, or without rows, does not count.
     """
-    sides = df.where(F.col(y).isNotNull() & F.col(year).isNotNull())
+    sides = stored(df.where(F.col(y).isNotNull() & F.col(year).isNotNull()).select(*dict.fromkeys([row_id, year, y, *features])), "search-rows")
     # The largest digest that a fold's cap lets through, so that a fold is a condition on the one table.
     caps = {v: capped_sample(sides.where(F.col(year) < v), row_id, row_cap, seed).select(row_id) for v in validate}
     marked = sides
