@@ -122,13 +122,14 @@ def _(a: DataFrame) -> DataFrame:
     return _shown(gov.battery(_long(a), _RULES, _LIGHTS, "dev"))
 
 
-_LIFETIME = F.col("status").isin("F", "P").cast("int")
+def _lifetime() -> Column:
+    return F.col("status").isin("F", "P").cast("int")
 
 
 @query("v9_target_choice", _LONG_SQL.replace("id, y, p", "id, case when split = 'oot2' then cast(status in ('F', 'P') as int) else y end as y, p").replace("id, y, p2", "id, case when split = 'oot2' then cast(status in ('F', 'P') as int) else y end, p2") + _BATTERY_SQL.replace("where fits", "where model in ('p', 'recal') or split = 'oot2'"))
 def _(a: DataFrame) -> DataFrame:
     """The battery where the last split has the lifetime target."""
-    long = gov.scored(a, {"p": F.col("p"), "p2": F.col("p2"), "recal": F.col("p") * 0.9}, _RULES, {"oot2": _LIFETIME}, F.col("y"), "id", "split")
+    long = gov.scored(a, {"p": F.col("p"), "p2": F.col("p2"), "recal": F.col("p") * 0.9}, _RULES, {"oot2": _lifetime()}, F.col("y"), "id", "split")
     return _shown(gov.battery(long, _RULES, _LIGHTS, "dev"))
 
 
@@ -205,7 +206,7 @@ _DESIGN = bundles.DummyDesign({"qty": [(0, 50), (50, 100), (100, 200)]}, {"segme
 @query("m20_training_run")
 def _(a: DataFrame) -> DataFrame:
     """All six models of a training run, saved whole and read back; then every model's discrimination on every split."""
-    dev = gov.with_digest_share(a.where("split = 'dev'"), "id").withColumn("lifetime", _LIFETIME)
+    dev = gov.with_digest_share(a.where("split = 'dev'"), "id").withColumn("lifetime", _lifetime())
     data = bundles.Data(dev.where("__share < 0.8"), dev.where("__share >= 0.8"), a.where("split = 'oot1'"), dev, "y", "lifetime", "id", "vintage")
     setting = {k: (bundles.SETTING, 60) for k in ("level", "leaf")}  # the search is m16_expanding_search
     run = bundles.train_all(data, ["balance", "qty", "funded", "disc", "segment"], ["balance", "disc"], ["segment"], _DESIGN, {"qty": 1}, _AFTER, settings=setting, selection={"iv_min": 0.0, "p_max": 1.0})
