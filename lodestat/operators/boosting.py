@@ -31,6 +31,8 @@ __all__ = ["Boosted", "Fold", "Growth", "Node", "additivity", "compare_importanc
 UNIT, SMOOTH = float(1 << 26), 10.0
 #: Labels of a feature that have a bin of their own, the most frequent ones; others count as unseen.
 MOST_LABELS = 64
+#: Tables of at most so many tasks send their sums without a shuffle.
+FEW_TASKS = 16
 #: Without a limit of its own, a tree stops at this depth.
 DEEPEST = 30
 
@@ -361,7 +363,7 @@ def _moved(table: DataFrame, jobs: Sequence[_Job]) -> DataFrame:
     return table.mapInArrow(run, table.schema)
 
 
-def _sums(table: DataFrame, jobs: Sequence[_Job], width: int) -> tuple[dict[tuple[int, int], np.ndarray], dict[int, float]]:
+def _sums(table: DataFrame, jobs: Sequence[_Job], width: int, tasks: int) -> tuple[dict[tuple[int, int], np.ndarray], dict[int, float]]:
     """One pass: the sums of all nodes that the models ask for, and the validation losses of those that want one."""
     count, slots, work = len(jobs[0].features), {}, []
     for j in jobs:
@@ -407,8 +409,14 @@ def _sums(table: DataFrame, jobs: Sequence[_Job], width: int) -> tuple[dict[tupl
         lost = np.flatnonzero(losses[:, 1])
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[key, -1 - lost]), *[pa.array(np.r_[sums[k][key], losses[lost, k] if k < 2 else np.zeros(len(lost))].astype(np.int64)) for k in range(3)]], names=["k", "g", "h", "n"])
 
-    got = table.mapInArrow(run, "k long, g long, h long, n long").groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n")).toArrow()  # nodes x features x bins rows
-    k, g, h, n = (got[c].to_numpy() for c in ("k", "g", "h", "n"))
+    parts = table.mapInArrow(run, "k long, g long, h long, n long")
+    if tasks > FEW_TASKS:  # the sums of many tasks meet by a shuffle, those of a few on the driver: whole numbers, the same either way
+        parts = parts.groupBy("k").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+    got = parts.toArrow()  # nodes x features x bins rows, from each of a few tasks
+    k, at = np.unique(got["k"].to_numpy(), return_inverse=True)
+    g, h, n = (np.zeros(len(k), np.int64) for _ in range(3))
+    for total, c in ((g, "g"), (h, "h"), (n, "n")):
+        np.add.at(total, at, got[c].to_numpy())
     dense = np.zeros((max(1, len(slots)) * count * width, 3))
     dense[k[k >= 0]] = np.stack([g / UNIT, h / UNIT, n], axis=1)[k >= 0]
     dense = dense.reshape(-1, count, width, 3)
@@ -429,13 +437,15 @@ def grow(df: DataFrame, y: str, features: Sequence[str], jobs: Sequence[tuple[Gr
     work = [_Job(i, g, k, binned[k], features, labels, signs or {}, bool(g.patience) and folds[k].valid is not None) for i, (g, k) in enumerate(jobs)]
     width = max(b.width() for b in binned)
     table = stored(_binned_table(rows, features, len(folds), binned, [binned[k].base for _, k in jobs]), "boosting")
+    tasks = table.rdd.getNumPartitions()
     while open_ := [j for j in work if not j.done]:
-        sums, losses = _sums(table, open_, width)
+        sums, losses = _sums(table, open_, width, tasks)
         for j in open_:
             asked = list(j.tree.asked) if j.tree else []
             j.advance({n: sums[j.number, n] for n in asked}, losses.get(j.number) if j.wants_loss else None)
         if max(len(j.pending) for j in work) >= store_every and any(not j.done for j in work):
             table = stored(_moved(table, work), "boosting")
+            tasks = table.rdd.getNumPartitions()
             for j in work:
                 j.pending = []
     return [j.result() for j in work]
