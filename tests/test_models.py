@@ -224,3 +224,18 @@ def test_unseen_labels_go_right_and_empty_models_score(wide, spark):
     assert got["new"] == got[None] != got[root.labels[0]]
     none = boosting.fit(df.where("y = 1"), "y", ["a"], trees=3)
     assert none.trees and df.select(none.probability().alias("p")).agg(F.min("p")).first()[0] > 0.99
+
+
+def test_a_pass_works_out_equal_rows_once(spark, monkeypatch):
+    df = spark.range(0, 6000, 1, 6).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), (F.col("id") % 5).cast("double").alias("a"), F.when(F.col("id") % 2 == 0, "u").otherwise("v").alias("g"))
+    seen, sums = [], boosting._sums
+
+    def told(blocks, *rest):
+        seen.append(blocks.map(lambda r: (len(r["y"]) // 8, len(r["d"]) // 8)).collect())
+        return sums(blocks, *rest)
+
+    monkeypatch.setattr(boosting, "_sums", told)
+    model = boosting.grow(df, "y", ["a", "g"], [(boosting.Growth(trees=2, depth=2, rows=0.5), 0)], [boosting.Fold(F.lit(True))], ["g"], "id")[0]
+    patterns, rows = map(sum, zip(*seen[0]))
+    assert rows == 6000 and patterns < 300 and len(model.trees) == 2  # 20 patterns, in a few batches
+    assert boosting.with_shap(df, model)._jdf.queryExecution().executedPlan().toString().count("run(") == 1  # attributions and margin together
