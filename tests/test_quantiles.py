@@ -40,3 +40,17 @@ def test_average_ranks_do_not_depend_on_partitions(spark):
 def test_a_probability_of_one_half_is_no_class(spark):
     df = spark.createDataFrame([(0.5, 0), (0.5, 1), (0.51, 1), (0.49, 0)], "p double, a int")
     assert recovery.class_agreement(df, "a", "p").first()["hit_rate"] == 0.75
+
+
+def test_quantiles_of_many_levels_are_exact_and_test_no_row_for_each(spark, monkeypatch):
+    monkeypatch.setattr(stability, "ACCURACY", 200)
+    r = np.random.default_rng(5)
+    x, z = r.normal(size=6000), r.integers(0, 4, 6000).astype(float)
+    df = spark.createDataFrame([(float(a), float(b) if i % 9 else None) for i, (a, b) in enumerate(zip(x, z))] + [(None, None)], "x double, z double").repartition(4)
+    ran, agg = [], type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *c: ran.append(len(c)) or agg(self, *c))
+    at = [i / 32 for i in range(1, 32)]
+    got = stability.exact_quantiles(df, ["x", "z"], at)
+    for c, v in (("x", x), ("z", [b for i, b in enumerate(z) if i % 9])):
+        assert got[c] == pytest.approx(list(np.quantile(v, at)), abs=1e-12)
+    assert ran and max(ran) < 31
