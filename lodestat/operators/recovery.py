@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clean import clipped
+from ..sources.scratch import narrowed
 from .rank import decile_of, ranked
 from .regression import Fit, logit_fit, ols_fit
 from .stability import exact_quantiles, grouped_quantiles
@@ -69,6 +70,7 @@ class LossModel:
 
 def fit_loss_model(defaults: DataFrame, recovery_rate: str, ccf: str, numeric: Sequence[str], labels: Sequence[str], reported: Sequence[str] = ()) -> LossModel:
     """Any recovery by logit on all defaults, the rate by least squares on those with some, conversion on all."""
+    defaults = narrowed(defaults, recovery_rate, ccf, *numeric, *labels, *reported, name="loss-rows")
     design = learn_design(defaults, numeric, labels, reported)
     columns = design.columns()
     x = defaults.select(F.col(recovery_rate).alias("__rr"), F.col(ccf).alias("__ccf"), (F.col(recovery_rate) > 0).cast("int").alias("__any"), *[v.alias(k) for k, v in columns.items()])

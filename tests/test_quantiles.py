@@ -54,3 +54,26 @@ def test_quantiles_of_many_levels_are_exact_and_test_no_row_for_each(spark, monk
     for c, v in (("x", x), ("z", [b for i, b in enumerate(z) if i % 9])):
         assert got[c] == pytest.approx(list(np.quantile(v, at)), abs=1e-12)
     assert ran and max(ran) < 31
+
+
+def test_a_loss_model_works_its_rows_out_once(spark):
+    worked = spark.sparkContext.accumulator(0)
+
+    def count(x: float) -> float:
+        worked.add(1)
+        return x
+
+    r = np.random.default_rng(6)
+    rows = [(float(a), float(b), float(max(0.0, c)), float(abs(c) % 1), "uvw"[i % 3]) for i, (a, b, c) in enumerate(r.normal(size=(300, 3)))]
+    df = spark.createDataFrame(rows, "a double, b double, rr double, ccf double, g string").withColumn("a", F.udf(count, "double")("a"))
+    recovery.fit_loss_model(df, "rr", "ccf", ["a", "b"], ["g"])
+    assert worked.value == 300
+
+
+def test_variants_of_bins_share_their_first_bins(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    df = spark.createDataFrame([(float(x), int(x + e > 0.3)) for x, e in r.normal(size=(2000, 2))] + [(None, 1)], "x double, y int")
+    want = {k: binning.fit_numeric(df, ["x"], "y", min_share=k[0], max_bins=k[1])["x"] for k in ((0.03, 8), (0.1, 5))}
+    first = binning.prebinned(df, ["x"], "y")
+    monkeypatch.setattr(binning, "lower_quantiles", None)  # no pass after the first
+    assert {k: binning.merged(first, *k)["x"] for k in want} == want
