@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..sources.scratch import stored
+from ..sources.scratch import narrowed, stored
 from . import governance, rank, resampling
 
 #: Fixed value: a difference is significant below this probability.
@@ -39,5 +39,6 @@ def interval_rows(df: DataFrame, y: str, pairs: Mapping[str, tuple[str, str]], s
 def benchmark_table(df: DataFrame, y: str, pairs: Mapping[str, tuple[str, str]], split: str, splits: Sequence[str], row_id: str, draws: int = resampling.DRAWS, cap: int = resampling.ROW_CAP) -> DataFrame:
     """Every pair on every split: both AUCs and Ginis, the paired test, the bootstrap interval, and a light: Green only where the first is better beyond chance."""
     light: Column = governance.beats_light(F.col("d_auc"), F.col("delong_p"), SIGNIFICANCE)
+    df = narrowed(df.where(F.col(split).isin(*splits)), row_id, split, y, *(c for p in pairs.values() for c in p), name="benchmark-rows")
     rows = pair_rows(df, y, pairs, split, splits).join(interval_rows(df, y, pairs, split, splits, row_id, draws, cap), ["split", "pair"])  # a row for each pair and split
     return rows.withColumn("light", light)
