@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lodestat.operators import boosting, search
 from lodestat.sources import reports
@@ -39,3 +40,25 @@ def test_search_trains_on_the_past_only(spark, kind):
     past = search.capped_sample(rows.where("year < 2002"), "id", 400, 0).unionByName(rows.where("year = 2002"))
     alone = boosting.grow(past, "y", ["x", "z"], [(growth, 0)], [boosting.Fold(past["year"] < 2002, past["year"] == 2002)], row_id="id")[0]
     assert (len(alone.trees), min(alone.losses)) == (t.trees, t.loss)
+
+
+def test_models_grown_apart_are_those_of_passes(spark):
+    """Also beyond a round, with a stop in its midst, with copies of ids, without validation rows, and without training rows."""
+    rows = spark.range(1800).selectExpr("id % 1500 as id", "id % 3 as part", "case when id % 50 > 0 then cast(id * 7919 % 100 as double) end as x", "chr(cast(65 + id * 31 % 7 as int)) as z", "cast((id * 7919 % 100 + xxhash64(id) % 100) > 60 as int) as y")
+    folds = [boosting.Fold(F.col("part") == 0, F.col("part") == 1), boosting.Fold(F.col("part") < 2, F.lit(False)), boosting.Fold(F.lit(False), F.col("part") == 2)]
+    grown = lambda trees, seed, **more: boosting.Growth(trees, seed=seed, rows=0.7, columns=0.6, **more)
+    jobs = [(grown(43, 1, depth=1, patience=60), 0), (grown(30, 2, depth=4, rate=0.5, patience=3), 0), (grown(3, 3, depth=None, leaves=5, patience=2), 1), (grown(2, 3, depth=2, patience=2), 2)]
+    together = boosting.grow(rows, "y", ["x", "z"], jobs, folds, ["z"], "id", bins=8, apart=True)
+    for (growth, k), got in zip(jobs, together):
+        want = boosting.grow(rows, "y", ["x", "z"], [(growth, 0)], [folds[k]], ["z"], "id", bins=8)[0]
+        assert (got.base, got.trees, got.losses) == (want.base, want.trees, want.losses)
+    assert len(together[0].losses) == 43 > boosting.ROUND and 0 < len(together[1].trees) < len(together[1].losses) < 30 and len(together[2].trees) == 3
+
+
+def test_search_takes_a_few_jobs_not_one_for_each_level(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "_sums", lambda *_: pytest.fail("a pass for a level"))
+    rows = spark.range(600).selectExpr("id", "2000 + id % 3 as year", "cast(id * 7919 % 100 as double) as x", "cast((id * 7919 % 100 + id * 31 % 40) > 70 as int) as y")
+    assert search.expanding_search(rows, "y", ["x"], "year", "id", validate=(2002,), draws=2, most_trees=4).trials
+    monkeypatch.setattr(boosting, "TASK_ROWS", 399)  # larger folds go on by passes
+    with pytest.raises(pytest.fail.Exception):
+        search.expanding_search(rows, "y", ["x"], "year", "id", validate=(2002,), draws=2, most_trees=4)
