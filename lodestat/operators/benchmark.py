@@ -26,19 +26,33 @@ def pair_rows(df: DataFrame, y: str, pairs: Mapping[str, tuple[str, str]], split
     return governance.with_tails(both, {"delong_p": lambda s, r: None if r["delong_z"] is None else special.normal_two_sided(s, r["delong_z"])})
 
 
-def interval_rows(df: DataFrame, y: str, pairs: Mapping[str, tuple[str, str]], split: str, splits: Sequence[str], row_id: str, draws: int = resampling.DRAWS, cap: int = resampling.ROW_CAP, seed: int = 0) -> DataFrame:
-    """(split, pair, lo, hi, draws): the interval of the first AUC minus the second within the same draws, from at most cap rows of a split."""
+def _of_the_same_rows(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> list[list[str]]:
+    """Names of pairs, those together that have both scores on the same rows."""
+    has = {name: reduce(Column.__and__, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in p]) for name, p in pairs.items()}
+    met = {(a, b): F.count(F.when(has[a] & has[b], 1)) for a in pairs for b in pairs}
+    n = dict(zip(met, df.agg(*met.values()).first()))
+    out: list[list[str]] = []
+    for name in pairs:
+        like = next((g for g in out if n[name, g[0]] == n[name, name] == n[g[0], g[0]]), None)
+        out.append([name]) if like is None else like.append(name)
+    return out
+
+
+def interval_rows(df: DataFrame, y: str, pairs: Mapping[str, tuple[str, str]], split: str, splits: Sequence[str], row_id: str, draws: int = resampling.DRAWS, seed: int = 0) -> DataFrame:
+    """(split, pair, lo, hi, draws): the interval of the first AUC minus the second within the same draws, from all rows of a split that have both scores, as the paired test."""
     parts = []
     for s in splits:
-        names = list(dict.fromkeys(c for p in pairs.values() for c in p))
-        reps = stored(resampling.replicates(resampling.capped_sample(df.where(F.col(split) == s), row_id, cap, seed), y, names, row_id, draws, seed), "benchmark-draws")
-        parts += [resampling.paired_difference(reps, a, b).select(F.lit(s).alias("split"), F.lit(name).alias("pair"), "lo", "hi", "draws") for name, (a, b) in pairs.items()]
+        rows = df.where((F.col(split) == s) & F.col(y).isNotNull())
+        for together in _of_the_same_rows(rows, pairs):
+            names = list(dict.fromkeys(c for name in together for c in pairs[name]))
+            reps = stored(resampling.aucs(rows, y, names, row_id, draws, seed), "benchmark-draws")
+            parts += [resampling.paired_difference(reps, *pairs[name]).select(F.lit(s).alias("split"), F.lit(name).alias("pair"), "lo", "hi", "draws") for name in together]
     return reduce(DataFrame.unionByName, parts)
 
 
-def benchmark_table(df: DataFrame, y: str, pairs: Mapping[str, tuple[str, str]], split: str, splits: Sequence[str], row_id: str, draws: int = resampling.DRAWS, cap: int = resampling.ROW_CAP) -> DataFrame:
+def benchmark_table(df: DataFrame, y: str, pairs: Mapping[str, tuple[str, str]], split: str, splits: Sequence[str], row_id: str, draws: int = resampling.DRAWS) -> DataFrame:
     """Every pair on every split: both AUCs and Ginis, the paired test, the bootstrap interval, and a light: Green only where the first is better beyond chance."""
     light: Column = governance.beats_light(F.col("d_auc"), F.col("delong_p"), SIGNIFICANCE)
     df = narrowed(df.where(F.col(split).isin(*splits)), row_id, split, y, *(c for p in pairs.values() for c in p), name="benchmark-rows")
-    rows = pair_rows(df, y, pairs, split, splits).join(interval_rows(df, y, pairs, split, splits, row_id, draws, cap), ["split", "pair"])  # a row for each pair and split
+    rows = pair_rows(df, y, pairs, split, splits).join(interval_rows(df, y, pairs, split, splits, row_id, draws), ["split", "pair"])  # a row for each pair and split
     return rows.withColumn("light", light)

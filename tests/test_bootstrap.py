@@ -4,7 +4,7 @@ import os
 import numpy as np
 import pytest
 
-from lodestat.operators import resampling
+from lodestat.operators import benchmark, resampling
 from lodestat.plans import battery, modelling  # noqa: F401
 from lodestat.plans.lens import accounts
 
@@ -70,3 +70,25 @@ def test_registered_bootstraps_run_all_draws_on_all_rows(spark):
     d = [want["p", i]["auc"] - want["p2", i]["auc"] for i in range(500)]
     r = battery.QUERIES["v7_bootstrap_difference"](spark, SF).first()
     assert r["draws"] == 500 and (r["lo"], r["hi"], r["mean"]) == pytest.approx((*np.percentile(d, [lo, hi]), np.mean(d)), abs=2e-6)
+
+
+def test_parts_sum_to_the_same_draws(spark, monkeypatch):
+    """With ties that span blocks, copies of ids, missing scores, and parts of few rows; a table of one class has no AUC, an empty one no draws."""
+    monkeypatch.setattr(resampling, "PART_ROWS", 200)
+    df = spark.range(9000).selectExpr("id % 8900 as id", "cast(xxhash64(id, 1) % 5 = 0 as int) as y", "case when id % 40 > 0 then xxhash64(id, 2) / 1e18 end as a", "cast(id % 3 as int) as b")
+    get = lambda t: {(r["draw"], r["model"]): r["auc"] for r in t.collect()}
+    got = get(resampling.aucs(df.repartition(5), "y", ["a", "b"], "id", 70, seed=3))
+    assert len(got) == 140 and got == get(resampling.replicates(df, "y", ["a", "b"], "id", 70, seed=3))
+    assert get(resampling.aucs(df.where("y = 0"), "y", ["b"], "id", 3)) == {(d, "b"): None for d in range(3)}
+    assert get(resampling.aucs(df.limit(0), "y", ["b"], "id", 3)) == {}
+
+
+def test_benchmark_intervals_come_from_all_rows(spark):
+    """Beyond 50,000 rows; and a pair keeps the rows that lack the score of another pair."""
+    df = spark.range(52_000).selectExpr("id", "1 as split", "cast(xxhash64(id, 1) % 5 = 0 as int) as y", "xxhash64(id, 2) / 1e18 as a", "cast(id % 30 as double) as b", "case when id % 4 > 0 then cast(id % 7 as double) end as c").repartition(4)
+    pairs = {"ab": ("a", "b"), "ac": ("a", "c"), "ba": ("b", "a")}
+    got = {r["pair"]: r for r in benchmark.interval_rows(df, "y", pairs, "split", (1,), "id", draws=4).collect()}
+    for name, p in pairs.items():
+        want = resampling.paired_difference(resampling.replicates(df.select("id", "y", *p), "y", p, "id", 4), *p).first()
+        assert (got[name]["lo"], got[name]["hi"], got[name]["draws"]) == (want["lo"], want["hi"], 4)
+    assert got["ab"]["lo"] == pytest.approx(-got["ba"]["hi"])
