@@ -62,3 +62,17 @@ def test_search_takes_a_few_jobs_not_one_for_each_level(spark, monkeypatch):
     monkeypatch.setattr(boosting, "TASK_ROWS", 399)  # larger folds go on by passes
     with pytest.raises(pytest.fail.Exception):
         search.expanding_search(rows, "y", ["x"], "year", "id", validate=(2002,), draws=2, most_trees=4)
+
+
+def test_search_learns_from_all_earlier_rows(spark, monkeypatch):
+    """Beyond 80,000 rows, each model in a task of its own; and by passes where a fold has too many patterns for one, with the same outcome."""
+    rows = spark.range(82_500).selectExpr("id", "2001 + cast(id >= 82000 as int) as year", "cast(id * 7919 % 1000 as double) as x", "cast((id * 7919 % 1000 + xxhash64(id) % 900) > 500 as int) as y")
+    growth = search.settings(1)[0].growth(search.LEVEL, 3, patience=search.PATIENCE)
+    alone = boosting.grow(rows, "y", ["x"], [(growth, 0)], [boosting.Fold(F.col("year") < 2002, F.col("year") == 2002)], row_id="id")[0]
+    seen, passes = [], boosting._sums
+    monkeypatch.setattr(boosting, "_sums", lambda *a: (seen.append(1), passes(*a))[1])
+    find = lambda: search.expanding_search(rows, "y", ["x"], "year", "id", validate=(2002,), draws=1, most_trees=3).trials
+    (t,) = find()
+    assert (t.trees, t.loss) == (len(alone.trees), min(alone.losses)) and not seen
+    monkeypatch.setattr(boosting, "TASK_CELLS", 30)
+    assert find() == [t] and seen
