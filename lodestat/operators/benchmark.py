@@ -21,7 +21,8 @@ def pair_rows(df: DataFrame, y: str, pairs: Mapping[str, tuple[str, str]], split
     parts = []
     for s in splits:
         rows = stored(df.where(F.col(split) == s).select(y, *dict.fromkeys(c for p in pairs.values() for c in p)), "benchmark")
-        parts += [rank.delong(rows, y, a, b).select(F.lit(s).alias("split"), F.lit(name).alias("pair"), "*") for name, (a, b) in pairs.items()]
+        # One pair after the other: the plans of all at once take the driver's memory.
+        parts += [stored(rank.delong(rows, y, a, b), "benchmark-pair").select(F.lit(s).alias("split"), F.lit(name).alias("pair"), "*") for name, (a, b) in pairs.items()]
     both = reduce(DataFrame.unionByName, parts).select("split", "pair", "auc_a", "auc_b", (2 * F.col("auc_a") - 1).alias("gini_a"), (2 * F.col("auc_b") - 1).alias("gini_b"), "d_auc", "delong_z")
     return governance.with_tails(both, {"delong_p": lambda s, r: None if r["delong_z"] is None else special.normal_two_sided(s, r["delong_z"])})
 
